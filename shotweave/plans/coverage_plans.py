@@ -124,9 +124,8 @@ SELECT (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FRO
        count(DISTINCT o_custkey) AS n_customers FROM orders""")
 def q_distinct(spark, sf):
     o = _t(spark, sf, "orders", "o_orderpriority", "o_orderstatus", "o_custkey")
-    pairs = o.select("o_orderpriority", "o_orderstatus").distinct().agg(F.count(F.lit(1)).alias("n_pairs"))
-    cust = o.agg(F.count_distinct("o_custkey").alias("n_customers"))
-    return pairs.crossJoin(cust)
+    return o.agg(F.count_distinct("o_orderpriority", "o_orderstatus").alias("n_pairs"),
+                 F.count_distinct("o_custkey").alias("n_customers"))
 
 
 @register("q_order_limit", oracle="""

@@ -125,3 +125,29 @@ def skeleton_ctes(norm: str, id_cols: str, out: str) -> str:
 {out} AS (SELECT {id_cols}, CASE WHEN starts_with(raw_text, 'SELECT') THEN
     array_to_string(list_transform(parts, lambda t, i: CASE WHEN i >= 3 AND parts[i - 2] = 'order'
       AND parts[i - 1] = 'by' THEN '_' ELSE t END), ' ') ELSE raw_text END AS skel FROM {out}_p)"""
+
+
+def bm25_ctes(targets: str, corpus: str, out: str = "bm") -> str:
+    """`{targets}(target_id, text)`, `{corpus}(cand_id, text)` -> `{out}(target_id, cand_id, score)`."""
+    return f"""
+{out}_docs AS (SELECT cand_id, string_split(lower(text), ' ') AS toks FROM {corpus}),
+{out}_dl AS (SELECT cand_id, len(toks) AS dl FROM {out}_docs),
+{out}_st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM {out}_dl),
+{out}_post AS (SELECT cand_id, term, count(*) AS tf FROM (SELECT cand_id, unnest(toks) AS term FROM {out}_docs)
+               GROUP BY cand_id, term),
+{out}_df AS (SELECT term, count(*) AS n FROM {out}_post GROUP BY term),
+{out}_idf0 AS (SELECT term, ln(s.n_docs - n + 0.5) - ln(n + 0.5) AS idf FROM {out}_df, {out}_st s),
+{out}_idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM {out}_idf0) ELSE idf END AS idf
+              FROM {out}_idf0),
+{out}_q AS (SELECT target_id, term, count(*) AS qtf FROM
+              (SELECT target_id, unnest(string_split(lower(text), ' ')) AS term FROM {targets}) GROUP BY target_id, term),
+{out} AS (SELECT q.target_id, p.cand_id,
+            sum(q.qtf * i.idf * p.tf * 2.5 / (p.tf + 1.5 * (1 - 0.75 + 0.75 * d.dl / s.avgdl))) AS score
+          FROM {out}_q q JOIN {out}_idf i ON q.term = i.term JOIN {out}_post p ON p.term = q.term
+               JOIN {out}_dl d ON d.cand_id = p.cand_id, {out}_st s
+          GROUP BY q.target_id, p.cand_id)"""
+
+
+EXEMPLAR_VECTORS = """
+ev AS (SELECT e.ex_id, e.db_id, e.question, e.query, CAST(m.embedding AS DOUBLE[]) AS v
+       FROM exemplars e JOIN embeddings m ON e.ex_id = m.vec_id)"""

@@ -57,3 +57,131 @@ def knn_euclid_threshold(spark, sf):
     # the driver vectors have no pair within 0.85, so the threshold is a parameter (1.25)
     t, c = _vec_sides(spark, sf)
     return block_knn(t, c, 7, metric="euclid", max_distance=1.25)
+
+
+# --------------------------------------------------------------------------- BM25
+from shotweave.functions import sqltext as st  # noqa: E402
+from shotweave.operators import pools as pl  # noqa: E402
+from shotweave.operators.bm25 import bm25_scores, bm25_topk  # noqa: E402
+from shotweave.plans.oracle_sql import (CATALOG, DB_NAMES, EXEMPLAR_VECTORS, EXEMPLARS, RESPONSES,  # noqa: E402
+                                        bm25_ctes, normalize_ctes, skeleton_ctes)
+from shotweave.sources.derived import exemplar_names, responses  # noqa: E402
+from shotweave.sources.tables import exemplars, read_table  # noqa: E402
+
+_BENCH_DOCS = """tq AS (SELECT item_id AS target_id, text FROM benchmark),
+cd AS (SELECT doc_id AS cand_id, text FROM documents)"""
+
+
+@register("bm25_scores", headline=True, oracle=f"""
+WITH {_BENCH_DOCS}, {bm25_ctes('tq', 'cd')}
+SELECT target_id, cand_id, round(score, 6) AS score FROM bm""")
+def q_bm25_scores(spark, sf):
+    t = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), "text")
+    c = read_table(spark, sf, "documents").select(F.col("doc_id").alias("cand_id"), "text")
+    return bm25_scores(t, c).select("target_id", "cand_id", F.round("score", 6).alias("score"))
+
+
+@register("bm25_topk", oracle=f"""
+WITH {_BENCH_DOCS}, {bm25_ctes('tq', 'cd')},
+f AS (SELECT b.* FROM bm b JOIN tq ON tq.target_id = b.target_id JOIN cd ON cd.cand_id = b.cand_id WHERE tq.text <> cd.text),
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(score, 12) DESC, cand_id) AS rk FROM f)
+SELECT target_id, cand_id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 5""")
+def q_bm25_topk(spark, sf):
+    t = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), "text")
+    c = read_table(spark, sf, "documents").select(F.col("doc_id").alias("cand_id"), "text")
+    return bm25_topk(t, c, 5, exclude_same_text=True)
+
+
+# ------------------------------------------------------------ exemplar-level sides
+def _ev(spark, sf):
+    """Exemplars with vectors, name arrays, gold skeleton and predicted skeleton."""
+    ex = exemplar_names(spark, sf)
+    emb = read_table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("ex_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    pred = responses(spark, sf).select("ex_id", st.clean_fences(F.col("response")).alias("pred"))
+    ev = ex.join(emb, "ex_id").join(pred, "ex_id")
+    ev = st.with_sql_skeleton(ev, "query", "tl", "cl", "torig", out="gold_skel")
+    ev = st.with_sql_skeleton(ev, "pred", "tl", "cl", "torig", out="pre_skel")
+    return ev
+
+
+def _ev_sides(spark, sf, t_skel=None, c_skel=None):
+    ev = _ev(spark, sf)
+    t = ev.select(F.col("ex_id").alias("target_id"), "vec", F.col("db_id").alias("domain"),
+                  F.col("question").alias("text"), *([F.col(t_skel).alias("skel")] if t_skel else []))
+    c = ev.select(F.col("ex_id").alias("cand_id"), "vec", F.col("db_id").alias("domain"),
+                  F.col("question").alias("text"), *([F.col(c_skel).alias("skel")] if c_skel else []))
+    return t, c
+
+
+_EV_SKEL = f"""WITH {EXEMPLARS}, {RESPONSES}, {CATALOG}, {DB_NAMES}, {EXEMPLAR_VECTORS},
+evr AS (SELECT ev.*, r.response, regexp_replace(r.response, '^\\s+|\\s+$', '', 'g') AS rr FROM ev JOIN responses r ON ev.ex_id = r.ex_id),
+evp AS (SELECT *, CASE WHEN contains(rr, '```sql') THEN regexp_replace(split_part(split_part(rr, '```sql', 2), '```', 1), '^\\s+|\\s+$', '', 'g')
+     WHEN contains(rr, '```') THEN regexp_replace(split_part(split_part(rr, '```', 2), '```', 1), '^\\s+|\\s+$', '', 'g')
+     ELSE rr END AS pred FROM evr),
+{normalize_ctes('evp', 'ex_id, db_id', 'query', 'gn')},
+{skeleton_ctes('gn', 'ex_id', 'gsk')},
+{normalize_ctes('evp', 'ex_id, db_id', 'pred', 'pn')},
+{skeleton_ctes('pn', 'ex_id', 'psk')},
+evs AS (SELECT e.*, g.skel AS gold_skel, p.skel AS pre_skel FROM ev e JOIN gsk g ON e.ex_id = g.ex_id JOIN psk p ON e.ex_id = p.ex_id),
+pairs AS (SELECT t.ex_id AS target_id, c.ex_id AS cand_id, t.question = c.question AS same_q,
+            list_dot_product(t.v, c.v) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(c.v, c.v))) AS cos,
+            list_distance(t.v, c.v) AS dist,
+            string_split(trim(t.__TSK__), ' ') AS a, string_split(trim(c.__CSK__), ' ') AS b
+          FROM evs t JOIN evs c ON t.db_id <> c.db_id),
+pj AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)),
+          len(list_filter(b, lambda y: y = x))))) AS inter FROM pairs),
+pjj AS (SELECT *, coalesce(inter, 0) / (len(a) + len(b) - coalesce(inter, 0)) AS jac FROM pj)"""
+
+
+def _ev_skel(tsk: str, csk: str) -> str:
+    return _EV_SKEL.replace("__TSK__", tsk).replace("__CSK__", csk)
+
+
+@register("filter_cross_domain", oracle=_ev_skel("gold_skel", "gold_skel") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(cos, 12) DESC, cand_id) AS rk FROM pjj)
+SELECT target_id, cand_id, round(cos, 6) AS score, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 5""")
+def q_filter_cross_domain(spark, sf):
+    t, c = _ev_sides(spark, sf)
+    return block_knn(t, c, 5, metric="cosine")
+
+
+@register("filter_same_question", oracle=_ev_skel("gold_skel", "gold_skel") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(cos, 12) DESC, cand_id) AS rk
+      FROM pjj WHERE NOT same_q)
+SELECT target_id, cand_id, round(cos, 6) AS score, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 5""")
+def q_filter_same_question(spark, sf):
+    t, c = _ev_sides(spark, sf)
+    return block_knn(t, c, 5, metric="cosine", exclude_same_text=True)
+
+
+@register("knn_preskeleton_backfill", oracle=_ev_skel("pre_skel", "gold_skel") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY CASE WHEN jac >= 0.85 THEN 0 ELSE 1 END,
+        round(dist, 12), cand_id) AS rk FROM pjj)
+SELECT target_id, cand_id, round(dist, 6) AS score, CAST(rk AS INTEGER) AS rk, round(jac, 6) AS jaccard FROM r WHERE rk <= 5""")
+def q_knn_preskeleton_backfill(spark, sf):
+    t, c = _ev_sides(spark, sf, t_skel="pre_skel", c_skel="gold_skel")
+    return block_knn(t, c, 5, metric="euclid", skeleton_rule="backfill", keep_jaccard=True)
+
+
+@register("knn_preskeleton_plus", oracle=_ev_skel("pre_skel", "gold_skel") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(dist - jac, 12), cand_id) AS rk FROM pjj)
+SELECT target_id, cand_id, round(dist, 6) AS score, CAST(rk AS INTEGER) AS rk, round(jac, 6) AS jaccard FROM r WHERE rk <= 5""")
+def q_knn_preskeleton_plus(spark, sf):
+    t, c = _ev_sides(spark, sf, t_skel="pre_skel", c_skel="gold_skel")
+    return block_knn(t, c, 5, metric="euclid", skeleton_rule="plus", keep_jaccard=True)
+
+
+@register("retrieve_random", oracle=f"""
+WITH {EXEMPLARS},
+keyed AS (SELECT ex_id AS cand_id, db_id AS c_domain, md5('0:' || CAST(ex_id AS VARCHAR)) AS key FROM exemplars),
+head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_domain ORDER BY key, cand_id) AS r FROM keyed) WHERE r <= 5),
+doms AS (SELECT DISTINCT db_id AS t_domain FROM exemplars),
+per AS (SELECT t_domain, cand_id, row_number() OVER (PARTITION BY t_domain ORDER BY key, cand_id) AS rk
+        FROM doms JOIN head ON t_domain <> c_domain)
+SELECT e.ex_id AS target_id, p.cand_id, CAST(p.rk AS INTEGER) AS rk FROM exemplars e JOIN per p ON e.db_id = p.t_domain
+WHERE p.rk <= 5""")
+def q_retrieve_random(spark, sf):
+    ex = exemplars(spark, sf)
+    return pl.retrieve_random(ex.select(F.col("ex_id").alias("target_id"), F.col("db_id").alias("domain")),
+                              ex.select(F.col("ex_id").alias("cand_id"), F.col("db_id").alias("domain")), 5, seed=0)

@@ -149,11 +149,10 @@ WITH prices AS (SELECT * FROM (VALUES {_PRICE_VALUES}) v(model, price)),
 t AS (SELECT sum(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE greatest(1, length(text) // 4) END) AS n FROM documents)
 SELECT model, CAST(n AS BIGINT) AS n_tokens, round(price * n / 1000, 6) AS cost FROM prices, t""")
 def q_llm_cost(spark, sf):
-    tokens = read_table(spark, sf, "documents").agg(F.sum(st.token_count(F.col("text"))).cast("long").alias("n_tokens"))
+    n = read_table(spark, sf, "documents").agg(F.sum(st.token_count(F.col("text"))).cast("long")).first()[0]
     prices = spark.createDataFrame(st.LLM_PRICES, "model string, price double")
-    # one-row total x a fixed price list: a broadcast of 7 rows
-    return prices.join(F.broadcast(tokens), how="inner", on=F.lit(True)).select(
-        "model", "n_tokens", F.round(F.col("price") * F.col("n_tokens") / 1000, 6).alias("cost"))
+    return prices.select("model", F.lit(n).cast("long").alias("n_tokens"),
+                         F.round(F.col("price") * F.lit(n) / 1000, 6).alias("cost"))
 
 
 @register("response_target", oracle=f"""
