@@ -185,3 +185,104 @@ def q_retrieve_random(spark, sf):
     ex = exemplars(spark, sf)
     return pl.retrieve_random(ex.select(F.col("ex_id").alias("target_id"), F.col("db_id").alias("domain")),
                               ex.select(F.col("ex_id").alias("cand_id"), F.col("db_id").alias("domain")), 5, seed=0)
+
+
+# ------------------------------------------------------------------ hybrid pools
+K_SHOTS = 7
+KPRIME = pl.candidate_k(K_SHOTS)
+
+
+def _pool_stages(spark, sf):
+    """Main pool (BM25 and cosine lists interleaved) and the pool with sub-question
+    stages (each sub-question's BM25 top 10), over exemplars with vectors."""
+    ex = exemplars(spark, sf)
+    emb = read_table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("ex_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    ev = ex.join(emb, "ex_id")
+    t_dom = ev.select(F.col("ex_id").alias("target_id"), F.col("db_id").alias("t_domain"))
+    c_dom = ev.select(F.col("ex_id").alias("cand_id"), F.col("db_id").alias("c_domain"))
+    tq = ev.select(F.col("ex_id").alias("target_id"), F.col("question").alias("text"))
+    cd = ev.select(F.col("ex_id").alias("cand_id"), F.col("question").alias("text"))
+    bm = bm25_topk(tq, cd, KPRIME, exclude_same_text=False)
+    cos = block_knn(ev.select(F.col("ex_id").alias("target_id"), "vec"), ev.select(F.col("ex_id").alias("cand_id"), "vec"),
+                    KPRIME, metric="cosine", exclude_same_domain=False, exclude_self=False)
+    main = pl.hybrid_interleave(bm, cos, t_dom, c_dom, KPRIME)
+    subs = ev.select("ex_id", F.posexplode(st.parse_subquestions(F.col("question"))).alias("p", "text"))
+    sub_t = subs.select((F.col("ex_id") * 100 + F.col("p") + 1).alias("target_id"), "text")
+    sb = bm25_topk(sub_t, cd, 10, exclude_same_text=False).select(
+        (F.col("target_id") / 100).cast("long").alias("target_id"), (F.col("target_id") % 100).cast("int").alias("sub_no"),
+        "cand_id", "rk")
+    pool = pl.append_subquestion_pools(main, sb, t_dom, c_dom, per_sub=10)
+    return main, pool
+
+
+_POOL_SQL = f"""WITH {EXEMPLARS}, {EXEMPLAR_VECTORS},
+tq AS (SELECT ex_id AS target_id, question AS text FROM ev),
+cd AS (SELECT ex_id AS cand_id, question AS text FROM ev),
+{bm25_ctes('tq', 'cd', 'bm')},
+allp AS (SELECT t.ex_id AS target_id, c.ex_id AS cand_id, coalesce(b.score, 0) AS score, t.db_id AS t_dom, c.db_id AS c_dom,
+           list_dot_product(t.v, c.v) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(c.v, c.v))) AS cos
+         FROM ev t CROSS JOIN ev c LEFT JOIN bm b ON b.target_id = t.ex_id AND b.cand_id = c.ex_id),
+ra AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(score, 12) DESC, cand_id) AS rk_a,
+                 row_number() OVER (PARTITION BY target_id ORDER BY round(cos, 12) DESC, cand_id) AS rk_b FROM allp),
+u AS (SELECT target_id, cand_id, 2 * rk_a AS key, t_dom, c_dom FROM ra WHERE rk_a <= {KPRIME}
+      UNION ALL SELECT target_id, cand_id, 2 * rk_b + 1, t_dom, c_dom FROM ra WHERE rk_b <= {KPRIME}),
+mn AS (SELECT target_id, cand_id, min(key) AS key FROM u WHERE t_dom <> c_dom GROUP BY target_id, cand_id),
+mainp AS (SELECT target_id, cand_id, 0 AS stage, row_number() OVER (PARTITION BY target_id ORDER BY key) AS ord FROM mn),
+subl AS (SELECT ex_id, db_id, list_filter(list_transform(string_split(question, ','),
+           lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM ev),
+subs AS (SELECT ex_id, db_id, unnest(l) AS text, generate_subscripts(l, 1) AS sub_no FROM subl),
+sq AS (SELECT ex_id * 100 + sub_no AS target_id, text FROM subs),
+{bm25_ctes('sq', 'cd', 'sb')},
+sall AS (SELECT s.ex_id AS target_id, s.sub_no, c.ex_id AS cand_id, coalesce(b.score, 0) AS score, s.db_id AS t_dom,
+           c.db_id AS c_dom
+         FROM subs s CROSS JOIN ev c LEFT JOIN sb b ON b.target_id = s.ex_id * 100 + s.sub_no AND b.cand_id = c.ex_id),
+sr AS (SELECT *, row_number() OVER (PARTITION BY target_id, sub_no ORDER BY round(score, 12) DESC, cand_id) AS rk FROM sall),
+sp AS (SELECT target_id, cand_id, sub_no AS stage, rk AS ord FROM sr WHERE rk <= 10 AND t_dom <> c_dom),
+allpool AS (SELECT * FROM mainp UNION ALL SELECT * FROM sp),
+firstp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, cand_id ORDER BY stage, ord) AS x
+                          FROM allpool) WHERE x = 1),
+pool AS (SELECT target_id, cand_id, CAST(stage AS INTEGER) AS stage,
+           CAST(row_number() OVER (PARTITION BY target_id, stage ORDER BY ord) AS INTEGER) AS stage_rank,
+           CAST(row_number() OVER (PARTITION BY target_id ORDER BY stage, ord) AS INTEGER) AS pos FROM firstp)"""
+
+
+@register("hybrid_interleave", oracle=_POOL_SQL + """
+SELECT target_id, cand_id, CAST(ord AS INTEGER) AS pos FROM mainp""")
+def q_hybrid_interleave(spark, sf):
+    main, _ = _pool_stages(spark, sf)
+    return main.select("target_id", "cand_id", "pos")
+
+
+@register("append_subquestion_pools", oracle=_POOL_SQL + """
+SELECT target_id, cand_id, stage, stage_rank, pos FROM pool""")
+def q_append_subquestion_pools(spark, sf):
+    _, pool = _pool_stages(spark, sf)
+    return pool
+
+
+@register("cap_pool", oracle=_POOL_SQL + f"""
+SELECT target_id, cand_id, pos FROM pool WHERE pos <= {2 * KPRIME}""")
+def q_cap_pool(spark, sf):
+    _, pool = _pool_stages(spark, sf)
+    return pl.cap_pool(pool, KPRIME).select("target_id", "cand_id", "pos")
+
+
+@register("round_robin_pick", oracle=_POOL_SQL + f""",
+keyed AS (SELECT *, CASE WHEN stage = 0 AND stage_rank <= 2 THEN 0 WHEN stage > 0 THEN 1 ELSE 2 END AS a,
+            CASE WHEN stage > 0 THEN stage ELSE 0 END AS c FROM pool),
+pk AS (SELECT target_id, cand_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY a, stage_rank, c) AS INTEGER) AS pick
+       FROM keyed)
+SELECT * FROM pk WHERE pick <= {K_SHOTS}""")
+def q_round_robin_pick(spark, sf):
+    _, pool = _pool_stages(spark, sf)
+    return pl.round_robin_pick(pool, K_SHOTS)
+
+
+@register("greedy_fill", oracle=_POOL_SQL + f""",
+pk AS (SELECT target_id, cand_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY pos) AS INTEGER) AS pick
+       FROM pool WHERE pos <= {2 * KPRIME})
+SELECT * FROM pk WHERE pick <= {K_SHOTS}""")
+def q_greedy_fill(spark, sf):
+    _, pool = _pool_stages(spark, sf)
+    return pl.greedy_fill(pl.cap_pool(pool, KPRIME), K_SHOTS)
