@@ -168,3 +168,66 @@ def block_knn(targets: DataFrame, corpus: DataFrame, k: int, *, metric: str = "c
     if keep_jaccard:
         cols.append(F.round("jaccard", 6).alias("jaccard"))
     return ranked.select(*cols)
+
+
+_STATS_SCHEMA = T.StructType([
+    T.StructField("target_id", T.LongType()),
+    T.StructField("top", T.ArrayType(T.DoubleType())),
+    T.StructField("n", T.LongType()),
+    T.StructField("s", T.DoubleType()),
+    T.StructField("ss", T.DoubleType()),
+])
+
+
+def _make_stats_kernel(top_r, metric, use_domain, exclude_self):
+    def kernel(tdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        if len(tdf) == 0 or len(cdf) == 0:
+            return pd.DataFrame({f.name: [] for f in _STATS_SCHEMA.fields})
+        tv = np.stack(tdf["t_vec"].to_numpy()).astype(np.float64)
+        cv = np.stack(cdf["c_vec"].to_numpy()).astype(np.float64)
+        if metric == "cosine":
+            tv = tv / np.maximum(np.linalg.norm(tv, axis=1, keepdims=True), 1e-300)
+            cv = cv / np.maximum(np.linalg.norm(cv, axis=1, keepdims=True), 1e-300)
+        score = tv @ cv.T
+        valid = np.ones(score.shape, dtype=bool)
+        if exclude_self:
+            valid &= tdf["target_id"].to_numpy()[:, None] != cdf["cand_id"].to_numpy()[None, :]
+        if use_domain:
+            codes, _ = pd.factorize(pd.concat([tdf["t_domain"], cdf["c_domain"]], ignore_index=True))
+            valid &= codes[: len(tdf)][:, None] != codes[len(tdf):][None, :]
+        masked = np.where(valid, score, -np.inf)
+        r = min(top_r, masked.shape[1])
+        top = -np.sort(-masked, axis=1)[:, :r]
+        zero = np.where(valid, score, 0.0)
+        return pd.DataFrame({
+            "target_id": tdf["target_id"].to_numpy(np.int64),
+            "top": [row[np.isfinite(row)] for row in top],
+            "n": valid.sum(1).astype(np.int64),
+            "s": zero.sum(1),
+            "ss": (zero * zero).sum(1),
+        })
+
+    return kernel
+
+
+def block_rank_stats(targets: DataFrame, corpus: DataFrame, top_r: int, *, metric: str = "cosine",
+                     exclude_same_domain: bool = False, exclude_self: bool = False,
+                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Per target: the ``top_r`` best scores (descending) and count / sum / sum of
+    squares over every admissible candidate, so statistics of "all but the top m"
+    follow without sorting whole rows. Returns (target_id, top, n, s, ss)."""
+    n_t = _blocks(targets, block_rows)
+    n_c = _blocks(corpus, block_rows)
+    extra = ["domain"] if exclude_same_domain else []
+    t_rep = (targets.select("target_id", F.col("vec").alias("t_vec"), *[F.col(c).alias("t_" + c) for c in extra])
+             .withColumn("tb", F.pmod(F.xxhash64("target_id"), F.lit(n_t)))
+             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))))
+    c_rep = (corpus.select("cand_id", F.col("vec").alias("c_vec"), *[F.col(c).alias("c_" + c) for c in extra])
+             .withColumn("cb", F.pmod(F.xxhash64("cand_id"), F.lit(n_c)))
+             .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)))))
+    kernel = _make_stats_kernel(top_r, metric, exclude_same_domain, exclude_self)
+    part = (t_rep.groupBy("tb", "cb").cogroup(c_rep.groupBy("tb", "cb"))
+            .applyInPandas(kernel, schema=_STATS_SCHEMA))
+    return part.groupBy("target_id").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, top_r).alias("top"),
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
