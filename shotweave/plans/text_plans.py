@@ -13,19 +13,24 @@ from shotweave.sources.catalog import driver_columns
 from shotweave.sources.derived import exemplar_names, responses
 from shotweave.sources.tables import exemplars, read_table
 
-_PHRASES = ", ".join(f"CASE WHEN contains(low, {q(p)}) THEN {q(p)} END" for p in st.MULTI_WORD_PHRASES)
-_OPS = ", ".join(f"CASE WHEN contains(low, {q(o)}) THEN {q(o)} END" for o in st.OPERATORS)
 _WORDS = "[" + ", ".join(q(w) for w in st.SINGLE_KEYWORDS) + "]"
 
 
+def features_list_sql(low: str) -> str:
+    """DuckDB expression: sorted distinct feature list of a lower-cased, trimmed text column."""
+    phrases = ", ".join(f"CASE WHEN contains({low}, {q(p)}) THEN {q(p)} END" for p in st.MULTI_WORD_PHRASES)
+    ops = ", ".join(f"CASE WHEN contains({low}, {q(o)}) THEN {q(o)} END" for o in st.OPERATORS)
+    return f"""list_sort(list_distinct(list_concat(
+      list_filter([{phrases},
+        CASE WHEN len(regexp_extract_all({low}, '\\bselect\\b')) > 1 THEN 'subquery' END,
+        {ops},
+        CASE WHEN contains({low}, 'cast') AND contains({low}, ' as ') THEN 'cast' END], lambda e: e IS NOT NULL),
+      list_filter(regexp_extract_all({low}, '[a-z_]+|[!=<>]+'), lambda t: list_contains({_WORDS}, t)))))"""
+
+
 def _features_sql(text_expr: str) -> str:
-    """DuckDB expression: sorted comma-joined feature set of `low` (defined by caller)."""
-    return f"""array_to_string(list_sort(list_distinct(list_concat(
-      list_filter([{_PHRASES},
-        CASE WHEN len(regexp_extract_all(low, '\\bselect\\b')) > 1 THEN 'subquery' END,
-        {_OPS},
-        CASE WHEN contains(low, 'cast') AND contains(low, ' as ') THEN 'cast' END], lambda e: e IS NOT NULL),
-      list_filter(regexp_extract_all(low, '[a-z_]+|[!=<>]+'), lambda t: list_contains({_WORDS}, t))))), ',')"""
+    """DuckDB expression: comma-joined feature set of the column `low`."""
+    return f"array_to_string({features_list_sql('low')}, ',')"
 
 
 @register("sql_features", oracle=f"""
