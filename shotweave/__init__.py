@@ -1,0 +1 @@
+"""Spark-native exemplar retrieval and SQL-workload analytics."""

@@ -1,0 +1 @@
+"""No streaming operator: the reference processes batches only."""
