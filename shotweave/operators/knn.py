@@ -103,6 +103,7 @@ def _make_kernel(k, metric, use_domain, exclude_self, use_text, max_distance,
                 levels = [passing, ~passing]
             elif skeleton_rule == "plus":
                 key = np.round(score - jac, 12)
+            # "score_only": report the Jaccard, rank by score alone
         out = []
         rows = np.arange(score.shape[0])[:, None]
         kk = min(k, score.shape[1])
@@ -144,7 +145,7 @@ def block_knn(targets: DataFrame, corpus: DataFrame, k: int, *, metric: str = "c
 
     ``skeleton_rule``: None; "backfill" (skeleton Jaccard >= threshold first, then
     the rest, each by score); "strict" (only those passing); "plus" (order by
-    distance - jaccard).
+    distance - jaccard); "score_only" (report the Jaccard, rank by score).
     """
     n_t = target_blocks or _blocks(targets, block_rows)
     n_c = corpus_blocks or _blocks(corpus, block_rows)
@@ -166,7 +167,7 @@ def block_knn(targets: DataFrame, corpus: DataFrame, k: int, *, metric: str = "c
     cols = [F.col("target_id"), F.col("cand_id"), F.round("score", 6).alias("score"),
             F.col("rk").cast("int").alias("rk")]
     if keep_jaccard:
-        cols.append(F.round("jaccard", 6).alias("jaccard"))
+        cols.append(F.col("jaccard"))
     return ranked.select(*cols)
 
 

@@ -1 +1,129 @@
-"""Registered queries."""
+"""Registered prompt-assembly queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shotweave.operators import prompting as pr
+from shotweave.operators.knn import block_knn
+from shotweave.plans.oracle_sql import CATALOG, EXEMPLAR_VECTORS, EXEMPLARS
+from shotweave.plans.registry import register
+from shotweave.plans.retrieval_plans import _ev, _ev_skel
+from shotweave.sources.catalog import driver_columns
+from shotweave.sources.tables import exemplars
+
+
+def _tables(spark, sf):
+    cols = driver_columns(spark, sf).where("table_id >= 0")
+    return cols.groupBy("db_id", "table_id", F.col("table_name_orig").alias("table_name")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("col_id", "col_name_orig"))),
+                    lambda s: s["col_name_orig"]).alias("cols"))
+
+
+_TABLES_SQL = f"""{CATALOG},
+tabs AS (SELECT db_id, table_id, table_name_orig AS table_name, list(col_name_orig ORDER BY col_id) AS cols
+         FROM columns WHERE table_id >= 0 GROUP BY ALL)"""
+
+
+def _schema_sql(style: str) -> str:
+    s = pr.SCHEMA_STYLES[style]
+    line = s["table"].replace("{t}", "' || table_name || '").replace("{cols}", f"' || array_to_string(cols, '{s['sep']}') || '")
+    return f"""sch AS (SELECT db_id, {_lit(s['header'])} || string_agg('{line}', chr(10) ORDER BY table_id)
+         || {_lit(s['footer'])} AS schema_text FROM tabs GROUP BY db_id)"""
+
+
+def _lit(text: str) -> str:
+    parts = text.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{p}'" for p in parts)
+
+
+@register("render_schema", oracle=f"WITH {_TABLES_SQL}, {_schema_sql('TEXT')}\nSELECT db_id, schema_text FROM sch")
+def q_render_schema(spark, sf):
+    return pr.render_schema(_tables(spark, sf), "TEXT")
+
+
+@register("render_target", oracle=f"""WITH {EXEMPLARS}, {_TABLES_SQL}, {_schema_sql('NUMBERSIGN')}
+SELECT e.ex_id AS target_id, s.schema_text || chr(10) || '### ' || e.question || chr(10) || 'SELECT ' AS target_text
+FROM exemplars e JOIN sch s ON e.db_id = s.db_id""")
+def q_render_target(spark, sf):
+    q = exemplars(spark, sf).select(F.col("ex_id").alias("target_id"), "db_id", "question")
+    return pr.render_target(q, pr.render_schema(_tables(spark, sf), "NUMBERSIGN"), "NUMBERSIGN").select(
+        "target_id", "target_text")
+
+
+@register("render_example", oracle=f"""WITH {EXEMPLARS}
+SELECT ex_id, '/* Answer the following: ' || question || ' */' || chr(10) || query AS example_text FROM exemplars""")
+def q_render_example(spark, sf):
+    return pr.render_example(exemplars(spark, sf), "QA").select("ex_id", "example_text")
+
+
+def _packed(spark, sf):
+    ev = _ev(spark, sf)
+    t = ev.select(F.col("ex_id").alias("target_id"), "vec", F.col("db_id").alias("domain"))
+    c = ev.select(F.col("ex_id").alias("cand_id"), "vec", F.col("db_id").alias("domain"))
+    top = block_knn(t, c, 7, metric="cosine")
+    shots = pr.render_example(top.join(ev.select(F.col("ex_id").alias("cand_id"), "question", "query"), "cand_id"),
+                              "QA")
+    q = ev.select(F.col("ex_id").alias("target_id"), "db_id", "question")
+    targets = pr.render_target(q, pr.render_schema(_tables(spark, sf), "TEXT"), "TEXT")
+    return pr.pack_prompt(targets, shots.select("target_id", "rk", "cand_id", "example_text"), 7, "QA")
+
+
+_PACK_SQL = f"""WITH {EXEMPLARS}, {EXEMPLAR_VECTORS}, {_TABLES_SQL}, {_schema_sql('TEXT')},
+tg AS (SELECT e.ex_id AS target_id, s.schema_text || chr(10) || 'Answer the following: ' || e.question
+             || chr(10) || 'SELECT ' AS target_text FROM ev e JOIN sch s ON e.db_id = s.db_id),
+p AS (SELECT t.ex_id AS target_id, c.ex_id AS cand_id,
+        list_dot_product(t.v, c.v) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(c.v, c.v))) AS s,
+        '/* Answer the following: ' || c.question || ' */' || chr(10) || c.query AS ex_text
+      FROM ev t JOIN ev c ON t.db_id <> c.db_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(s, 12) DESC, cand_id) AS rk FROM p),
+sh AS (SELECT * FROM r WHERE rk <= 7),
+fold AS (
+  WITH RECURSIVE w(target_id, rk, n, chars, ids, texts) AS (
+    SELECT target_id, 0, 0, 0, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) FROM tg
+    UNION ALL
+    SELECT w.target_id, sh.rk,
+      CASE WHEN fits THEN w.n + 1 ELSE w.n END, CASE WHEN fits THEN w.chars + length(sh.ex_text) ELSE w.chars END,
+      CASE WHEN fits THEN list_append(w.ids, sh.cand_id) ELSE w.ids END,
+      CASE WHEN fits THEN list_append(w.texts, sh.ex_text) ELSE w.texts END
+    FROM w JOIN sh ON sh.target_id = w.target_id AND sh.rk = w.rk + 1
+    JOIN tg ON tg.target_id = w.target_id,
+    LATERAL (SELECT w.n < 7 AND
+        greatest(1, (length('{pr.EXAMPLE_STYLES['QA']['prefix'].replace(chr(10), '')}') + 1 + w.chars + length(sh.ex_text)
+                     + length(tg.target_text) + 2 * (w.n + 1)) // 4) + 512 <= 4096 AS fits))
+  SELECT * FROM w),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY rk DESC) AS x FROM fold) WHERE x = 1),
+pk AS (SELECT l.target_id, CASE WHEN l.n > 0 THEN {_lit(pr.EXAMPLE_STYLES['QA']['prefix'])} ||
+          array_to_string(list_append(l.texts, tg.target_text), chr(10) || chr(10)) ELSE tg.target_text END AS prompt,
+          CAST(l.n AS INTEGER) AS n_examples, l.ids AS kept
+       FROM last l JOIN tg ON tg.target_id = l.target_id)"""
+
+
+@register("pack_prompt", oracle=_PACK_SQL + """
+SELECT target_id, CAST(CASE WHEN length(prompt) = 0 THEN 0 ELSE greatest(1, length(prompt) // 4) END AS INTEGER)
+         AS prompt_tokens, n_examples, array_to_string(kept, ',') AS kept, md5(prompt) AS prompt_md5 FROM pk""")
+def q_pack_prompt(spark, sf):
+    p = _packed(spark, sf)
+    return p.select("target_id", "prompt_tokens", "n_examples", F.array_join("kept", ",").alias("kept"),
+                    F.md5("prompt").alias("prompt_md5"))
+
+
+@register("prompt_stats", oracle=_PACK_SQL + """
+SELECT count(*) AS n_prompts, sum(CAST(greatest(1, length(prompt) // 4) AS INTEGER)) AS total_tokens,
+       sum(n_examples) AS total_examples, round(sum(greatest(1, length(prompt) // 4)) * 0.002 / 1000, 6) AS cost
+FROM pk""")
+def q_prompt_stats(spark, sf):
+    return pr.prompt_stats(_packed(spark, sf), 0.002)
+
+
+@register("example_quality", oracle=_ev_skel("gold_skel", "gold_skel") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(cos, 12) DESC, cand_id) AS rk FROM pjj),
+k AS (SELECT * FROM r WHERE rk <= 7)
+SELECT target_id, round(avg(jac), 6) AS quality, round((SELECT avg(jac) FROM k), 6) AS overall FROM k GROUP BY target_id""")
+def q_example_quality(spark, sf):
+    from shotweave.plans.retrieval_plans import _ev_sides
+
+    t, c = _ev_sides(spark, sf, t_skel="gold_skel", c_skel="gold_skel")
+    top = block_knn(t, c, 7, metric="cosine", skeleton_rule="score_only", keep_jaccard=True)
+    q = pr.example_quality(top.select("target_id", "jaccard"))
+    return q.select("target_id", F.round("quality", 6).alias("quality"), F.round("overall", 6).alias("overall"))

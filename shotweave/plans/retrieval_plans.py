@@ -161,7 +161,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY CASE WHEN jac
 SELECT target_id, cand_id, round(dist, 6) AS score, CAST(rk AS INTEGER) AS rk, round(jac, 6) AS jaccard FROM r WHERE rk <= 5""")
 def q_knn_preskeleton_backfill(spark, sf):
     t, c = _ev_sides(spark, sf, t_skel="pre_skel", c_skel="gold_skel")
-    return block_knn(t, c, 5, metric="euclid", skeleton_rule="backfill", keep_jaccard=True)
+    return block_knn(t, c, 5, metric="euclid", skeleton_rule="backfill", keep_jaccard=True).withColumn(
+        "jaccard", F.round("jaccard", 6))
 
 
 @register("knn_preskeleton_plus", oracle=_ev_skel("pre_skel", "gold_skel") + """,
@@ -169,7 +170,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(dist -
 SELECT target_id, cand_id, round(dist, 6) AS score, CAST(rk AS INTEGER) AS rk, round(jac, 6) AS jaccard FROM r WHERE rk <= 5""")
 def q_knn_preskeleton_plus(spark, sf):
     t, c = _ev_sides(spark, sf, t_skel="pre_skel", c_skel="gold_skel")
-    return block_knn(t, c, 5, metric="euclid", skeleton_rule="plus", keep_jaccard=True)
+    return block_knn(t, c, 5, metric="euclid", skeleton_rule="plus", keep_jaccard=True).withColumn(
+        "jaccard", F.round("jaccard", 6))
 
 
 @register("retrieve_random", oracle=f"""
