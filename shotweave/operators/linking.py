@@ -205,21 +205,19 @@ def question_pattern(questions: DataFrame, links: DataFrame) -> DataFrame:
     return mask_question(questions, links, "_", "_", out="pattern")
 
 
-def shift_links(links: DataFrame) -> DataFrame:
-    """Greedy link shifting per question (order-dependent, so one small group per
-    question in `applyInPandas`): tokens with the fewest schema links first; a token
-    keeps the links it shares with already used ones, else its exact links, else
-    all; cell links survive only on tokens without schema links."""
-
-    def shift(pdf: pd.DataFrame) -> pd.DataFrame:
-        schema = pdf[pdf["kind"].isin(["col", "tab"])]
-        by_tok: dict[int, set] = {}
-        for r in schema.itertuples():
-            by_tok.setdefault(int(r.tok_pos), set()).add((r.flag, r.kind, int(r.obj_id)))
+def shift_links(links: DataFrame, buckets: int = 64) -> DataFrame:
+    """Greedy link shifting per question (order-dependent): tokens with the fewest
+    schema links first; a token keeps the links it shares with already used ones,
+    else its exact links, else all; cell links survive only on tokens without
+    schema links. Questions are hashed into ``buckets`` groups for
+    `applyInPandas` (a question's links are few, so a bucket holds many
+    questions and the per-group overhead is paid once per bucket)."""
+
+    def shift_one(schema: dict, cell_rows: list) -> list:
         used: set = set()
         keep = []
-        for _, tok in sorted((len(v), k) for k, v in by_tok.items()):
-            ms = by_tok[tok]
+        for _, tok in sorted((len(v), k) for k, v in schema.items()):
+            ms = schema[tok]
             shared = used & ms
             if not shared:
                 exact = {m for m in ms if m[0] in (FLAGS["col_exact"], FLAGS["tab_exact"])}
@@ -228,15 +226,24 @@ def shift_links(links: DataFrame) -> DataFrame:
             else:
                 res = shared
             keep.extend((tok, kind, oid, flag) for flag, kind, oid in res)
-        cells = pdf[(pdf["kind"] == "cell") & (~pdf["tok_pos"].isin(list(by_tok)))]
-        keep.extend((int(r.tok_pos), r.kind, int(r.obj_id), r.flag) for r in cells.itertuples())
-        q = int(pdf["q_id"].iloc[0])
-        return pd.DataFrame({"q_id": [q] * len(keep), "tok_pos": [k[0] for k in keep],
-                             "kind": [k[1] for k in keep], "obj_id": [k[2] for k in keep],
-                             "flag": [k[3] for k in keep]})
-
-    src = links.where(F.col("kind").isin("col", "tab", "cell"))
-    return src.groupBy("q_id").applyInPandas(shift, "q_id long, tok_pos int, kind string, obj_id int, flag string")
+        keep.extend(c for c in cell_rows if c[0] not in schema)
+        return keep
+
+    def shift(pdf: pd.DataFrame) -> pd.DataFrame:
+        per_q: dict[int, tuple[dict, list]] = {}
+        for q, pos, kind, oid, flag in zip(pdf["q_id"].tolist(), pdf["tok_pos"].tolist(), pdf["kind"].tolist(),
+                                           pdf["obj_id"].tolist(), pdf["flag"].tolist()):
+            schema, cell_rows = per_q.setdefault(q, ({}, []))
+            if kind == "cell":
+                cell_rows.append((pos, kind, oid, flag))
+            else:
+                schema.setdefault(pos, set()).add((flag, kind, oid))
+        rows = [(q,) + k for q, (schema, cell_rows) in per_q.items() for k in shift_one(schema, cell_rows)]
+        return pd.DataFrame(rows, columns=["q_id", "tok_pos", "kind", "obj_id", "flag"])
+
+    src = links.where(F.col("kind").isin("col", "tab", "cell")).withColumn(
+        "_b", F.pmod(F.xxhash64("q_id"), F.lit(buckets)))
+    return src.groupBy("_b").applyInPandas(shift, "q_id long, tok_pos int, kind string, obj_id int, flag string")
 
 
 def linked_tables(questions: DataFrame, links: DataFrame, columns: DataFrame) -> DataFrame:
