@@ -1,0 +1,20 @@
+"""Term-count vectors: the stand-in text encoder when no embedding model is at hand
+(the selectors take any vector column, so a model's output drops in)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def term_count_vectors(df: DataFrame, id_col: str, text_col: str, out: str = "vec") -> DataFrame:
+    """(id, out ARRAY<DOUBLE>): counts of space-separated tokens over the vocabulary
+    of ``df`` (index = rank of the token in sorted order)."""
+    toks = df.select(id_col, F.explode(F.split(text_col, " ")).alias("tok"))
+    counts = toks.groupBy(id_col, "tok").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    vocab = counts.select("tok").distinct()
+    vocab = vocab.withColumn("ix", (F.dense_rank().over(Window.orderBy("tok")) - 1).cast("int"))
+    v = vocab.count()
+    per = counts.join(vocab, "tok").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("ix", "c"))).alias("m"))
+    return per.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(v - 1)),
+                                          lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias(out))

@@ -43,7 +43,7 @@ _SKIP_SQL = "[" + ", ".join(q(w) for w in lk.STOPWORDS + lk.PUNCTUATION) + "]"
 _CELLS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name_orig, '{c}' AS col_name_orig, {c} AS cell FROM {t}"
                                 for t, c in CELL_COLUMNS)
 
-_BASE = f"""WITH {EXEMPLARS}, {CATALOG},
+LINK_BODY = f"""
 lq AS (SELECT ex_id AS q_id, db_id, question, query FROM exemplars
        UNION ALL SELECT {PART_Q_OFFSET} + p_partkey, 'db_' || CAST(p_partkey % 20 AS VARCHAR),
          'Which parts are called ' || p_name || '?', 'SELECT p_partkey FROM part WHERE p_name = ''' || p_name || '''' FROM part),
@@ -85,6 +85,7 @@ sp3 AS (SELECT s.*, EXISTS (SELECT 1 FROM cc JOIN ce ON ce.table_name_orig = cc.
 cel AS (SELECT q_id, CAST(unnest(range(st, en + 1)) AS INTEGER) AS tok_pos, 'cell' AS kind, CAST(col_id AS INTEGER) AS obj_id,
           CASE WHEN is_exact THEN 'EXACTMATCH' ELSE 'PARTIALMATCH' END AS flag FROM sp3),
 links AS (SELECT * FROM sl UNION ALL SELECT * FROM nl UNION ALL SELECT * FROM cel)"""
+_BASE = f"WITH {EXEMPLARS}, {CATALOG}," + LINK_BODY
 
 
 def _questions(spark, sf):

@@ -41,6 +41,7 @@ def load_all() -> None:
         coverage_plans,
         evaluate_plans,
         linking_plans,
+        masked_plans,
         portfolio_plans,
         prompting_plans,
         retrieval_plans,
