@@ -62,7 +62,7 @@ def knn_euclid_threshold(spark, sf):
 # --------------------------------------------------------------------------- BM25
 from shotweave.functions import sqltext as st  # noqa: E402
 from shotweave.operators import pools as pl  # noqa: E402
-from shotweave.operators.bm25 import bm25_scores, bm25_topk  # noqa: E402
+from shotweave.operators.bm25 import bm25_index, bm25_scores, bm25_topk  # noqa: E402
 from shotweave.plans.oracle_sql import (CATALOG, DB_NAMES, EXEMPLAR_VECTORS, EXEMPLARS, RESPONSES,  # noqa: E402
                                         bm25_ctes, normalize_ctes, skeleton_ctes)
 from shotweave.sources.derived import exemplar_names, responses  # noqa: E402
@@ -205,13 +205,14 @@ def _pool_stages(spark, sf):
     c_dom = ev.select(F.col("ex_id").alias("cand_id"), F.col("db_id").alias("c_domain"))
     tq = ev.select(F.col("ex_id").alias("target_id"), F.col("question").alias("text"))
     cd = ev.select(F.col("ex_id").alias("cand_id"), F.col("question").alias("text"))
-    bm = bm25_topk(tq, cd, KPRIME, exclude_same_text=False)
+    index = bm25_index(cd)
+    bm = bm25_topk(tq, cd, KPRIME, exclude_same_text=False, index=index)
     cos = block_knn(ev.select(F.col("ex_id").alias("target_id"), "vec"), ev.select(F.col("ex_id").alias("cand_id"), "vec"),
                     KPRIME, metric="cosine", exclude_same_domain=False, exclude_self=False)
     main = pl.hybrid_interleave(bm, cos, t_dom, c_dom, KPRIME)
     subs = ev.select("ex_id", F.posexplode(st.parse_subquestions(F.col("question"))).alias("p", "text"))
     sub_t = subs.select((F.col("ex_id") * 100 + F.col("p") + 1).alias("target_id"), "text")
-    sb = bm25_topk(sub_t, cd, 10, exclude_same_text=False).select(
+    sb = bm25_topk(sub_t, cd, 10, exclude_same_text=False, index=index).select(
         (F.col("target_id") / 100).cast("long").alias("target_id"), (F.col("target_id") % 100).cast("int").alias("sub_no"),
         "cand_id", "rk")
     pool = pl.append_subquestion_pools(main, sb, t_dom, c_dom, per_sub=10)
