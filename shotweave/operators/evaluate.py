@@ -270,3 +270,54 @@ def apply_repair(sql: Column, bad: Column, replacement: Column) -> Column:
     pattern = F.concat(F.lit("(?i)\\b"), F.regexp_replace(bad, r"([\\.\[\]\(\)\*\+\?\^\$\|\{\}])", "\\\\$1"),
                        F.lit("\\b"))
     return F.when(replacement.isNull(), sql).otherwise(F.regexp_replace(sql, pattern, replacement))
+
+
+def repair_rounds(spark: SparkSession, queries: DataFrame, names_col: DataFrame, names_tab: DataFrame,
+                  n_rounds: int = 3) -> DataFrame:
+    """Run, repair only the failed statements, run again; at most ``n_rounds``
+    repairs. queries(qid, db_id, sql); names_*(db_id, name, ord) in catalog order.
+    Returns the history (iteration, qid, ok, error_class, sql, repaired_sql, method).
+    Unknown names come from Spark's error parameters (objectName / relationName)."""
+    current = queries.select("qid", "db_id", "sql")
+    history = []
+    for it in range(n_rounds + 1):
+        res = run_workload(spark, current.select("qid", "sql"))
+        res = res.join(current, "qid")
+        history.append(res.select(F.lit(it).alias("iteration"), "qid", "ok", "error_class", "sql"))
+        failed = res.where(~F.col("ok") & F.col("error_class").isin(
+            "UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION", "TABLE_OR_VIEW_NOT_FOUND"))
+        if it == n_rounds or failed.limit(1).count() == 0:
+            break
+        bad = F.regexp_extract("error", r"with name `([^`]+)`|The table or view `([^`]+)`", 1)
+        bad_t = F.regexp_extract("error", r"The table or view `([^`]+)`", 1)
+        f = failed.select("qid", "db_id", "sql", "error_class",
+                          F.when(F.col("error_class").startswith("UNRESOLVED_COLUMN"), F.element_at(F.split(bad, r"\."), -1))
+                          .otherwise(bad_t).alias("bad"))
+        cols = repair_identifier(f.where(F.col("error_class").startswith("UNRESOLVED_COLUMN"))
+                                 .select(F.col("qid").alias("fid"), "db_id", "bad"), names_col, "column")
+        tabs = repair_identifier(f.where(F.col("error_class") == "TABLE_OR_VIEW_NOT_FOUND")
+                                 .select(F.col("qid").alias("fid"), "db_id", "bad"), names_tab, "table")
+        fixes = cols.unionByName(tabs).withColumnRenamed("fid", "qid")
+        repaired = f.join(fixes.select("qid", "replacement", "method"), "qid", "left").select(
+            "qid", "db_id", apply_repair(F.col("sql"), F.col("bad"), F.col("replacement")).alias("sql"), "method")
+        history[-1] = history[-1].join(repaired.select("qid", F.col("sql").alias("repaired_sql"), "method"), "qid", "left")
+        current = repaired.select("qid", "db_id", "sql").cache()
+    out = None
+    for h in history:
+        if "repaired_sql" not in h.columns:
+            h = h.withColumn("repaired_sql", F.lit(None).cast("string")).withColumn("method", F.lit(None).cast("string"))
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+def workload_outcomes(history: DataFrame) -> DataFrame:
+    """Per question: final status and number of repairs; success share per round
+    is the mean of `ok` per iteration (see `round_success`)."""
+    w = Window.partitionBy("qid").orderBy(F.desc("iteration"))
+    last = history.withColumn("r", F.row_number().over(w)).where("r = 1")
+    return last.select("qid", F.when(F.col("ok"), "SUCCESS").otherwise("FAILED").alias("status"),
+                       F.col("iteration").alias("n_repairs"))
+
+
+def round_success(history: DataFrame) -> DataFrame:
+    return history.groupBy("iteration").agg(F.round(F.avg(F.col("ok").cast("double")), 6).alias("success_share"))

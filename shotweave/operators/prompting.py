@@ -119,3 +119,46 @@ def prompt_stats(prompts: DataFrame, price_per_1k: float) -> DataFrame:
     return prompts.agg(F.count(F.lit(1)).alias("n_prompts"), F.sum("prompt_tokens").alias("total_tokens"),
                        F.sum("n_examples").alias("total_examples"),
                        F.round(F.sum("prompt_tokens") * F.lit(price_per_1k) / 1000, 6).alias("cost"))
+
+
+# Agent prompt section texts.
+AGENT_SCHEMA_HEAD = "/* Given the following database schema: */\n"
+AGENT_FK_HEAD = "/* Foreign Keys: */\n/* "
+AGENT_SHOTS_HEAD = "/* Some SQL examples are provided based on similar problems: */\n\n"
+AGENT_CLOSE = "/* Answer the following with ONLY valid SQLite SQL and no explanation: {q} */\nSELECT "
+
+
+def agent_prompt(targets: DataFrame, ddl: DataFrame, fks: DataFrame, relevant: DataFrame, shots: DataFrame) -> DataFrame:
+    """One prompt per target: DDL of its relevant tables, the database's foreign keys
+    as a comment, the shots as question / SQL pairs, then the closing instruction.
+    targets(target_id, db_id, question); ddl(db_id, table_name, table_id, ddl);
+    fks(db_id, fk_no, fk); relevant(target_id, table_name); shots(target_id, rk, question, query)."""
+    d = relevant.join(targets.select("target_id", "db_id"), "target_id").join(ddl, ["db_id", "table_name"]) \
+        .groupBy("target_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_id", "ddl"))),
+                                                           lambda s: s["ddl"]), "\n\n").alias("ddls"))
+    f = fks.groupBy("db_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fk_no", "fk"))),
+                                                          lambda s: s["fk"]), ", ").alias("fk_text"))
+    s = shots.groupBy("target_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("rk", F.format_string("/* Answer the following: %s */\n%s\n\n", "question", "query").alias("t")))),
+        lambda x: x["t"]), "").alias("shot_text"))
+    j = targets.join(d, "target_id", "left").join(f, "db_id", "left").join(s, "target_id", "left")
+    close = F.format_string(AGENT_CLOSE.replace("{q}", "%s"), F.col("question"))
+    prompt = F.concat(
+        F.lit(AGENT_SCHEMA_HEAD), F.coalesce("ddls", F.lit("")), F.lit("\n\n"),
+        F.when(F.col("fk_text").isNotNull() & (F.col("fk_text") != ""),
+               F.concat(F.lit(AGENT_FK_HEAD), F.col("fk_text"), F.lit(" */\n\n"))).otherwise(F.lit("")),
+        F.when(F.col("shot_text").isNotNull(), F.concat(F.lit(AGENT_SHOTS_HEAD), F.col("shot_text"))).otherwise(F.lit("")),
+        close)
+    return j.select("target_id", prompt.alias("prompt"))
+
+
+def pattern_similarity(pairs: DataFrame) -> DataFrame:
+    """pairs(target_id, t_pattern, c_pattern) of kept shots (missing pattern = "") ->
+    per-target mean Jaccard `similarity` and the micro mean `overall`."""
+    from shotweave.functions.sqltext import with_skeleton_jaccard
+
+    p = pairs.select("target_id", F.coalesce("t_pattern", F.lit("")).alias("a"), F.coalesce("c_pattern", F.lit("")).alias("b"))
+    j = with_skeleton_jaccard(p, "a", "b")
+    per = j.groupBy("target_id").agg(F.avg("jaccard").alias("similarity"))
+    overall = j.agg(F.avg("jaccard")).first()[0]
+    return per.withColumn("overall", F.lit(1.0 if overall is None else float(overall)))

@@ -164,3 +164,47 @@ def q_repair_table(spark, sf):
     tabs = driver_columns(spark, sf).where("table_id >= 0").select(
         "db_id", F.col("table_name_orig").alias("name"), F.col("table_id").alias("ord")).distinct()
     return ev.repair_identifier(fail, tabs, "table").select("fid", "bad", "replacement", "method")
+
+
+def _workload(spark, sf):
+    """Per relational table of the catalog: a valid count, a count over a misspelt
+    column (plural) and a count over a misspelt table (plural); tables are
+    registered as temp views so each statement runs as its own Spark job."""
+    from shotweave.sources.catalog import RELATIONAL_TABLES
+
+    for t in RELATIONAL_TABLES:
+        read_table(spark, sf, t).createOrReplaceTempView(t)
+    cols = driver_columns(spark, sf)
+    db = cols.agg(F.min("db_id")).first()[0]
+    first = (cols.where((F.col("db_id") == db) & (F.col("table_id") >= 0))
+             .groupBy("table_id", "table_name_orig").agg(F.min_by("col_name_orig", "col_id").alias("c")))
+    base = first.select("table_id", "table_name_orig", "c")
+    q = base.select((F.col("table_id") * 3).alias("qid"), F.concat(F.lit("SELECT count(*) AS n FROM "), "table_name_orig").alias("sql"))
+    q = q.unionByName(base.select((F.col("table_id") * 3 + 1).alias("qid"),
+                                  F.concat(F.lit("SELECT count("), "c", F.lit("s) AS n FROM "), "table_name_orig").alias("sql")))
+    q = q.unionByName(base.select((F.col("table_id") * 3 + 2).alias("qid"),
+                                  F.concat(F.lit("SELECT count(*) AS n FROM "), "table_name_orig", F.lit("s")).alias("sql")))
+    names_col = cols.where((F.col("db_id") == db) & (F.col("table_id") >= 0)).select(
+        "db_id", F.col("col_name_orig").alias("name"), F.col("col_id").alias("ord"))
+    names_tab = cols.where((F.col("db_id") == db) & (F.col("table_id") >= 0)).select(
+        "db_id", F.col("table_name_orig").alias("name"), F.col("table_id").alias("ord")).distinct()
+    return q.withColumn("qid", F.col("qid").cast("long")).withColumn("db_id", F.lit(db)), names_col, names_tab
+
+
+@register("run_workload")
+def q_run_workload(spark, sf):
+    q, _, _ = _workload(spark, sf)
+    return ev.run_workload(spark, q.select("qid", "sql")).select("qid", "ok", "n_rows", "error_class")
+
+
+@register("repair_rounds")
+def q_repair_rounds(spark, sf):
+    q, nc, nt = _workload(spark, sf)
+    return ev.repair_rounds(spark, q, nc, nt, n_rounds=3).select("iteration", "qid", "ok", "error_class", "sql",
+                                                                "repaired_sql", "method")
+
+
+@register("workload_outcomes")
+def q_workload_outcomes(spark, sf):
+    q, nc, nt = _workload(spark, sf)
+    return ev.workload_outcomes(ev.repair_rounds(spark, q, nc, nt, n_rounds=3))

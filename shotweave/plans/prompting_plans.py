@@ -127,3 +127,41 @@ def q_example_quality(spark, sf):
     top = block_knn(t, c, 7, metric="cosine", skeleton_rule="score_only", keep_jaccard=True)
     q = pr.example_quality(top.select("target_id", "jaccard"))
     return q.select("target_id", F.round("quality", 6).alias("quality"), F.round("overall", 6).alias("overall"))
+
+
+@register("agent_prompt")
+def q_agent_prompt(spark, sf):
+    from shotweave.operators import catalog as cat
+
+    ev = _ev(spark, sf)
+    cols = driver_columns(spark, sf)
+    t = ev.select(F.col("ex_id").alias("target_id"), "vec", F.col("db_id").alias("domain"))
+    c = ev.select(F.col("ex_id").alias("cand_id"), "vec", F.col("db_id").alias("domain"))
+    top = block_knn(t, c, 2, metric="cosine")
+    shots = top.join(ev.select(F.col("ex_id").alias("cand_id"), "question", "query"), "cand_id")
+    targets = ev.select(F.col("ex_id").alias("target_id"), "db_id", "question")
+    relevant = cat.prune_tables_by_name(targets.select(F.col("target_id").alias("q_id"), "db_id", "question"), cols) \
+        .select(F.col("q_id").alias("target_id"), "table_name")
+    ddl = cat.catalog_ddl(cols).join(cat.catalog_tables(cols), ["db_id", "table_name"])
+    # foreign keys in text order
+    fks = cat.catalog_foreign_keys(cols, style="eq").select("db_id", F.col("fk").alias("fk_no"), "fk")
+    return pr.agent_prompt(targets, ddl, fks, relevant, shots.select("target_id", "rk", "question", "query"))
+
+
+@register("pattern_similarity")
+def q_pattern_similarity(spark, sf):
+    from shotweave.operators import linking as lk
+    from shotweave.plans.linking_plans import cells
+
+    ev = _ev(spark, sf)
+    qs = ev.select(F.col("ex_id").alias("q_id"), "db_id", "question",
+                   lk.tokenize_question(F.col("question")).alias("toks"))
+    pat = lk.question_pattern(qs, lk.all_links(qs, driver_columns(spark, sf), cells(spark, sf))) \
+        .select(F.col("q_id").alias("ex_id"), "pattern")
+    t = ev.select(F.col("ex_id").alias("target_id"), "vec", F.col("db_id").alias("domain"))
+    c = ev.select(F.col("ex_id").alias("cand_id"), "vec", F.col("db_id").alias("domain"))
+    top = block_knn(t, c, 7, metric="cosine")
+    pairs = (top.join(pat.select(F.col("ex_id").alias("target_id"), F.col("pattern").alias("t_pattern")), "target_id")
+             .join(pat.select(F.col("ex_id").alias("cand_id"), F.col("pattern").alias("c_pattern")), "cand_id"))
+    out = pr.pattern_similarity(pairs)
+    return out.select("target_id", F.round("similarity", 6).alias("similarity"), F.round("overall", 6).alias("overall"))
