@@ -15,15 +15,58 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Prompt texts of the schema, question and example styles.
 # ---------------------------------------------------------------------------
+_NS_HEAD = "### SQLite SQL tables, with their properties:\n#\n{schemas}\n#"
+_INSTR_HEAD = ("Below is an instruction that describes a task, paired with an input that provides further context. "
+               "Write a response that appropriately completes the request.\n\n")
+_SQL_INFO = "/* Given the following database schema: */\n{ddl}"
+_TEXT_INFO = "Given the following database schema:\n{schemas}"
+# Each style: info template, table line, question line, joiner between them, answer suffix.
+# Placeholders: {schemas} table lines, {ddl} CREATE TABLE texts, {fks} "a=b" pairs,
+# {tables} / {columns} flat name lists, {q} the question.
 SCHEMA_STYLES = {
-    "TEXT": {"header": "Given the following database schema:\n", "table": "{t}: {cols}", "sep": ", ",
-             "footer": "", "question": "Answer the following: {q}", "suffix": "\nSELECT "},
-    "NUMBERSIGN": {"header": "### Complete sqlite SQL query only and with no explanation\n"
-                             "### SQLite SQL tables, with their properties:\n#\n",
-                   "table": "# {t}({cols})", "sep": ", ", "footer": "\n#", "question": "### {q}",
-                   "suffix": "\nSELECT "},
-    "BASELINE": {"header": "", "table": "Table {t}, columns = [{cols}]", "sep": ", ", "footer": "",
-                 "question": "Q: {q}", "suffix": "\nA: SELECT "},
+    "SQL": {"info": _SQL_INFO, "table": None, "question": "/* Answer the following: {q} */", "join": "\n\n",
+            "suffix": "\nSELECT "},
+    "SQLWRULE": {"info": _SQL_INFO, "table": None, "question": "/* Answer the following with no explanation: {q} */",
+                 "join": "\n\n", "suffix": "\nSELECT "},
+    "SQLCOT": {"info": _SQL_INFO, "table": None,
+               "question": "/* Let's think step by step. Answer the following: {q} */", "join": "\n\n", "suffix": ""},
+    "TEXT": {"info": _TEXT_INFO, "table": "{t}: {cols}", "question": "Answer the following: {q}", "join": "\n",
+             "suffix": "\nSELECT "},
+    "TEXTWFK": {"info": "Given the following database schema:\n{schemas} \nAnd their foreign keys:\n{fks}",
+                "table": "{t}: {cols}", "question": "Answer the following: {q}", "join": "\n", "suffix": "\nSELECT "},
+    "TEXTWRULE": {"info": _TEXT_INFO, "table": "{t}: {cols}", "question": "Answer the following with no explanation: {q}",
+                  "join": "\n", "suffix": "\nSELECT "},
+    "TEXTCOT": {"info": _TEXT_INFO, "table": "{t}: {cols}",
+                "question": "Let's think step by step. Answer the following: {q}", "join": "\n", "suffix": ""},
+    "NUMBERSIGN": {"info": "### Complete sqlite SQL query only and with no explanation\n" + _NS_HEAD,
+                   "table": "# {t}({cols})", "question": "### {q}", "join": "\n", "suffix": "\nSELECT "},
+    "NUMBERSIGNWFK": {"info": "### Complete sqlite SQL query only and with no explanation\n" + _NS_HEAD
+                              + "\n### Their foreign keys:\n#\n# Foreign_keys=({fks})\n#",
+                      "table": "# {t}({cols})", "question": "### {q}", "join": "\n", "suffix": "\nSELECT "},
+    "NUMBERSIGNWORULE": {"info": "### Complete sqlite SQL query\n" + _NS_HEAD, "table": "# {t}({cols})",
+                         "question": "### {q}", "join": "\n", "suffix": "\nSELECT "},
+    "NUMBERSIGNCOT": {"info": "### Let's think step by step. Complete sqlite SQL query only and with no explanation\n"
+                              + _NS_HEAD, "table": "# {t}({cols})", "question": "### {q}", "join": "\n", "suffix": ""},
+    "BASELINE": {"info": "{schemas}\nForeign_keys=[{fks}]\n", "table": "Table {t}, columns = [{cols}]",
+                 "question": 'Q: "{q}"', "join": "", "suffix": "\nA: SELECT "},
+    "BASELINEWOFK": {"info": "{schemas}\n", "table": "Table {t}, columns = [{cols}]", "question": 'Q: "{q}"',
+                     "join": "", "suffix": "\nA: SELECT "},
+    "INSTRUCTION": {"info": _INSTR_HEAD + "### Instruction:\nWrite a sql to answer the question \"{q}\"\n\n"
+                                          "### Input:\n{schemas}\n",
+                    "table": "{t}({cols})", "question": "### Response:", "join": "\n", "suffix": "\nSELECT "},
+    "INSTRUCTIONWFK": {"info": _INSTR_HEAD + "### Instruction:\nWrite a sql to answer the question \"{q}\"\n\n"
+                                             "### Input:\n{schemas}\nForeign Keys:{fks}\n",
+                       "table": "{t}({cols})", "question": "### Response:", "join": "\n", "suffix": "\nSELECT "},
+    "INSTRUCTIONWRULE": {"info": _INSTR_HEAD + "### Instruction:\nWrite a sql only and with no explanation to answer "
+                                               "the question \"{q}\"\n\n### Input:\n{schemas}\n",
+                         "table": "{t}({cols})", "question": "### Response:", "join": "\n", "suffix": "\nSELECT "},
+    "INSTRUCTIONCOT": {"info": _INSTR_HEAD + "### Instruction:\nLet's think step by step. Write a sql to answer the "
+                                             "question \"{q}\"\n\n### Input:\n{schemas}\n",
+                       "table": "{t}({cols})", "question": "### Response:", "join": "\n", "suffix": ""},
+    "CBR": {"info": "# The following are the table names and column names needed to generate SQL:\n"
+                    "Tables: {tables}\nColumns: *, {columns}\nForeign keys: {fks}",
+            "table": None, "question": '# translate "{q}" into SQL query only and with no explanation:',
+            "join": "\n", "suffix": "\nSELECT "},
 }
 EXAMPLE_STYLES = {
     "ONLYSQL": {"prefix": "/* Some SQL examples are provided based on similar problems: */\n", "qa": None},
@@ -42,26 +85,50 @@ def tokens_of_length(n_chars):
     return F.when(n_chars <= 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n_chars / 4))).cast("int")
 
 
-def render_schema(tables: DataFrame, style: str) -> DataFrame:
-    """tables(db_id, table_id, table_name, cols ARRAY<STRING> in column order) ->
-    (db_id, schema_text) in the given style."""
+def schema_parts(tables: DataFrame, ddl: DataFrame, fks: DataFrame) -> DataFrame:
+    """Per database, the pieces every style is made of.
+    tables(db_id, table_id, table_name, cols ARRAY<STRING>); ddl(db_id, table_id, ddl);
+    fks(db_id, fk_no, a, b). Returns (db_id, tl ARRAY<STRUCT<t, cols>>, ddl, fks, tables, columns)."""
+    t = tables.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("table_id", F.col("table_name").alias("t"),
+                                                                         "cols"))).alias("tl"))
+    d = ddl.groupBy("db_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_id", "ddl"))),
+                                                          lambda x: x["ddl"]), "\n\n").alias("ddl"))
+    f = fks.groupBy("db_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fk_no", "a", "b"))),
+                                                          lambda x: F.concat(x["a"], F.lit("="), x["b"])), ", ").alias("fks"))
+    out = t.join(d, "db_id", "left").join(f, "db_id", "left")
+    return out.select(
+        "db_id", "tl", F.coalesce("ddl", F.lit("")).alias("ddl"), F.coalesce("fks", F.lit("")).alias("fks"),
+        F.array_join(F.transform("tl", lambda x: x["t"]), ", ").alias("tables"),
+        F.array_join(F.flatten(F.transform("tl", lambda x: F.transform(
+            x["cols"], lambda c: F.concat(x["t"], F.lit("."), c)))), ", ").alias("columns"))
+
+
+def render_schema(parts: DataFrame, style: str) -> DataFrame:
+    """(db_id, schema_text): the style's info block with every placeholder but the
+    question filled (instruction styles embed the question, filled per target)."""
     s = SCHEMA_STYLES[style]
-    line = F.format_string(s["table"].replace("{t}", "%1$s").replace("{cols}", "%2$s"),
-                           F.col("table_name"), F.array_join("cols", s["sep"]))
-    per = tables.select("db_id", "table_id", line.alias("line")).groupBy("db_id").agg(
-        F.array_sort(F.collect_list(F.struct("table_id", "line"))).alias("ls"))
-    return per.select("db_id", F.concat(F.lit(s["header"]), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"),
-                                        F.lit(s["footer"])).alias("schema_text"))
+    if s["table"] is not None:
+        fmt = s["table"].replace("{t}", "%1$s").replace("{cols}", "%2$s")
+        lines = F.array_join(F.transform("tl", lambda x: F.format_string(fmt, x["t"], F.array_join(x["cols"], ", "))),
+                             "\n")
+    else:
+        lines = F.lit("")
+    text = F.lit(s["info"])
+    for key, val in (("{schemas}", lines), ("{ddl}", F.col("ddl")), ("{fks}", F.col("fks")),
+                     ("{tables}", F.col("tables")), ("{columns}", F.col("columns"))):
+        text = F.replace(text, F.lit(key), val)
+    return parts.select("db_id", text.alias("schema_text"))
 
 
 def render_target(questions: DataFrame, schemas: DataFrame, style: str) -> DataFrame:
-    """questions(target_id, db_id, question) -> (target_id, db_id, target_text):
-    schema, question line, then the answer prefix of the style."""
+    """questions(target_id, db_id, question) -> (target_id, db_id, question_text, target_text):
+    info, question line (joined per style), then the style's answer prefix."""
     s = SCHEMA_STYLES[style]
-    q = F.format_string(s["question"].replace("{q}", "%s"), F.col("question"))
-    return questions.join(schemas, "db_id").select(
-        "target_id", "db_id", F.concat_ws("\n", "schema_text", q).alias("question_text"),
-        F.concat(F.concat_ws("\n", "schema_text", q), F.lit(s["suffix"])).alias("target_text"))
+    info = F.replace(F.col("schema_text"), F.lit("{q}"), F.col("question"))
+    qline = F.replace(F.lit(s["question"]), F.lit("{q}"), F.col("question"))
+    body = F.concat(info, F.lit(s["join"]), qline)
+    return questions.join(schemas, "db_id").select("target_id", "db_id", body.alias("question_text"),
+                                                   F.concat(body, F.lit(s["suffix"])).alias("target_text"))
 
 
 def render_example(shots: DataFrame, style: str) -> DataFrame:

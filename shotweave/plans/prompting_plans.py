@@ -20,26 +20,89 @@ def _tables(spark, sf):
                     lambda s: s["col_name_orig"]).alias("cols"))
 
 
-_TABLES_SQL = f"""{CATALOG},
-tabs AS (SELECT db_id, table_id, table_name_orig AS table_name, list(col_name_orig ORDER BY col_id) AS cols
-         FROM columns WHERE table_id >= 0 GROUP BY ALL)"""
-
+def _parts(spark, sf):
+    from shotweave.operators import catalog as cat
 
-def _schema_sql(style: str) -> str:
-    s = pr.SCHEMA_STYLES[style]
-    line = s["table"].replace("{t}", "' || table_name || '").replace("{cols}", f"' || array_to_string(cols, '{s['sep']}') || '")
-    return f"""sch AS (SELECT db_id, {_lit(s['header'])} || string_agg('{line}', chr(10) ORDER BY table_id)
-         || {_lit(s['footer'])} AS schema_text FROM tabs GROUP BY db_id)"""
+    cols = driver_columns(spark, sf)
+    ddl = cat.catalog_ddl(cols).join(cat.catalog_tables(cols), ["db_id", "table_name"]).select("db_id", "table_id", "ddl")
+    real = cols.where("table_id >= 0")
+    dst = real.select("db_id", F.col("col_id").alias("fk_col_id"),
+                      F.concat_ws(".", "table_name_orig", "col_name_orig").alias("b"))
+    fks = real.where(F.col("fk_col_id").isNotNull()).join(dst, ["db_id", "fk_col_id"]).select(
+        "db_id", F.col("col_id").alias("fk_no"), F.concat_ws(".", "table_name_orig", "col_name_orig").alias("a"), "b")
+    return pr.schema_parts(_tables(spark, sf), ddl, fks)
 
 
 def _lit(text: str) -> str:
+    """SQL literal with newlines as chr(10)."""
     parts = text.replace("'", "''").split("\n")
     return " || chr(10) || ".join(f"'{p}'" for p in parts)
 
 
-@register("render_schema", oracle=f"WITH {_TABLES_SQL}, {_schema_sql('TEXT')}\nSELECT db_id, schema_text FROM sch")
+def _sql_lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_PARTS_SQL = f"""{CATALOG},
+tabs AS (SELECT db_id, table_id, table_name_orig AS table_name, list(col_name_orig ORDER BY col_id) AS cols
+         FROM columns WHERE table_id >= 0 GROUP BY ALL),
+ddl_fk AS (SELECT c.db_id, c.table_id, c.col_id,
+             'FOREIGN KEY (' || c.col_name_orig || ') REFERENCES ' || t.table_name_orig || ' (' || t.col_name_orig || ')' AS line
+           FROM columns c JOIN columns t ON c.db_id = t.db_id AND c.fk_col_id = t.col_id WHERE c.table_id >= 0),
+ddl_per AS (SELECT db_id, table_id, table_name_orig,
+          list(col_name_orig || ' ' || CASE col_type WHEN 'text' THEN 'TEXT' WHEN 'number' THEN 'NUMERIC'
+               WHEN 'time' THEN 'TIMESTAMP' WHEN 'boolean' THEN 'BOOLEAN' ELSE 'BLOB' END ORDER BY col_id) AS cl,
+          list(col_name_orig ORDER BY col_id) FILTER (WHERE is_pk) AS pks
+        FROM columns WHERE table_id >= 0 GROUP BY ALL),
+ddl_fks AS (SELECT db_id, table_id, list(line ORDER BY col_id) AS lines FROM ddl_fk GROUP BY ALL),
+ddlt AS (SELECT p.db_id, p.table_id,
+  'CREATE TABLE ' || p.table_name_orig || ' (' || chr(10) || '  ' || array_to_string(list_concat(p.cl,
+     CASE WHEN len(coalesce(p.pks, [])) > 0 THEN ['PRIMARY KEY (' || array_to_string(p.pks, ', ') || ')'] ELSE [] END,
+     coalesce(f.lines, [])), ',' || chr(10) || '  ') || chr(10) || ')' AS ddl
+  FROM ddl_per p LEFT JOIN ddl_fks f ON p.db_id = f.db_id AND p.table_id = f.table_id),
+fkp AS (SELECT c.db_id, c.col_id AS fk_no, c.table_name_orig || '.' || c.col_name_orig || '=' || t.table_name_orig || '.' || t.col_name_orig AS ab
+        FROM columns c JOIN columns t ON c.db_id = t.db_id AND c.fk_col_id = t.col_id WHERE c.table_id >= 0),
+parts AS (SELECT t.db_id,
+   (SELECT string_agg(d.ddl, chr(10) || chr(10) ORDER BY d.table_id) FROM ddlt d WHERE d.db_id = t.db_id) AS ddl,
+   coalesce((SELECT string_agg(ab, ', ' ORDER BY fk_no) FROM fkp f WHERE f.db_id = t.db_id), '') AS fks,
+   string_agg(t.table_name, ', ' ORDER BY t.table_id) AS tables,
+   (SELECT string_agg(c.table_name_orig || '.' || c.col_name_orig, ', ' ORDER BY c.col_id) FROM columns c
+     WHERE c.db_id = t.db_id AND c.table_id >= 0) AS columns_txt
+  FROM tabs t GROUP BY t.db_id)"""
+
+
+def _style_sql(style: str) -> str:
+    """DuckDB expression of the style's info text over `parts` (alias p) and `tabs`."""
+    s = pr.SCHEMA_STYLES[style]
+    if s["table"] is not None:
+        line = _sql_lit(s["table"]).replace("{t}", "' || x.table_name || '").replace(
+            "{cols}", "' || array_to_string(x.cols, ', ') || '")
+        lines = f"(SELECT string_agg({line}, chr(10) ORDER BY x.table_id) FROM tabs x WHERE x.db_id = p.db_id)"
+    else:
+        lines = "''"
+    expr = _sql_lit(s["info"])
+    for key, val in (("{schemas}", lines), ("{ddl}", "p.ddl"), ("{fks}", "p.fks"), ("{tables}", "p.tables"),
+                     ("{columns}", "p.columns_txt")):
+        expr = f"replace({expr}, '{key}', {val})"
+    return expr
+
+
+def _schema_sql(style: str) -> str:
+    return f"sch AS (SELECT p.db_id, {_style_sql(style)} AS schema_text FROM parts p)"
+
+
+_TABLES_SQL = _PARTS_SQL
+
+
+@register("render_schema", oracle=f"WITH {_PARTS_SQL}\n" + "\nUNION ALL\n".join(
+    f"SELECT p.db_id, '{st}' AS style, {_style_sql(st)} AS schema_text FROM parts p" for st in pr.SCHEMA_STYLES))
 def q_render_schema(spark, sf):
-    return pr.render_schema(_tables(spark, sf), "TEXT")
+    parts = _parts(spark, sf).cache()
+    out = None
+    for st in pr.SCHEMA_STYLES:
+        one = pr.render_schema(parts, st).select("db_id", F.lit(st).alias("style"), "schema_text")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("render_target", oracle=f"""WITH {EXEMPLARS}, {_TABLES_SQL}, {_schema_sql('NUMBERSIGN')}
@@ -47,7 +110,7 @@ SELECT e.ex_id AS target_id, s.schema_text || chr(10) || '### ' || e.question ||
 FROM exemplars e JOIN sch s ON e.db_id = s.db_id""")
 def q_render_target(spark, sf):
     q = exemplars(spark, sf).select(F.col("ex_id").alias("target_id"), "db_id", "question")
-    return pr.render_target(q, pr.render_schema(_tables(spark, sf), "NUMBERSIGN"), "NUMBERSIGN").select(
+    return pr.render_target(q, pr.render_schema(_parts(spark, sf), "NUMBERSIGN"), "NUMBERSIGN").select(
         "target_id", "target_text")
 
 
@@ -65,7 +128,7 @@ def _packed(spark, sf):
     shots = pr.render_example(top.join(ev.select(F.col("ex_id").alias("cand_id"), "question", "query"), "cand_id"),
                               "QA")
     q = ev.select(F.col("ex_id").alias("target_id"), "db_id", "question")
-    targets = pr.render_target(q, pr.render_schema(_tables(spark, sf), "TEXT"), "TEXT")
+    targets = pr.render_target(q, pr.render_schema(_parts(spark, sf), "TEXT"), "TEXT")
     return pr.pack_prompt(targets, shots.select("target_id", "rk", "cand_id", "example_text"), 7, "QA")
 
 
