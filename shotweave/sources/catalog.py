@@ -64,8 +64,19 @@ def _kind(dt: T.DataType) -> str:
     return "others"
 
 
+_SCHEMA_CACHE: dict = {}
+
+
 def _schema_literal(spark: SparkSession, sf_dir: str) -> dict:
-    """Names, kinds and keys of the relational tables (parquet footers only)."""
+    """Names, kinds and keys of the relational tables (parquet footers only; read
+    once per table folder and session)."""
+    key = (id(spark), sf_dir)
+    if key not in _SCHEMA_CACHE:
+        _SCHEMA_CACHE[key] = _read_schema_literal(spark, sf_dir)
+    return _SCHEMA_CACHE[key]
+
+
+def _read_schema_literal(spark: SparkSession, sf_dir: str) -> dict:
     table_names, col_names, col_types = [], [(-1, "*")], ["text"]
     col_index = {}
     for tid, t in enumerate(RELATIONAL_TABLES):
