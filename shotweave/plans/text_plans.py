@@ -209,7 +209,7 @@ WITH {EXEMPLARS}, {CATALOG}, {DB_NAMES}, {normalize_ctes('exemplars', 'ex_id, db
 SELECT ex_id, skel FROM sk""")
 def q_sql_skeleton(spark, sf):
     ex = exemplar_names(spark, sf)
-    return st.with_sql_skeleton(ex, "query", "tl", "cl", "torig").select("ex_id", "skel")
+    return st.with_sql_skeleton_once(ex, "query", "db_id", "tl", "cl", "torig").select("ex_id", "skel")
 
 
 @register("skeleton_jaccard", oracle=f"""
@@ -230,7 +230,7 @@ def q_skeleton_jaccard(spark, sf):
     ex = exemplar_names(spark, sf)
     pred = responses(spark, sf).select("ex_id", st.clean_fences(F.col("response")).alias("pred"))
     j = ex.join(pred, "ex_id")
-    j = st.with_sql_skeleton(j, "query", "tl", "cl", "torig", out="gold")
-    j = st.with_sql_skeleton(j, "pred", "tl", "cl", "torig", out="pre")
+    j = st.with_sql_skeleton_once(j, "query", "db_id", "tl", "cl", "torig", out="gold")
+    j = st.with_sql_skeleton_once(j, "pred", "db_id", "tl", "cl", "torig", out="pre")
     j = st.with_skeleton_jaccard(j, "gold", "pre")
     return j.select("ex_id", F.round("jaccard", 6).alias("jaccard"))
