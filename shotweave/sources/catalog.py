@@ -118,10 +118,17 @@ def driver_schema_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_schema_json(spark: SparkSession, path: str) -> DataFrame:
     """Read a `tables.json` file (a JSON array). A primary-key entry may be an int
     or a list of ints; both become ARRAY<INT>."""
+    def pairs(c):
+        # [table_id, name] pairs arrive as string arrays
+        return F.transform(F.col(c).cast("array<array<string>>"), lambda x: F.struct(
+            x[0].cast("int").alias("table_id"), x[1].alias("name")))
+
     raw = (spark.read.option("multiLine", True).json(path)
            .withColumn("primary_keys", F.transform(
                F.col("primary_keys").cast("array<string>"),
-               lambda p: F.coalesce(F.from_json(p, "array<int>"), F.array(p.cast("int"))))))
+               lambda p: F.coalesce(F.from_json(p, "array<int>"), F.array(p.cast("int")))))
+           .withColumn("column_names", pairs("column_names"))
+           .withColumn("column_names_original", pairs("column_names_original")))
     return raw.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA_JSON_TYPE.fields])
 
 
