@@ -204,27 +204,34 @@ def execution_accuracy(results: DataFrame, pred: str, gold: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ workloads
-def run_workload(spark: SparkSession, queries: DataFrame, max_rows: int = RESULT_ROWS_KEPT) -> DataFrame:
-    """Run each (qid, sql) as its own Spark job; the driver only submits. Keeps at
-    most ``max_rows`` rows as JSON text, or the error condition and message.
-    Refused statements (read-only guard) are not run. Returns
+def _run_one(spark: SparkSession, r, max_rows: int):
+    if not r["safe"]:
+        return (r["qid"], False, 0, None, None, "READ_ONLY_GUARD", f"refused: {r['reason']}")
+    try:
+        df = spark.sql(r["sql"])
+        rows = df.limit(max_rows).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+                                         .alias("j")).collect()
+        return (r["qid"], True, len(rows), df.columns, [x["j"] for x in rows], None, None)
+    except AnalysisException as e:
+        return (r["qid"], False, 0, None, None, e.getCondition() or "ANALYSIS", str(e).split("\n")[0])
+    except Exception as e:  # noqa: BLE001
+        cond = getattr(e, "getCondition", lambda: None)() or type(e).__name__
+        return (r["qid"], False, 0, None, None, cond, str(e).split("\n")[0])
+
+
+def run_workload(spark: SparkSession, queries: DataFrame, max_rows: int = RESULT_ROWS_KEPT,
+                 parallel: int = 4) -> DataFrame:
+    """Run each (qid, sql) as its own Spark job; the driver only submits, from a small
+    thread pool so independent statements share the cluster. Keeps at most
+    ``max_rows`` rows as JSON text, or the error condition and message. Refused
+    statements (read-only guard) are not run. Returns
     (qid, ok, n_rows, columns, rows_json, error_class, error)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     guarded = read_only_guard(queries, "sql").select("qid", "sql", "safe", "reason")
-    out = []
-    for r in guarded.toLocalIterator():  # one statement at a time; results are bounded
-        if not r["safe"]:
-            out.append((r["qid"], False, 0, None, None, "READ_ONLY_GUARD", f"refused: {r['reason']}"))
-            continue
-        try:
-            df = spark.sql(r["sql"])
-            rows = df.limit(max_rows).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-                                             .alias("j")).collect()
-            out.append((r["qid"], True, len(rows), df.columns, [x["j"] for x in rows], None, None))
-        except AnalysisException as e:  # noqa: PERF203
-            out.append((r["qid"], False, 0, None, None, e.getCondition() or "ANALYSIS", str(e).split("\n")[0]))
-        except Exception as e:  # noqa: BLE001
-            cond = getattr(e, "getCondition", lambda: None)() or type(e).__name__
-            out.append((r["qid"], False, 0, None, None, cond, str(e).split("\n")[0]))
+    stmts = list(guarded.toLocalIterator())  # statements, not data; results are bounded
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        out = list(pool.map(lambda r: _run_one(spark, r, max_rows), stmts))
     return spark.createDataFrame(out, "qid long, ok boolean, n_rows int, columns array<string>, "
                                       "rows_json array<string>, error_class string, error string")
 
