@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,8 +26,12 @@ from shotweave.llm.textbatch import slices
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same cut for texts made of ``COMMON`` characters alone, on which the faster ``re`` has the same classes.
+COMMON_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\w\s]+|\s+(?!\S)|\s+"
+COMMON = "\\x00-\\x1b\\x20-\\x5e\\x60-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u2010-\u2027"
+
 #: Pieces a worker remembers in each of two generations, and the longest piece that it remembers.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 400_000
 MEMO_LENGTH = 64
 #: Texts beyond so many characters are split piece by piece instead of into one list.
 LIST_CHARS = 4_000_000
@@ -80,6 +85,7 @@ class MergeCounter:
             self.rank[vocab[a], vocab[b]] = (r, vocab[a + b])
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.split = regex.compile(BYTE_LEVEL_SPLIT)
+        self.common_split, self.uncommon = re.compile(COMMON_SPLIT), re.compile(f"[^{COMMON}]")
         self.memo = Memo(self.count_piece)
 
     def count_piece(self, piece: str) -> int:
@@ -120,11 +126,12 @@ class MergeCounter:
         if self.cut:
             parts = self.cut.split(text)
             total = len(parts) - 1
+        split = self.split if self.uncommon.search(text) else self.common_split
         for part in parts:
             if len(part) <= LIST_CHARS:
-                total += sum(map(self.memo.__getitem__, self.split.findall(part)))
+                total += sum(map(self.memo.__getitem__, split.findall(part)))
             else:
-                total += sum(self.memo[m.group()] for m in self.split.finditer(part))
+                total += sum(self.memo[m.group()] for m in split.finditer(part))
         return total
 
 
