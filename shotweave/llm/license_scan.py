@@ -1,7 +1,7 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
-A document's units are its lines, its paragraphs (between blank lines) and its whole text. A
-unit of a bigrams can reach Dice coefficient t with a template of b bigrams only if
+A document's units are its lines, its paragraphs (between blank lines) and its whole text.
+Bigrams count as often as they occur. A unit of a bigrams can reach Dice coefficient t with a template of b bigrams only if
 a * t / (2 - t) <= b <= a * (2 - t) / t. These bounds are a small table from the number of
 bigrams to the templates within reach, so a unit meets its few candidates by an equality join
 with a broadcast table whose size depends on the templates alone; most units meet none and
@@ -12,6 +12,8 @@ the final sum per document.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,14 +45,12 @@ TEMPLATES = {
 }
 
 
-def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
-    """Distinct word bigrams of each template, normalised as ``normalised`` does."""
-    import re
-
+def template_bigrams(templates: dict[str, str]) -> dict[str, Counter]:
+    """Word bigrams of each template with their counts, normalised as ``words_of`` does."""
     out = {}
     for name, text in templates.items():
-        words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
-        out[name] = sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        out[name] = Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
         if not out[name]:
             raise ValueError(f"template {name} has no bigram")
     return out
@@ -61,23 +61,24 @@ def size_bounds(n: int, min_dice: float) -> tuple[int, int]:
     return math.ceil(n * min_dice / (2 - min_dice) - 1e-9), math.floor(n * (2 - min_dice) / min_dice + 1e-9)
 
 
-def normalised(text: Column) -> Column:
-    """ASCII letters and digits in lower case, every other run one space."""
-    return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9]+", " "))
+def words_of(text: Column) -> Column:
+    """Runs of ASCII letters and digits of the lower-cased text (the array may start and end with an empty string)."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
 
 
 def bigrams(words: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1),
-                                       lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit): lines, paragraphs of several lines, and the whole text where it has several lines."""
+def unit_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, words) of lines, paragraphs of several lines, and the whole text where it has several paragraphs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    paragraphs = F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    whole = F.when((F.size(lines) > 1) & (F.size(F.split(text, r"\n[ \t]*\n")) > 1), F.array(text)).otherwise(F.array().cast("array<string>"))
-    return docs.select("doc_id", F.explode(F.concat(lines, paragraphs, whole)).alias("unit"))
+    none = F.array().cast("array<string>")
+    paragraphs = F.split(text, r"\n[ \t]*\n")
+    several = F.when(F.instr(text, "\n") > 0, F.concat(F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n"))),
+                                                       F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(none))).otherwise(none)
+    # Split inside the array: explode is a border that no projection above it is merged across, so it is done once.
+    return docs.select("doc_id", F.explode(F.transform(F.concat(F.split(text, "\n"), several), words_of)).alias("split"))
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
@@ -85,23 +86,24 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, min_dice:
     grams = template_bigrams(TEMPLATES if templates is None else templates)
     reach = []
     for name, own in grams.items():
-        low, high = size_bounds(len(own), min_dice)
-        reach += [(size, name, own) for size in range(low, high + 1)]
-    spark = docs.sparkSession
-    table = spark.createDataFrame(reach, "unit_bigrams int, license string, grams array<string>")
-    longest = max(r[0] for r in reach) + 1
-    # A unit within reach has at most so many distinct bigrams; repeated bigrams may make it longer, which the exact
-    # size decides. Units with too few words for the smallest template go first.
-    shortest = min(r[0] for r in reach) + 1
-    worded = (units(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-              .filter(F.length("unit") >= 2 * shortest - 1)
-              .withColumn("words", F.split(normalised(F.col("unit")), " ")).filter(F.size("words") >= shortest)
-              .withColumn("unit_grams", bigrams(F.col("words")))
-              .select("doc_id", "unit_grams", F.size("unit_grams").alias("unit_bigrams")).filter(F.col("unit_bigrams") < longest))
-    met = worded.join(F.broadcast(table), "unit_bigrams")  # rows: the templates' size ranges
-    shared = F.size(F.array_intersect("unit_grams", "grams"))
-    return (met.select("doc_id", "license", shared.alias("shared"), "unit_bigrams", F.size("grams").alias("template_bigrams"))
-            .filter(F.col("shared") * 2 >= F.lit(min_dice) * (F.col("unit_bigrams") + F.col("template_bigrams"))))
+        low, high = size_bounds(own.total(), min_dice)
+        reach += [(size, name, own.total(), own.total() - len(own), [{"gram": g, "n": n} for g, n in own.items()]) for size in range(low, high + 1)]
+    table = docs.sparkSession.createDataFrame(
+        reach, "unit_bigrams int, license string, template_bigrams int, repeated int, grams array<struct<gram string, n int>>")
+    table = table.withColumn("template_hashes", F.transform("grams", lambda g: F.xxhash64(g["gram"])))
+    shortest, longest = min(r[0] for r in reach) + 1, max(r[0] for r in reach) + 1
+    found = (unit_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+             .filter(F.size("split").between(shortest, longest + 2))
+             .select("doc_id", F.explode(F.array(bigrams(F.filter("split", lambda w: w != "")))).alias("unit_grams"))
+             .select("doc_id", "unit_grams", F.size("unit_grams").alias("unit_bigrams")))
+    # Rows of the broadcast table: the templates' size ranges. Distinct bigrams in common, and the template's repeated
+    # ones, bound the exact count, which only units over that bound get.
+    met = found.join(F.broadcast(table), "unit_bigrams")
+    need = F.lit(min_dice) * (F.col("unit_bigrams") + F.col("template_bigrams"))
+    distinct = F.size(F.array_intersect(F.transform("unit_grams", lambda g: F.xxhash64(g)), F.col("template_hashes")))
+    shared = F.aggregate("grams", F.lit(0), lambda n, g: n + F.least(g["n"], F.size(F.filter("unit_grams", lambda u: u == g["gram"]))))
+    return (met.filter(2 * (distinct + F.col("repeated")) >= need)
+            .select("doc_id", "license", shared.alias("shared"), "unit_bigrams", "template_bigrams").filter(F.col("shared") * 2 >= need))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: float = MIN_DICE) -> DataFrame:

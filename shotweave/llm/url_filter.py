@@ -3,8 +3,9 @@
 Labelled page outcomes are counted per host, and added up to registered domain and public
 suffix. At each level the share of bad outcomes of a node is shrunk towards its parent's by a
 beta-binomial prior: Beta(m * s, (1 - m) * s) with the parent's posterior mean m and a strength
-s that is fitted to the level's nodes by the method of moments. A page is blocked if the upper
-bound of its host's posterior reaches ``max_bad``... see ``judge`` for the exact rule.
+s that is fitted to the level's nodes by the method of moments. A page that no rule
+decides is blocked if the lower bound of its host's posterior (mean less ``BOUND_Z`` standard
+deviations) is above ``MAX_BAD``.
 
 All of it is DataFrame operations. Outcomes are summed per host before anything else is
 shuffled; the tables of hosts, domains and suffixes join on their own unique keys.
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 #: Second labels that form a public suffix together with a two-letter top-level domain (fixed values).
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: A page is blocked if the lower bound of its host's posterior share of bad outcomes is above this.
-MAX_BAD = 0.5
+MAX_BAD = 0.25
 #: Standard deviations between a posterior's mean and its bound.
 BOUND_Z = 1.0
 #: Limits of the fitted prior strength, in outcomes.
@@ -96,3 +97,49 @@ def _level(nodes: DataFrame, parents: DataFrame, key: str, parent: str) -> DataF
     return (joined.crossJoin(F.broadcast(fit.select(strength.alias("strength"))))  # one row
             .select(key, ((F.col("bad") + F.col("prior") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("mean"),
                     (F.col("n") + F.col("strength")).alias("weight")))
+
+
+def reputation(hosts: DataFrame) -> DataFrame:
+    """(host, mean, weight): posterior of every host of ``hosts`` (host, bad, n; one row each)."""
+    placed = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    counts = [F.sum("bad").alias("bad"), F.sum("n").alias("n")]
+    domains = placed.groupBy("domain", "suffix").agg(*counts)
+    suffixes = domains.groupBy("suffix").agg(*counts)
+    root = (suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+            .select(F.lit("").alias("root"), ((F.col("bad") + ROOT_MEAN * ROOT_STRENGTH) / (F.col("n") + ROOT_STRENGTH)).alias("mean")))
+    by_suffix = _level(suffixes.withColumn("root", F.lit("")), root, "suffix", "root")
+    by_domain = _level(domains, by_suffix, "domain", "suffix")
+    return _level(placed.select("host", "domain", "bad", "n"), by_domain, "host", "domain")
+
+
+def document_of(path: Column) -> Column:
+    """The document number at a path's end (``/en/825``, ``/en/825/``, ``/en/825.html``), else null."""
+    digits = F.regexp_extract(path, r"/([0-9]{1,18})(?:/|\.html)?$", 1)
+    return F.when(digits != "", digits.cast("long"))
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], max_bad: float = MAX_BAD, z: float = BOUND_Z) -> DataFrame:
+    """page_id, host, path, rule and verdict (allow or block) of every row of ``pages`` (page_id, url).
+
+    * An outcome is a label (doc_id, quality, toxic) of the document whose number ends the url's path; bad: quality 0
+      or toxic 1. Several label rows of a document count as one, bad if any is.
+    * A null url, or one without ``://``, has empty host and path, no rule, and the reputation of the empty host.
+      A host without labelled pages has its registered domain's expected share. Null labels are no outcome.
+    * Repeated rows give repeated rows and count as often; other columns are not read; empty tables give an empty result
+      (without labels every share is ``ROOT_MEAN``).
+    """
+    marked = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    marked = marked.fillna("", ["host", "path"]).withColumn("doc", document_of(F.col("path")))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.coalesce("quality", "toxic").isNotNull(), 0)
+    outcome = (labels.select(F.col("doc_id").cast("long").alias("doc"), bad.alias("bad")).dropna()
+               .groupBy("doc").agg(F.max("bad").alias("bad")))
+    # Pages per (host, document) first: a hot host or document is summed where it is read.
+    visits = marked.groupBy("host", "doc").agg(F.count("*").alias("visits"))
+    hosts = (visits.join(outcome, "doc", "left").groupBy("host")
+             .agg(F.coalesce(F.sum(F.col("bad") * F.col("visits")), F.lit(0)).alias("bad"),
+                  F.coalesce(F.sum(F.when(F.col("bad").isNotNull(), F.col("visits"))), F.lit(0)).alias("n")))
+    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
+    verdicts = reputation(hosts).select("host", F.when(F.col("mean") - z * sd > max_bad, "block").otherwise("allow").alias("by_host"))
+    text, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return (marked.join(verdicts, "host")
+            .select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, F.col("by_host")).alias("verdict")))
