@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shotweave.llm import bpe_codec, language_id, license_scan, quality_rules, token_count, url_filter
+from shotweave.llm import bpe_codec, language_id, license_scan, minhash_forest, quality_rules, token_count, url_filter
 
 URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"),
              url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow")]
@@ -53,3 +53,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"), URL_RULES)
+
+
+@_query
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(_read(spark, sf_dir, "documents"))
