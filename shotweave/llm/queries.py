@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shotweave.llm import bpe_codec, language_id, license_scan, minhash_forest, quality_rules, token_count, url_filter
+from shotweave.llm import bpe_codec, decontam, language_id, license_scan, minhash_forest, quality_rules, token_count, url_filter
 
 URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"),
              url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow")]
@@ -58,3 +58,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
