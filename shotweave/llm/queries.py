@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shotweave.llm import bpe_codec, decontam, language_id, license_scan, line_dedup, minhash_forest, quality_rules, token_count, url_filter
+from shotweave.llm import bpe_codec, decontam, language_id, license_scan, line_dedup, minhash_forest, quality_rules, suffix_dedup, token_count, url_filter
 
 URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"),
              url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow")]
@@ -68,3 +68,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
