@@ -7,13 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shotweave.llm import bpe_codec, decontam, language_id, license_scan, line_dedup, minhash_forest, quality_rules, suffix_dedup, token_count, url_filter
+from shotweave.llm import (bpe_codec, decontam, language_id, license_scan, line_dedup, minhash_forest, oracles, quality_rules, suffix_dedup,
+                            token_count, url_filter)
 
 URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"),
              url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: The others are tested against brute force, the tokenizers' own libraries, or held-out accuracy in tests/llm.
+ORACLES: dict[str, str] = {
+    "op6_minhash_forest": oracles.NEAR_DUPLICATE_SQL,
+    "op7_license_scan": oracles.license_sql(),
+    "op10_url_filter": oracles.url_sql(URL_RULES),
+}
 
 
 def _query(f):
