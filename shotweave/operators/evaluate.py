@@ -1,17 +1,16 @@
 """Execution, repair and evaluation of query workloads.
 
 Results are long tables `(task_id, cand_id, row_no, vals ARRAY<STRING>)`: one row
-per result row of candidate `cand_id` for task `task_id` (values normalised to
-text, NULL kept). Comparisons run per task as grouped counts and keyed joins, so
-a huge result never meets the driver: multiset equality is "same distinct rows
-with the same counts"; column permutations are pruned with per-column multiset
-fingerprints and each remaining permutation is verified exactly.
+per result row of candidate `cand_id` for task `task_id` (values as text, NULL
+kept; `normalise_values` brings numbers to one form). Comparisons run per task as
+grouped counts and keyed joins, so a huge result never meets the driver. Column
+order is taken out by colouring columns, not by trying permutations, so any width
+compares; votes and accuracy group candidates by a fingerprint of their rows.
 """
 
 from __future__ import annotations
 
 import difflib
-import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,8 +19,7 @@ from pyspark.sql.utils import AnalysisException
 
 from shotweave.functions.sqltext import read_only_reason
 
-MAX_PERM_WIDTH = 6   # beyond this many columns, permutation equality reports NULL
-RESULT_ROWS_KEPT = 50
+RESULT_ROWS_KEPT = 50   # rows of a statement's result that are shown, never what is compared
 
 
 # ----------------------------------------------------------------------- guard
@@ -32,175 +30,150 @@ def read_only_guard(df: DataFrame, sql_col: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- multiset tools
-def _rowkey(vals: Column) -> Column:
-    return F.to_json(vals)
+# A candidate without result rows does not show in `results`: functions take the list of
+# candidates(task_id, cand_id) beside it, and count those as empty results.
 
+def normalise_values(vals: Column) -> Column:
+    """Numbers in one form: `1`, `1.0` and `1.00` are equal, `1.50` is `1.5`; other text stays."""
+    whole = lambda v: F.regexp_replace(v, r"^([+-]?[0-9]+)\.0*$", "$1")
+    return F.transform(vals, lambda v: F.regexp_replace(whole(v), r"^([+-]?[0-9]*\.[0-9]*[1-9])0+$", "$1"))
 
-def candidate_pairs(results: DataFrame) -> DataFrame:
+
+def candidate_pairs(candidates: DataFrame) -> DataFrame:
     """All ordered pairs cand_a < cand_b of candidates of the same task."""
-    c = results.select("task_id", "cand_id").distinct()
+    c = candidates.select("task_id", "cand_id").distinct()
     return (c.select("task_id", F.col("cand_id").alias("cand_a"))
             .join(c.select("task_id", F.col("cand_id").alias("cand_b")), "task_id")
             .where(F.col("cand_a") < F.col("cand_b")))
 
 
-def _counts(results: DataFrame) -> DataFrame:
-    return results.groupBy("task_id", "cand_id", _rowkey(F.col("vals")).alias("rk")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _totals(results: DataFrame) -> DataFrame:
-    return (results.groupBy("task_id", "cand_id")
-            .agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(_rowkey(F.col("vals"))).alias("d"),
-                 F.max(F.size("vals")).alias("width")))
+def _counts(results: DataFrame, ordered: bool = False) -> DataFrame:
+    """Distinct rows of each candidate with their counts; with ``ordered`` a row's place counts too."""
+    key = F.to_json("vals")
+    if ordered:
+        place = F.row_number().over(Window.partitionBy("task_id", "cand_id").orderBy("row_no"))
+        results = results.withColumn("_place", place)
+        key = F.concat_ws(" ", F.col("_place").cast("string"), key)
+    return results.groupBy("task_id", "cand_id", key.alias("rk")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _multiset_equal_counts(counts_a: DataFrame, counts_b: DataFrame, tot: DataFrame, pairs: DataFrame,
-                           keys: list[str]) -> DataFrame:
-    a = counts_a.select("task_id", F.col("cand_id").alias("cand_a"), "rk", "n")
-    b = counts_b.select("task_id", F.col("cand_id").alias("cand_b"), "rk", "n")
-    matched = (pairs.join(a, ["task_id", "cand_a"]).join(b, ["task_id", "cand_b", "rk", "n"])
-               .groupBy(*keys).agg(F.count(F.lit(1)).alias("m")))
-    ta = tot.select("task_id", F.col("cand_id").alias("cand_a"), F.col("rows").alias("ra"), F.col("d").alias("da"))
-    tb = tot.select("task_id", F.col("cand_id").alias("cand_b"), F.col("rows").alias("rb"), F.col("d").alias("db"))
-    return (pairs.join(ta, ["task_id", "cand_a"]).join(tb, ["task_id", "cand_b"]).join(matched, keys, "left")
-            .withColumn("equal", (F.col("ra") == F.col("rb")) & (F.col("da") == F.col("db"))
-                        & (F.coalesce(F.col("m"), F.lit(0)) == F.col("da"))))
+def _equal_counts(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(task_id, cand_a, cand_b) with `equal`: the same keys with the same counts; no keys at all are equal too."""
+    size = counts.groupBy("task_id", "cand_id").agg(F.count(F.lit(1)).alias("d"))
+    of = lambda df, side: df.withColumnRenamed("cand_id", f"cand_{side}")
+    keys = ["task_id", "cand_a", "cand_b"]
+    common = (pairs.join(of(counts, "a"), ["task_id", "cand_a"]).join(of(counts, "b"), ["task_id", "cand_b", "rk", "n"])
+              .groupBy(*keys).agg(F.count(F.lit(1)).alias("m")))
+    return (pairs.join(of(size, "a").withColumnRenamed("d", "da"), ["task_id", "cand_a"], "left")
+            .join(of(size, "b").withColumnRenamed("d", "db"), ["task_id", "cand_b"], "left")
+            .join(common, keys, "left").fillna(0, ["da", "db", "m"])
+            .select(*keys, ((F.col("da") == F.col("db")) & (F.col("m") == F.col("da"))).alias("equal")))
 
 
-def result_multiset_equal(results: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Same rows (column order as given) with the same counts; NULL equals NULL."""
-    pairs = candidate_pairs(results) if pairs is None else pairs
-    c = _counts(results)
-    out = _multiset_equal_counts(c, c, _totals(results), pairs, ["task_id", "cand_a", "cand_b"])
-    return out.select("task_id", "cand_a", "cand_b", "equal")
+def result_multiset_equal(results: DataFrame, pairs: DataFrame | None = None, candidates: DataFrame | None = None,
+                          ordered: bool = False) -> DataFrame:
+    """Same rows (column order as given) with the same counts; NULL equals NULL. With ``ordered`` the rows must also
+    come in the same order of row_no."""
+    pairs = candidate_pairs(results if candidates is None else candidates) if pairs is None else pairs
+    return _equal_counts(_counts(results, ordered), pairs)
 
 
-def result_quick_reject(results: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Necessary test: the sets of rows with values sorted inside each row are equal."""
-    pairs = candidate_pairs(results) if pairs is None else pairs
-    s = results.select("task_id", "cand_id", F.to_json(F.array_sort("vals")).alias("sk")).distinct()
-    n = s.groupBy("task_id", "cand_id").agg(F.count(F.lit(1)).alias("k"))
-    both = (pairs.join(s.withColumnRenamed("cand_id", "cand_a"), ["task_id", "cand_a"])
-            .join(s.withColumnRenamed("cand_id", "cand_b"), ["task_id", "cand_b", "sk"])
-            .groupBy("task_id", "cand_a", "cand_b").agg(F.count(F.lit(1)).alias("common")))
-    return (pairs.join(n.select("task_id", F.col("cand_id").alias("cand_a"), F.col("k").alias("ka")), ["task_id", "cand_a"])
-            .join(n.select("task_id", F.col("cand_id").alias("cand_b"), F.col("k").alias("kb")), ["task_id", "cand_b"])
-            .join(both, ["task_id", "cand_a", "cand_b"], "left")
-            .select("task_id", "cand_a", "cand_b",
-                    ((F.col("ka") == F.col("kb")) & (F.coalesce("common", F.lit(0)) == F.col("ka"))).alias("passes")))
+def result_quick_reject(results: DataFrame, pairs: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Necessary test: the sets of rows with values sorted inside each row are equal (two empty results pass)."""
+    pairs = candidate_pairs(results if candidates is None else candidates) if pairs is None else pairs
+    s = results.select("task_id", "cand_id", F.to_json(F.array_sort("vals")).alias("rk"), F.lit(1).alias("n")).distinct()
+    return _equal_counts(s, pairs).withColumnRenamed("equal", "passes")
 
 
-def _column_values(results: DataFrame) -> DataFrame:
-    return results.select("task_id", "cand_id", F.posexplode("vals").alias("col", "v"))
+def _cells(results: DataFrame) -> DataFrame:
+    return results.select("task_id", "cand_id", "row_no", F.posexplode("vals").alias("col", "v"))
 
 
-def result_column_candidates(results: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def result_column_candidates(results: DataFrame, pairs: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """(task_id, cand_a, cand_b, col_a, col_b): column col_b of b can stand for column
-    col_a of a, i.e. every value of b's column occurs in a's column."""
-    pairs = candidate_pairs(results) if pairs is None else pairs
-    cv = _column_values(results).distinct()
+    col_a of a, i.e. every value of b's column occurs in a's column; NULL is a value."""
+    pairs = candidate_pairs(results if candidates is None else candidates) if pairs is None else pairs
+    cv = _cells(results).select("task_id", "cand_id", "col", "v").distinct()
     a = cv.select("task_id", F.col("cand_id").alias("cand_a"), F.col("col").alias("col_a"), F.col("v").alias("va"))
     b = cv.select("task_id", F.col("cand_id").alias("cand_b"), F.col("col").alias("col_b"), F.col("v").alias("vb"))
-    cols_a = a.select("task_id", "cand_a", "col_a").distinct()
-    cols_b = b.select("task_id", "cand_b", "col_b").distinct()
-    grid = pairs.join(cols_a, ["task_id", "cand_a"]).join(cols_b, ["task_id", "cand_b"])
+    grid = (pairs.join(a.select("task_id", "cand_a", "col_a").distinct(), ["task_id", "cand_a"])
+            .join(b.select("task_id", "cand_b", "col_b").distinct(), ["task_id", "cand_b"]))
+    b_vals = grid.join(b, ["task_id", "cand_b", "col_b"]).alias("x")
     # a b-value missing from a's column rules the pair of columns out
-    b_vals = grid.join(b, ["task_id", "cand_b", "col_b"])
-    hits = b_vals.join(a.withColumnRenamed("va", "vb"), ["task_id", "cand_a", "col_a", "vb"], "left_semi")
-    nb = b_vals.groupBy("task_id", "cand_a", "cand_b", "col_a", "col_b").agg(F.count(F.lit(1)).alias("nb"))
-    nh = hits.groupBy("task_id", "cand_a", "cand_b", "col_a", "col_b").agg(F.count(F.lit(1)).alias("nh"))
-    return (nb.join(nh, ["task_id", "cand_a", "cand_b", "col_a", "col_b"], "left")
-            .where(F.coalesce("nh", F.lit(0)) == F.col("nb"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("task_id", "cand_a", "col_a")]
+    ruled_out = b_vals.join(a.alias("y"), [*same, F.col("x.vb").eqNullSafe(F.col("y.va"))], "left_anti")
+    keys = ["task_id", "cand_a", "cand_b", "col_a", "col_b"]
+    return (grid.join(ruled_out.select(*keys).distinct(), keys, "left_anti")
             .select("task_id", "cand_a", "cand_b", F.col("col_a").cast("int"), F.col("col_b").cast("int")))
 
 
-def _perm_literals(width: int) -> Column:
-    return F.array(*[F.array(*[F.lit(i) for i in p]) for p in itertools.permutations(range(width))])
-
-
-def result_equal(results: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Equal under some permutation of b's columns (multiset of rows). Both empty ->
-    equal whatever the width; different row counts or widths -> not equal;
-    fingerprints of columns prune permutations, each survivor is verified exactly.
-    Widths above MAX_PERM_WIDTH give NULL."""
-    pairs = candidate_pairs(results) if pairs is None else pairs
-    tot = _totals(results)
-    # per-column multiset fingerprints (sum of value hashes and count)
-    fp = (_column_values(results).groupBy("task_id", "cand_id", "col")
-          .agg(F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("h")))
-    fpa = fp.groupBy("task_id", "cand_id").agg(F.array_sort(F.collect_list(F.struct("col", "h"))).alias("f"))
-    fa = fpa.select("task_id", F.col("cand_id").alias("cand_a"), F.transform("f", lambda s: s["h"]).alias("fa"))
-    fb = fpa.select("task_id", F.col("cand_id").alias("cand_b"), F.transform("f", lambda s: s["h"]).alias("fb"))
-    ta = tot.select("task_id", F.col("cand_id").alias("cand_a"), F.col("rows").alias("ra"), F.col("width").alias("wa"))
-    tb = tot.select("task_id", F.col("cand_id").alias("cand_b"), F.col("rows").alias("rb"), F.col("width").alias("wb"))
-    base = pairs.join(ta, ["task_id", "cand_a"]).join(tb, ["task_id", "cand_b"]) \
-        .join(fa, ["task_id", "cand_a"]).join(fb, ["task_id", "cand_b"])
-    same_shape = (F.col("ra") == F.col("rb")) & (F.col("wa") == F.col("wb"))
-    perms = None
-    for w in range(1, MAX_PERM_WIDTH + 1):
-        lit = _perm_literals(w)
-        perms = F.when(F.col("wa") == w, lit) if perms is None else perms.when(F.col("wa") == w, lit)
-    admissible = F.filter(perms, lambda p: F.forall(F.sequence(F.lit(0), F.col("wa") - 1),
-                                                     lambda j: F.col("fa")[j] == F.col("fb")[p[j]]))
-    cand = base.where(same_shape & (F.col("wa") <= MAX_PERM_WIDTH)).select(
-        "task_id", "cand_a", "cand_b", F.posexplode(admissible).alias("perm_no", "perm"))
-    ca = _counts(results).select("task_id", F.col("cand_id").alias("cand_a"), "rk", "n")
-    rb = results.select("task_id", F.col("cand_id").alias("cand_b"), "vals")
-    permuted = (cand.join(rb, ["task_id", "cand_b"])
-                .select("task_id", "cand_a", "cand_b", "perm_no",
-                        F.to_json(F.transform("perm", lambda i: F.col("vals")[i])).alias("rk")))
-    cb = permuted.groupBy("task_id", "cand_a", "cand_b", "perm_no", "rk").agg(F.count(F.lit(1)).alias("n"))
-    da = ca.groupBy("task_id", "cand_a").agg(F.count(F.lit(1)).alias("da"))
-    db_ = cb.groupBy("task_id", "cand_a", "cand_b", "perm_no").agg(F.count(F.lit(1)).alias("db"))
-    m = cb.join(ca, ["task_id", "cand_a", "rk", "n"]).groupBy("task_id", "cand_a", "cand_b", "perm_no") \
-        .agg(F.count(F.lit(1)).alias("m"))
-    ok_perm = (db_.join(da, ["task_id", "cand_a"]).join(m, ["task_id", "cand_a", "cand_b", "perm_no"], "left")
-               .where((F.col("db") == F.col("da")) & (F.coalesce("m", F.lit(0)) == F.col("da")))
-               .select("task_id", "cand_a", "cand_b").distinct().withColumn("hit", F.lit(True)))
-    return (base.join(ok_perm, ["task_id", "cand_a", "cand_b"], "left")
-            .select("task_id", "cand_a", "cand_b",
-                    F.when((F.col("ra") == 0) & (F.col("rb") == 0), F.lit(True))
-                    .when(~same_shape, F.lit(False))
-                    .when(F.col("wa") > MAX_PERM_WIDTH, F.lit(None).cast("boolean"))
-                    .otherwise(F.coalesce("hit", F.lit(False))).alias("equal")))
+def _sum_hash(*cols: str) -> Column:
+    return F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
+
+
+def _free_order(results: DataFrame) -> DataFrame:
+    """``results`` with each row's values in an order that doesn't depend on the order of the columns.
+
+    Columns get a colour from the multiset of their values, and rows one from their values and colours; two rounds of
+    refinement let columns with equal values but different rows around them differ. Values are sorted by colour; columns
+    of one colour (equal columns, as a rule) give their values in sorted order. Any width; nothing is permuted.
+    """
+    col, row = ["task_id", "cand_id", "col"], ["task_id", "cand_id", "row_no"]
+    cells = _cells(results).withColumn("nil", F.col("v").isNull())
+    colour = cells.groupBy(*col).agg(_sum_hash("v", "nil").alias("colour"))
+    for _ in range(2):
+        cells_c = cells.join(colour, col)
+        rows = cells_c.groupBy(*row).agg(_sum_hash("v", "nil", "colour").alias("sig"))
+        colour = cells_c.join(rows, row).groupBy(*col).agg(_sum_hash("v", "nil", "colour", "sig").alias("colour"))
+    return (cells.join(colour, col).groupBy(*row)
+            .agg(F.array_sort(F.collect_list(F.struct("colour", "v"))).alias("sorted"))
+            .select(*row, F.transform("sorted", lambda x: F.to_json(F.struct(x["colour"].cast("string").alias("c"), x["v"].alias("v")))).alias("vals")))
+
+
+def result_equal(results: DataFrame, pairs: DataFrame | None = None, candidates: DataFrame | None = None,
+                 ordered: bool = False) -> DataFrame:
+    """Equal under some permutation of b's columns, as multisets of rows (with ``ordered``: as lists). Both empty ->
+    equal whatever the width; different row counts or widths -> not equal. row_no must tell a candidate's rows apart."""
+    pairs = candidate_pairs(results if candidates is None else candidates) if pairs is None else pairs
+    return _equal_counts(_counts(_free_order(results), ordered), pairs)
+
+
+def result_fingerprints(results: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(task_id, cand_id, fp): fp is equal for results that `result_equal` finds equal; an empty result has its own.
+    Row count and two 64-bit sums over the rows: one pass, no pairs."""
+    key = F.to_json("vals")
+    fp = (_free_order(results).groupBy("task_id", "cand_id")
+          .agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("h"),
+               F.sum(F.xxhash64(F.lit(1), key).cast("decimal(38,0)")).alias("g")))
+    return (candidates.select("task_id", "cand_id").distinct().join(fp, ["task_id", "cand_id"], "left")
+            .select("task_id", "cand_id", F.concat_ws(",", F.coalesce("n", F.lit(0)).cast("string"), F.col("h").cast("string"),
+                                                      F.col("g").cast("string")).alias("fp")))
 
 
 def vote_by_result(results: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per task: group runnable candidates by equal results (first member order);
+    """Per task: group runnable candidates by equal results (empty results are equal);
     take the first candidate of the largest group, ties to the group seen first;
     no runnable candidate -> the first candidate.
     candidates(task_id, cand_id, cand_no, runnable)."""
     run = candidates.where("runnable")
-    pairs = (run.select("task_id", F.col("cand_id").alias("cand_a"), F.col("cand_no").alias("no_a"))
-             .join(run.select("task_id", F.col("cand_id").alias("cand_b"), F.col("cand_no").alias("no_b")), "task_id")
-             .where(F.col("no_a") < F.col("no_b")))
-    eq = result_equal(results, pairs.select("task_id", "cand_a", "cand_b")).where("equal")
-    # equality is an equivalence relation, so a candidate's group is led by the
-    # earliest candidate equal to it
-    eq = eq.join(pairs, ["task_id", "cand_a", "cand_b"])
-    leader = (run.select("task_id", F.col("cand_id").alias("cand_b"), F.col("cand_no").alias("no_b"))
-              .join(eq.select("task_id", "cand_b", "no_a"), ["task_id", "cand_b"], "left")
-              .groupBy("task_id", "cand_b", "no_b").agg(F.least(F.min("no_a"), F.first("no_b")).alias("lead")))
-    groups = leader.groupBy("task_id", "lead").agg(F.count(F.lit(1)).alias("size"))
-    w = Window.partitionBy("task_id").orderBy(F.desc("size"), "lead")
-    best = groups.withColumn("r", F.row_number().over(w)).where("r = 1")
-    chosen = best.join(candidates.select("task_id", F.col("cand_no").alias("lead"), F.col("cand_id").alias("chosen")),
-                       ["task_id", "lead"]).select("task_id", "chosen", F.col("size").alias("group_size"))
-    first = (candidates.withColumn("r", F.row_number().over(Window.partitionBy("task_id").orderBy("cand_no")))
-             .where("r = 1").select("task_id", F.col("cand_id").alias("first_cand")))
-    return (first.join(chosen, "task_id", "left")
-            .select("task_id", F.coalesce("chosen", "first_cand").alias("chosen"),
-                    F.coalesce("group_size", F.lit(0)).alias("group_size")))
-
-
-def execution_accuracy(results: DataFrame, pred: str, gold: str) -> DataFrame:
-    """Share of tasks whose predicted result equals the gold result (column order free)."""
-    tasks = results.where(F.col("cand_id") == gold).select("task_id").distinct()
-    pairs = tasks.select("task_id", F.lit(gold).alias("cand_a"), F.lit(pred).alias("cand_b"))
-    eq = result_equal(results.where(F.col("cand_id").isin(gold, pred)), pairs)
-    return (tasks.join(eq, "task_id", "left")
-            .agg(F.lit(pred).alias("pred"), F.count(F.lit(1)).alias("n_tasks"),
-                 F.round(F.avg(F.coalesce(F.col("equal"), F.lit(False)).cast("double")), 6).alias("accuracy")))
+    groups = (run.join(result_fingerprints(results, run), ["task_id", "cand_id"])
+              .groupBy("task_id", "fp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cand_no", "cand_id")).alias("lead")))
+    best = groups.groupBy("task_id").agg(F.min(F.struct((-F.col("size")).alias("order"), "lead", "size")).alias("b"))
+    first = candidates.groupBy("task_id").agg(F.min_by("cand_id", "cand_no").alias("first_cand"))
+    return (first.join(best, "task_id", "left")
+            .select("task_id", F.coalesce("b.lead.cand_id", "first_cand").alias("chosen"),
+                    F.coalesce("b.size", F.lit(0).cast("long")).alias("group_size")))
+
+
+def execution_accuracy(results: DataFrame, pred: str, gold: str, candidates: DataFrame | None = None) -> DataFrame:
+    """Share of the tasks with a gold candidate whose predicted result equals it (column order free). A gold or
+    predicted result without rows counts as empty if ``candidates`` lists it; a task without prediction is wrong."""
+    listed = (results if candidates is None else candidates).select("task_id", "cand_id").distinct()
+    fp = result_fingerprints(results.where(F.col("cand_id").isin(gold, pred)), listed.where(F.col("cand_id").isin(gold, pred)))
+    side = lambda c, name: fp.where(F.col("cand_id") == c).select("task_id", F.col("fp").alias(name))
+    both = side(gold, "g").join(side(pred, "p"), "task_id", "left")
+    return both.agg(F.lit(pred).alias("pred"), F.count(F.lit(1)).alias("n_tasks"),
+                    F.round(F.avg(F.coalesce(F.col("g") == F.col("p"), F.lit(False)).cast("double")), 6).alias("accuracy"))
 
 
 # ------------------------------------------------------------------ workloads
@@ -209,9 +182,10 @@ def _run_one(spark: SparkSession, r, max_rows: int):
         return (r["qid"], False, 0, None, None, "READ_ONLY_GUARD", f"refused: {r['reason']}")
     try:
         df = spark.sql(r["sql"])
-        rows = df.limit(max_rows).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-                                         .alias("j")).collect()
-        return (r["qid"], True, len(rows), df.columns, [x["j"] for x in rows], None, None)
+        rows = df.limit(max_rows + 1).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+                                             .alias("j")).collect()
+        n = len(rows) if len(rows) <= max_rows else df.count()
+        return (r["qid"], True, n, df.columns, [x["j"] for x in rows[:max_rows]], None, None)
     except AnalysisException as e:
         return (r["qid"], False, 0, None, None, e.getCondition() or "ANALYSIS", str(e).split("\n")[0])
     except Exception as e:  # noqa: BLE001
@@ -223,7 +197,8 @@ def run_workload(spark: SparkSession, queries: DataFrame, max_rows: int = RESULT
                  parallel: int = 4) -> DataFrame:
     """Run each (qid, sql) as its own Spark job; the driver only submits, from a small
     thread pool so independent statements share the cluster. Keeps at most
-    ``max_rows`` rows as JSON text, or the error condition and message. Refused
+    ``max_rows`` rows as JSON text to show (n_rows is the whole result's count; results
+    are compared from tables, never from these), or the error condition and message. Refused
     statements (read-only guard) are not run. Returns
     (qid, ok, n_rows, columns, rows_json, error_class, error)."""
     from concurrent.futures import ThreadPoolExecutor
@@ -232,7 +207,7 @@ def run_workload(spark: SparkSession, queries: DataFrame, max_rows: int = RESULT
     stmts = list(guarded.toLocalIterator())  # statements, not data; results are bounded
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         out = list(pool.map(lambda r: _run_one(spark, r, max_rows), stmts))
-    return spark.createDataFrame(out, "qid long, ok boolean, n_rows int, columns array<string>, "
+    return spark.createDataFrame(out, "qid long, ok boolean, n_rows long, columns array<string>, "
                                       "rows_json array<string>, error_class string, error string")
 
 
@@ -276,7 +251,8 @@ def apply_repair(sql: Column, bad: Column, replacement: Column) -> Column:
     """Replace the bad identifier as a whole word, any case."""
     pattern = F.concat(F.lit("(?i)\\b"), F.regexp_replace(bad, r"([\\.\[\]\(\)\*\+\?\^\$\|\{\}])", "\\\\$1"),
                        F.lit("\\b"))
-    return F.when(replacement.isNull(), sql).otherwise(F.regexp_replace(sql, pattern, replacement))
+    literal = F.regexp_replace(replacement, r"([\\$])", r"\\$1")
+    return F.when(replacement.isNull(), sql).otherwise(F.regexp_replace(sql, pattern, literal))
 
 
 def repair_rounds(spark: SparkSession, queries: DataFrame, names_col: DataFrame, names_tab: DataFrame,
@@ -295,10 +271,13 @@ def repair_rounds(spark: SparkSession, queries: DataFrame, names_col: DataFrame,
             "UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION", "TABLE_OR_VIEW_NOT_FOUND"))
         if it == n_rounds or failed.limit(1).count() == 0:
             break
-        bad = F.regexp_extract("error", r"with name `([^`]+)`|The table or view `([^`]+)`", 1)
-        bad_t = F.regexp_extract("error", r"The table or view `([^`]+)`", 1)
+        # names come quoted part by part (`T1`.`names`); the last part is the unknown one
+        last_part = lambda text: F.regexp_extract(F.element_at(F.split(text, r"\."), -1), "`([^`]+)`", 1)
+        quoted = r"((?:`[^`]+`\.)*`[^`]+`)"
+        bad = last_part(F.regexp_extract("error", f"with name {quoted}", 1))
+        bad_t = last_part(F.regexp_extract("error", f"The table or view {quoted}", 1))
         f = failed.select("qid", "db_id", "sql", "error_class",
-                          F.when(F.col("error_class").startswith("UNRESOLVED_COLUMN"), F.element_at(F.split(bad, r"\."), -1))
+                          F.when(F.col("error_class").startswith("UNRESOLVED_COLUMN"), bad)
                           .otherwise(bad_t).alias("bad"))
         cols = repair_identifier(f.where(F.col("error_class").startswith("UNRESOLVED_COLUMN"))
                                  .select(F.col("qid").alias("fid"), "db_id", "bad"), names_col, "column")

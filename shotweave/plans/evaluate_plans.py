@@ -83,7 +83,7 @@ grid AS (SELECT p.task_id, p.cand_a, p.cand_b, a.col AS col_a, b.col AS col_b FR
 SELECT g.task_id, g.cand_a, g.cand_b, g.col_a, g.col_b FROM grid g
 WHERE NOT EXISTS (SELECT 1 FROM cv b WHERE b.task_id = g.task_id AND b.cand_id = g.cand_b AND b.col = g.col_b
                   AND NOT EXISTS (SELECT 1 FROM cv a WHERE a.task_id = g.task_id AND a.cand_id = g.cand_a
-                                  AND a.col = g.col_a AND a.v = b.v))""")
+                                  AND a.col = g.col_a AND a.v IS NOT DISTINCT FROM b.v))""")
 def q_result_column_candidates(spark, sf):
     return ev.result_column_candidates(_results(spark, sf))
 
@@ -117,6 +117,60 @@ def q_execution_accuracy(spark, sf):
     return ev.execution_accuracy(_results(spark, sf), pred="2-HIGH", gold="1-URGENT")
 
 
+# Wider and less tidy results: seven tagged columns turned by the priority's digit, NULLs, numbers written two ways,
+# and candidates that lose all their rows (every candidate is listed, with or without rows).
+def _wide(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_shippriority")
+    turn = F.substring("o_orderpriority", 1, 1).cast("int")
+    number = F.when(turn % 2 == 0, F.lit("1.0")).otherwise("1")
+    tagged = F.array(F.concat(F.lit("a"), "o_orderstatus"), F.when(F.col("o_orderstatus") != "P", "b"), number, F.lit("d"),
+                     F.concat(F.lit("e"), (F.col("o_custkey") % 3).cast("string")), F.lit(None).cast("string"), F.lit("2.50"))
+    vals = F.concat(F.slice(tagged, turn + 1, 7 - turn), F.slice(tagged, F.lit(1), turn))
+    task = (F.col("o_custkey") % 40).cast("long")
+    listed = o.select(task.alias("task_id"), F.col("o_orderpriority").alias("cand_id")).distinct()
+    rows = o.where(task % 7 != turn).select(task.alias("task_id"), F.col("o_orderpriority").alias("cand_id"), F.col("o_orderkey").alias("row_no"),
+                                            ev.normalise_values(vals).alias("vals"))
+    return rows, listed
+
+
+_WIDE = """w0 AS (SELECT *, CAST(o_custkey % 40 AS BIGINT) AS task_id, o_orderpriority AS cand_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS turn FROM orders),
+listed AS (SELECT DISTINCT task_id, cand_id FROM w0),
+wide AS (SELECT task_id, cand_id, concat('a', o_orderstatus, '|', CASE WHEN o_orderstatus <> 'P' THEN 'b' ELSE '-' END, '|1|d|e', CAST(o_custkey % 3 AS VARCHAR)) AS r,
+         row_number() OVER (PARTITION BY task_id, cand_id ORDER BY o_orderkey) AS place FROM w0 WHERE task_id % 7 <> turn),
+whole AS (SELECT l.task_id, l.cand_id, coalesce(list_sort(list(r) FILTER (r IS NOT NULL)), []) AS rws, coalesce(list(r ORDER BY place) FILTER (r IS NOT NULL), []) AS seq
+          FROM listed l LEFT JOIN wide USING (task_id, cand_id) GROUP BY ALL),
+wp AS (SELECT a.task_id, a.cand_id AS cand_a, b.cand_id AS cand_b, a.rws = b.rws AS equal, a.seq = b.seq AS same_list FROM whole a JOIN whole b
+       ON a.task_id = b.task_id AND a.cand_id < b.cand_id)"""
+
+
+@register("result_equal_wide", oracle=f"WITH {_WIDE}\nSELECT task_id, cand_a, cand_b, equal FROM wp")
+def q_result_equal_wide(spark, sf):
+    rows, listed = _wide(spark, sf)
+    return ev.result_equal(rows, candidates=listed)
+
+
+@register("result_equal_ordered", oracle=f"WITH {_WIDE}\nSELECT task_id, cand_a, cand_b, same_list AS equal FROM wp")
+def q_result_equal_ordered(spark, sf):
+    rows, listed = _wide(spark, sf)
+    return ev.result_equal(rows, candidates=listed, ordered=True)
+
+
+@register("vote_by_result_wide", oracle=f"""WITH {_WIDE},
+g AS (SELECT task_id, rws, count(*) AS size, min(cand_id) AS ld FROM whole GROUP BY task_id, rws)
+SELECT task_id, ld AS chosen, size AS group_size FROM g QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY size DESC, ld) = 1""")
+def q_vote_by_result_wide(spark, sf):
+    rows, listed = _wide(spark, sf)
+    return ev.vote_by_result(rows, listed.withColumn("cand_no", F.substring("cand_id", 1, 1).cast("int")).withColumn("runnable", F.lit(True)))
+
+
+@register("execution_accuracy_wide", oracle=f"""WITH {_WIDE}
+SELECT '2-HIGH' AS pred, count(*) AS n_tasks, round(avg(CASE WHEN coalesce(p.rws = g.rws, FALSE) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM whole g LEFT JOIN whole p ON p.task_id = g.task_id AND p.cand_id = '2-HIGH' WHERE g.cand_id = '1-URGENT'""")
+def q_execution_accuracy_wide(spark, sf):
+    rows, listed = _wide(spark, sf)
+    return ev.execution_accuracy(rows, pred="2-HIGH", gold="1-URGENT", candidates=listed)
+
+
 @register("read_only_guard", oracle="""
 SELECT conv_id, turn,
   CASE WHEN regexp_matches(text, '(?i)\\bDROP\\b') THEN 'DROP' WHEN regexp_matches(text, '(?i)\\bDELETE\\b') THEN 'DELETE'

@@ -29,6 +29,52 @@ def test_vote(spark):
     assert r["chosen"] == "b" and r["group_size"] == 2
 
 
+def test_empty_results_are_compared(spark):
+    res = _res(spark, [(1, "c", 0, ["1"])])
+    cands = spark.createDataFrame([(1, "a", 1, True), (1, "b", 2, True), (1, "c", 3, True)], "task_id long, cand_id string, cand_no int, runnable boolean")
+    for f in (ev.result_equal, ev.result_multiset_equal):
+        assert {(r.cand_a, r.cand_b): r.equal for r in f(res, candidates=cands).collect()} == {("a", "b"): True, ("a", "c"): False, ("b", "c"): False}
+    assert {r.passes for r in ev.result_quick_reject(res, candidates=cands).collect()} == {True, False}
+    vote = ev.vote_by_result(res, cands).first()
+    assert (vote.chosen, vote.group_size) == ("a", 2)
+    acc = ev.execution_accuracy(res, pred="b", gold="a", candidates=cands).first()
+    assert (acc.n_tasks, acc.accuracy) == (1, 1.0)
+
+
+def test_wide_null_and_ordered_results(spark):
+    wide = [str(i) for i in range(9)]
+    rows = [(1, "a", 0, wide), (1, "a", 1, wide[::-1]), (1, "b", 0, wide[::-1]), (1, "b", 1, wide), (2, "a", 0, [None, "x"]), (2, "b", 0, ["x", None]), (2, "c", 0, ["x", "x"])]
+    got = {(r.task_id, r.cand_a, r.cand_b): r.equal for r in ev.result_equal(_res(spark, rows)).collect()}
+    assert got == {(1, "a", "b"): True, (2, "a", "b"): True, (2, "a", "c"): False, (2, "b", "c"): False}
+    plain = _res(spark, [(1, "a", 0, ["1"]), (1, "a", 1, ["2"]), (1, "b", 5, ["2"]), (1, "b", 9, ["1"])])
+    assert [ev.result_multiset_equal(plain, ordered=o).first().equal for o in (False, True)] == [True, False]
+    cols = {(r.col_a, r.col_b) for r in ev.result_column_candidates(_res(spark, [(1, "a", 0, [None, "x"]), (1, "b", 0, [None, "x"])])).collect()}
+    assert cols == {(0, 0), (1, 1)}
+
+
+def test_columns_with_equal_values_are_told_apart(spark):
+    # every column holds {1, 2}; only a's and b's rows pair them alike
+    rows = [(1, "a", 0, ["1", "2", "1"]), (1, "a", 1, ["2", "1", "2"]), (1, "b", 0, ["1", "1", "2"]), (1, "b", 1, ["2", "2", "1"]), (1, "c", 0, ["1", "1", "1"]), (1, "c", 1, ["2", "2", "2"])]
+    got = {(r.cand_a, r.cand_b): r.equal for r in ev.result_equal(_res(spark, rows)).collect()}
+    assert got == {("a", "b"): True, ("a", "c"): False, ("b", "c"): False}
+
+
+def test_numbers_in_one_form(spark):
+    df = spark.createDataFrame([(["1", "1.0", "1.", "-2.50", "0.500", "10", "1e5", "x1.0", None, "100"],)], "v array<string>")
+    assert df.select(ev.normalise_values(F.col("v")).alias("v")).first().v == ["1", "1", "1", "-2.5", "0.5", "10", "1e5", "x1.0", None, "100"]
+
+
+def test_qualified_names_are_repaired(spark):
+    spark.createDataFrame([(1, "Camp Nou")], "id int, name string").createOrReplaceTempView("stadium")
+    q = spark.createDataFrame([(1, "d", "SELECT T1.names FROM stadium AS T1")], "qid long, db_id string, sql string")
+    cols = spark.createDataFrame([("d", "id", 0), ("d", "name", 1)], "db_id string, name string, ord int")
+    tabs = spark.createDataFrame([("d", "stadium", 0)], "db_id string, name string, ord int")
+    out = {r.qid: r.status for r in ev.workload_outcomes(ev.repair_rounds(spark, q, cols, tabs)).collect()}
+    assert out == {1: "SUCCESS"}
+    fixed = spark.range(1).select(ev.apply_repair(F.lit("a bad b"), F.lit("bad"), F.lit("x$1\\y"))).first()[0]
+    assert fixed == "a x$1\\y b"
+
+
 def test_run_workload_and_repair(spark):
     spark.createDataFrame([(1, "Stade de France", 81338), (2, "Wembley Stadium", 90000), (3, "Camp Nou", 99354)],
                           "Stadium_ID int, Name string, Capacity int").createOrReplaceTempView("stadium")
