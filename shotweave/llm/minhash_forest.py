@@ -8,9 +8,12 @@
    large is dealt out to parts, whose documents are all compared with the region's first too.
 3. Inside a region documents are sorted by their signature in the tree's order. First, every
    document's candidate is the neighbour, among those with the longest common prefix, with the
-   best estimate, over all trees. Confirmed links give components. Then all documents of a
-   region outside its largest component are compared, by sketch, with every document of another
-   component; pairs that the sketch can't rule out are confirmed on full sets too.
+   best estimate, over all trees. Confirmed links give components. Documents of a region
+   outside its largest component then try the best document of another component, round by
+   round; what is left in several components is compared document by document. Two bounds keep
+   that from growing with the square of a region: the sketch, and the exact count of shingles
+   that a document shares with anyone at all, which no pair can exceed. Pairs that neither
+   rules out are confirmed on full sets.
 
 A pair at similarity 0.85 shares no region in any tree with probability (1 - 0.85^4)^16, 7 in a
 million; the sketch drops a pair at the limit about once in 100,000. Moves: texts once (to the
@@ -37,6 +40,9 @@ MINIMA = TREES * DEPTH
 REGION_ROWS = 20_000
 #: Neighbours looked at on one side of a document in a tree's order.
 NEIGHBOURS = 4
+#: Rounds in which every document that is outside its region's largest component tries its best other component, at
+#: most, before all remaining pairs are tried.
+BEST_ROUNDS = 4
 #: Least share, in percent, of equal shingles of a link; least equal sketch bytes (of 64) of a pair worth confirming.
 LINK_PERCENT = 85
 SKETCH_EQUAL = 41
@@ -129,22 +135,22 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def _each_region(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(documents, components, sketches, tree) of every region with at least two documents."""
+def _each_region(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, slice]]:
+    """(documents, components, sketches, tree, rows of the table) of every region with at least two documents."""
     key, doc, tree = (table.column(c).to_numpy() for c in ("key", "doc", "tree"))
     comp = table.column("comp").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
     cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         if b - a > 1:
-            yield doc[a:b], comp[a:b], sketch[a:b], int(tree[a])
+            yield doc[a:b], comp[a:b], sketch[a:b], int(tree[a]), slice(a, b)
 
 
 def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document of a region its best neighbour in the tree's order, and the region's first document."""
     for table in _regions(batches):
         out = []
-        for doc, _, sketch, tree in _each_region(table):
+        for doc, _, sketch, tree, _ in _each_region(table):
             turned = np.roll(sketch, -tree * DEPTH, axis=1)
             order = np.lexsort([doc, *turned.T[::-1]]) if len(doc) > 2 else np.arange(len(doc))
             d, s = doc[order], sketch[order]
@@ -163,17 +169,31 @@ def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(est[ok])], names=["a", "b", "equal"])
 
 
-def _crossing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a region's documents in different components that the sketch doesn't rule out."""
+def _crossing_batches(batches: Iterator[pa.RecordBatch], percent: int, best_only: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a region's documents in different components that neither sketch nor common shingles rule out.
+
+    One of the two is outside the region's largest component. With ``best_only``, each such document gives the pair
+    with the best estimate alone.
+    """
     for table in _regions(batches):
-        for doc, comp, sketch, _ in _each_region(table):
-            names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        sizes_of, common_of = (table.column(c).to_numpy() for c in ("size", "common"))
+        for doc, comp, sketch, _, rows in _each_region(table):
+            names, at, members = np.unique(comp, return_inverse=True, return_counts=True)
             if len(names) == 1:
                 continue
-            for i in np.flatnonzero(at != sizes.argmax()).tolist():
+            size, common, largest = sizes_of[rows], common_of[rows], members.argmax()
+            able = 100 * common >= percent * size  # else most of its shingles are nobody else's
+            for i in np.flatnonzero((at != largest) & able).tolist():
                 # each pair once: against the largest component, or against a later row of another small one
-                other = (at != at[i]) & ((at == sizes.argmax()) | (np.arange(len(doc)) > i))
-                hit = np.flatnonzero(other)[(sketch[other] == sketch[i]).sum(axis=1) >= SKETCH_EQUAL]
+                other = (at != at[i]) & able
+                if not best_only:
+                    other &= (at == largest) | (np.arange(len(doc)) > i)
+                shared = np.minimum(common, common[i])  # at most
+                other = np.flatnonzero(other & (100 * shared >= percent * (size + size[i] - shared)))
+                equal = (sketch[other] == sketch[i]).sum(axis=1)
+                hit = other[equal >= SKETCH_EQUAL]
+                if best_only and len(hit):
+                    hit = other[equal.argmax()][None]
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), doc[i])), pa.array(doc[hit])], names=["a", "b"])
 
@@ -224,20 +244,37 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     members = region.select(F.col("doc").alias("doc_id")).distinct()
     sets = written(texts.join(members, "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, shingles array<long>"), "sets")
 
-    def candidates(components: DataFrame | None, step, schema: str) -> DataFrame:
-        of = region.withColumn("comp", F.col("doc")) if components is None else (
-            region.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")))
-        return (of.select("key", "tree", "doc", "comp", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(step, schema))
-
     pair = ["least(a, b) as a", "greatest(a, b) as b"]
-    best = (candidates(None, _neighbour_batches, "a long, b long, equal long")
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
+    best = (by_key(region.select("key", "tree", "doc", F.col("doc").alias("comp"), "sketch")).mapInArrow(_neighbour_batches, "a long, b long, equal long")
             .groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b")))
     leads = region.filter(F.col("rows") > REGION_ROWS).filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
-    first_links = written(confirmed(best.union(leads).selectExpr(*pair).distinct(), sets, percent), "links")
-    found = connected_components(first_links)
-    crossing = candidates(found, _crossing_batches, "a long, b long").selectExpr(*pair).distinct()
-    later = written(confirmed(crossing, sets, percent), "links")
-    component = connected_components(first_links.union(later))
+    links = written(confirmed(best.union(leads).selectExpr(*pair).distinct(), sets, percent), "links")
+
+    def undecided() -> DataFrame:
+        """Regions of several components, with the components found so far."""
+        of = region.join(connected_components(links).withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+        mixed = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+        return of.join(mixed, "key", "left_semi").select("key", "tree", "doc", "comp", "sketch")
+
+    # Shingles that no other document of an undecided region has: they bound what a pair can share.
+    open_docs = written(undecided().select(F.col("doc").alias("doc_id")).distinct(), "open")
+    alone = (sets.join(open_docs, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
+             .groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone")))
+    common = written(sets.join(open_docs, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("size"))
+                     .join(alone.withColumnRenamed("doc_id", "doc"), "doc", "left").select("doc", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")).distinct(), "common")
+
+    def crossing(best_only: bool) -> DataFrame:
+        rows = by_key(undecided().join(common, "doc"))
+        pairs = rows.mapInArrow(partial(_crossing_batches, percent=percent, best_only=best_only), "a long, b long")
+        return written(confirmed(pairs.selectExpr(*pair).distinct(), sets, percent), "links")
+
+    for _ in range(BEST_ROUNDS):
+        more = crossing(best_only=True)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+    component = connected_components(links.union(crossing(best_only=False)))
     of_class = classes.join(component.withColumnRenamed("node", "first"), "first", "left").select(*same, F.coalesce("component", "first").alias("component"))
     joined = signed.select("doc_id", *same).join(of_class, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
