@@ -6,6 +6,8 @@ col_name_orig, col_type, is_pk, fk_col_id)`; column 0 is `*` with table_id -1.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,15 +149,15 @@ def fk_graph(columns: DataFrame) -> DataFrame:
     return fwd.unionByName(back)
 
 
-def fk_equivalence(columns: DataFrame, max_iter: int = 50) -> DataFrame:
+def fk_equivalence(columns: DataFrame) -> DataFrame:
     """Columns linked by foreign keys share the smallest column id of their
-    connected component (iterated min-label propagation over FK edges)."""
+    connected component (min-label propagation over FK edges until nothing changes)."""
     cols = _real_columns(columns)
     e = cols.where(F.col("fk_col_id").isNotNull()).select("db_id", F.col("col_id").alias("a"),
                                                          F.col("fk_col_id").alias("b"))
     edges = e.unionByName(e.select("db_id", F.col("b").alias("a"), F.col("a").alias("b"))).cache()
     labels = edges.select("db_id", F.col("a").alias("col_id")).distinct().withColumn("root", F.col("col_id"))
-    for i in range(max_iter):
+    for i in itertools.count():
         nb = (edges.join(labels.withColumnRenamed("col_id", "b"), ["db_id", "b"])
               .groupBy("db_id", F.col("a").alias("col_id")).agg(F.min("root").alias("nroot")))
         new = (labels.join(nb, ["db_id", "col_id"], "left")

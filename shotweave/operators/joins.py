@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows a side may hold to be shipped whole to every task.
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
-
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise return it
-    unchanged so the planner uses a shuffle join (AQE splits skewed keys)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """A side that is usually small. No hint and no count: adaptive execution broadcasts it if its measured bytes are
+    below the session's threshold, and shuffles it otherwise."""
+    return df

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import string
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,45 +204,29 @@ def question_pattern(questions: DataFrame, links: DataFrame) -> DataFrame:
     return mask_question(questions, links, "_", "_", out="pattern")
 
 
-def shift_links(links: DataFrame, buckets: int = 64) -> DataFrame:
-    """Greedy link shifting per question (order-dependent): tokens with the fewest
-    schema links first; a token keeps the links it shares with already used ones,
-    else its exact links, else all; cell links survive only on tokens without
-    schema links. Questions are hashed into ``buckets`` groups for
-    `applyInPandas` (a question's links are few, so a bucket holds many
-    questions and the per-group overhead is paid once per bucket)."""
-
-    def shift_one(schema: dict, cell_rows: list) -> list:
-        used: set = set()
-        keep = []
-        for _, tok in sorted((len(v), k) for k, v in schema.items()):
-            ms = schema[tok]
-            shared = used & ms
-            if not shared:
-                exact = {m for m in ms if m[0] in (FLAGS["col_exact"], FLAGS["tab_exact"])}
-                res = exact or ms
-                used |= res
-            else:
-                res = shared
-            keep.extend((tok, kind, oid, flag) for flag, kind, oid in res)
-        keep.extend(c for c in cell_rows if c[0] not in schema)
-        return keep
-
-    def shift(pdf: pd.DataFrame) -> pd.DataFrame:
-        per_q: dict[int, tuple[dict, list]] = {}
-        for q, pos, kind, oid, flag in zip(pdf["q_id"].tolist(), pdf["tok_pos"].tolist(), pdf["kind"].tolist(),
-                                           pdf["obj_id"].tolist(), pdf["flag"].tolist()):
-            schema, cell_rows = per_q.setdefault(q, ({}, []))
-            if kind == "cell":
-                cell_rows.append((pos, kind, oid, flag))
-            else:
-                schema.setdefault(pos, set()).add((flag, kind, oid))
-        rows = [(q,) + k for q, (schema, cell_rows) in per_q.items() for k in shift_one(schema, cell_rows)]
-        return pd.DataFrame(rows, columns=["q_id", "tok_pos", "kind", "obj_id", "flag"])
-
-    src = links.where(F.col("kind").isin("col", "tab", "cell")).withColumn(
-        "_b", F.pmod(F.xxhash64("q_id"), F.lit(buckets)))
-    return src.groupBy("_b").applyInPandas(shift, "q_id long, tok_pos int, kind string, obj_id int, flag string")
+def shift_links(links: DataFrame) -> DataFrame:
+    """Greedy link shifting per question: tokens in order of (number of schema links, position); a token keeps the
+    links that earlier tokens have kept already, else its exact links, else all it has. Cell links survive on tokens
+    without schema links. One aggregate per question (a question's links are bounded by its tokens times its schema)
+    and a fold over its tokens."""
+    exact = [FLAGS["col_exact"], FLAGS["tab_exact"]]
+    schema = links.where(F.col("kind").isin("col", "tab"))
+    tokens = (schema.groupBy("q_id", "tok_pos").agg(F.collect_set(F.struct("kind", "obj_id", "flag")).alias("own"))
+              .groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct(F.size("own").alias("n"), "tok_pos", "own"))).alias("tokens")))
+    link = "struct<kind:string,obj_id:int,flag:string>"
+    start = F.struct(F.array().cast(f"array<{link}>").alias("known"), F.array().cast(f"array<struct<tok_pos:int,kept:array<{link}>>>").alias("out"))
+
+    def step(acc, token):
+        seen = F.array_intersect(token["own"], acc["known"])
+        sure = F.filter(token["own"], lambda x: x["flag"].isin(exact))
+        kept = F.when(F.size(seen) > 0, seen).when(F.size(sure) > 0, sure).otherwise(token["own"])
+        return F.struct(F.array_union(acc["known"], kept).alias("known"),
+                        F.concat(acc["out"], F.array(F.struct(token["tok_pos"].alias("tok_pos"), kept.alias("kept")))).alias("out"))
+
+    folded = tokens.select("q_id", F.explode(F.aggregate("tokens", start, step, lambda acc: acc["out"])).alias("t"))
+    kept = folded.select("q_id", F.col("t.tok_pos").alias("tok_pos"), F.explode("t.kept").alias("l")).select("q_id", "tok_pos", "l.kind", "l.obj_id", "l.flag")
+    cells = links.where(F.col("kind") == "cell").join(schema.select("q_id", "tok_pos").distinct(), ["q_id", "tok_pos"], "left_anti")
+    return kept.unionByName(cells.select("q_id", "tok_pos", "kind", "obj_id", "flag"))
 
 
 def linked_tables(questions: DataFrame, links: DataFrame, columns: DataFrame) -> DataFrame:

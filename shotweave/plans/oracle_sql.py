@@ -7,7 +7,7 @@ with the Spark side.
 
 from __future__ import annotations
 
-from shotweave.functions.sqltext import ORDER_BY_RE, SQL_TOKEN_RE
+from shotweave.functions.sqltext import SQL_TOKEN_RE
 from shotweave.sources.catalog import FOREIGN_KEYS, PRIMARY_KEYS, RELATIONAL_TABLES
 from shotweave.sources.tables import EXEMPLARS_SQL
 
@@ -64,7 +64,8 @@ columns AS (
   FROM dbs d CROSS JOIN cat0 c)"""
 
 TOKEN_RE = q(SQL_TOKEN_RE)
-ORDER_RE = q(ORDER_BY_RE)
+_TERM = "[a-z0-9_]+([.][a-z0-9_]+)?( [(] [^ ]+ [)])?"
+ORDER_RE = q(f"order by {_TERM}( [-+<>]=? {_TERM})*")
 
 
 def normalize_ctes(src: str, id_cols: str, text_col: str, out: str) -> str:

@@ -211,9 +211,9 @@ def _pool_stages(spark, sf):
                     KPRIME, metric="cosine", exclude_same_domain=False, exclude_self=False)
     main = pl.hybrid_interleave(bm, cos, t_dom, c_dom, KPRIME)
     subs = ev.select("ex_id", F.posexplode(st.parse_subquestions(F.col("question"))).alias("p", "text"))
-    sub_t = subs.select((F.col("ex_id") * 100 + F.col("p") + 1).alias("target_id"), "text")
+    sub_t = subs.select(F.struct("ex_id", (F.col("p") + 1).alias("sub_no")).alias("target_id"), "text")
     sb = bm25_topk(sub_t, cd, 10, exclude_same_text=False, index=index).select(
-        (F.col("target_id") / 100).cast("long").alias("target_id"), (F.col("target_id") % 100).cast("int").alias("sub_no"),
+        F.col("target_id.ex_id").alias("target_id"), F.col("target_id.sub_no").cast("int").alias("sub_no"),
         "cand_id", "rk")
     pool = pl.append_subquestion_pools(main, sb, t_dom, c_dom, per_sub=10)
     return main, pool
@@ -235,11 +235,11 @@ mainp AS (SELECT target_id, cand_id, 0 AS stage, row_number() OVER (PARTITION BY
 subl AS (SELECT ex_id, db_id, list_filter(list_transform(string_split(question, ','),
            lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM ev),
 subs AS (SELECT ex_id, db_id, unnest(l) AS text, generate_subscripts(l, 1) AS sub_no FROM subl),
-sq AS (SELECT ex_id * 100 + sub_no AS target_id, text FROM subs),
+sq AS (SELECT {{'ex_id': ex_id, 'sub_no': sub_no}} AS target_id, text FROM subs),
 {bm25_ctes('sq', 'cd', 'sb')},
 sall AS (SELECT s.ex_id AS target_id, s.sub_no, c.ex_id AS cand_id, coalesce(b.score, 0) AS score, s.db_id AS t_dom,
            c.db_id AS c_dom
-         FROM subs s CROSS JOIN ev c LEFT JOIN sb b ON b.target_id = s.ex_id * 100 + s.sub_no AND b.cand_id = c.ex_id),
+         FROM subs s CROSS JOIN ev c LEFT JOIN sb b ON b.target_id.ex_id = s.ex_id AND b.target_id.sub_no = s.sub_no AND b.cand_id = c.ex_id),
 sr AS (SELECT *, row_number() OVER (PARTITION BY target_id, sub_no ORDER BY round(score, 12) DESC, cand_id) AS rk FROM sall),
 sp AS (SELECT target_id, cand_id, sub_no AS stage, rk AS ord FROM sr WHERE rk <= 10 AND t_dom <> c_dom),
 allpool AS (SELECT * FROM mainp UNION ALL SELECT * FROM sp),
