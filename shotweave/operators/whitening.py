@@ -115,8 +115,10 @@ def whiten(vecs: DataFrame) -> DataFrame:
     return apply_whitening(vecs, mean, w)
 
 
-def calibration_sample(vecs: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
-    """First n vectors in `md5(seed:vec_id)` order (the reference draws 1000 at random)."""
+def calibration_sample(vecs: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """All vectors, or on request the first n in `md5(seed:vec_id)` order."""
+    if n is None:
+        return vecs
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("vec_id").cast("string")))
     return vecs.withColumn("_k", key).orderBy("_k", "vec_id").limit(n).drop("_k")
 
@@ -162,8 +164,8 @@ def clutter_stats_no_domain(sample: DataFrame, vecs: DataFrame) -> DataFrame:
 
 def calibrate_threshold(t_scores: DataFrame) -> DataFrame:
     """eta = T at 0-based rank int(0.85 n) (capped n - 1); if above 13, mean + 1.5 sd
-    (population) clamped into [9, 13]. The sample is bounded (<= 1000 rows), so the
-    global window runs on one small partition."""
+    (population) clamped into [9, 13]. The rank is taken in one sorted partition of
+    one number per calibrated vector."""
     t = t_scores.where(F.col("t_score").isNotNull()).select("t_score")
     w = Window.orderBy("t_score")
     ranked = t.withColumn("r", F.row_number().over(w) - 1)

@@ -177,10 +177,11 @@ def q_intersect(spark, sf):
 
 
 @register("q_except", oracle="""
-SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders""")
+SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'""")
 def q_except(spark, sf):
     a = _t(spark, sf, "customer", F.col("c_custkey").alias("k"))
-    b = _t(spark, sf, "orders", F.col("o_custkey").alias("k"))
+    o = _t(spark, sf, "orders", "o_custkey", "o_orderstatus", "o_orderpriority")
+    b = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")).select(F.col("o_custkey").alias("k"))
     return a.subtract(b)
 
 

@@ -134,7 +134,7 @@ def q_extract_json_object(spark, sf):
 
 @register("parse_subquestions")
 def q_parse_subquestions(spark, sf):
-    conv = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    conv = read_table(spark, sf, "conversations")
     items = st.parse_subquestions(F.col("text"))
     return conv.select("conv_id", "turn", F.posexplode(items).alias("sub_no", "sub_question"))
 
