@@ -42,7 +42,7 @@ REGION_ROWS = 20_000
 NEIGHBOURS = 4
 #: Rounds in which every document that is outside its region's largest component tries its best other component, at
 #: most, before all remaining pairs are tried.
-BEST_ROUNDS = 4
+BEST_ROUNDS = 2
 #: Least share, in percent, of equal shingles of a link; least equal sketch bytes (of 64) of a pair worth confirming.
 LINK_PERCENT = 85
 SKETCH_EQUAL = 41
@@ -251,30 +251,38 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     leads = region.filter(F.col("rows") > REGION_ROWS).filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
     links = written(confirmed(best.union(leads).selectExpr(*pair).distinct(), sets, percent), "links")
 
+    component = written(connected_components(links), "components")
+
     def undecided() -> DataFrame:
         """Regions of several components, with the components found so far."""
-        of = region.join(connected_components(links).withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+        of = region.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
         mixed = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
         return of.join(mixed, "key", "left_semi").select("key", "tree", "doc", "comp", "sketch")
 
     # Shingles that no other document of an undecided region has: they bound what a pair can share.
     open_docs = written(undecided().select(F.col("doc").alias("doc_id")).distinct(), "open")
-    alone = (sets.join(open_docs, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
-             .groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone")))
-    common = written(sets.join(open_docs, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("size"))
-                     .join(alone.withColumnRenamed("doc_id", "doc"), "doc", "left").select("doc", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")).distinct(), "common")
-
-    def crossing(best_only: bool) -> DataFrame:
+    open_sets = sets.join(open_docs, "doc_id", "left_semi")
+    alone = (open_sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc"))
+             .filter("n = 1").groupBy("doc").agg(F.count("*").alias("alone")))
+    common = written(open_sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("size")).distinct()
+                     .join(alone, "doc", "left").select("doc", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "common")
+
+    for step in range(BEST_ROUNDS + 1):
+        last = step == BEST_ROUNDS
         rows = by_key(undecided().join(common, "doc"))
-        pairs = rows.mapInArrow(partial(_crossing_batches, percent=percent, best_only=best_only), "a long, b long")
-        return written(confirmed(pairs.selectExpr(*pair).distinct(), sets, percent), "links")
-
-    for _ in range(BEST_ROUNDS):
-        more = crossing(best_only=True)
+        pairs = rows.mapInArrow(partial(_crossing_batches, percent=percent, best_only=not last), "a long, b long")
+        more = written(confirmed(pairs.selectExpr(*pair).distinct(), sets, percent), "links")
         if more.isEmpty():
-            break
-        links = links.union(more)
-    component = connected_components(links.union(crossing(best_only=False)))
+            if last:
+                break
+            continue
+        # Components are joined by the new links between them; documents without a link so far are their own.
+        old = component.union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                              .join(component, "node", "left_anti").select("node", F.col("node").alias("component")))
+        of = lambda c: old.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+        merged = connected_components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
+        new = old.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+        component = written(new.select("node", F.coalesce("now", "component").alias("component")), "components")
     of_class = classes.join(component.withColumnRenamed("node", "first"), "first", "left").select(*same, F.coalesce("component", "first").alias("component"))
     joined = signed.select("doc_id", *same).join(of_class, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
