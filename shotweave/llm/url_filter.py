@@ -69,7 +69,7 @@ def suffix_of(host: Column) -> Column:
 
 def domain_of(host: Column, suffix: Column) -> Column:
     """Registered domain: the suffix and one label before it (the host itself if there is none)."""
-    before = F.when(host == suffix, "").otherwise(F.expr("left(host, length(host) - length(suffix) - 1)"))
+    before = F.when(host == suffix, "").otherwise(F.left(host, F.length(host) - F.length(suffix) - 1))
     return F.when(before == "", host).otherwise(F.concat_ws(".", F.substring_index(before, ".", -1), suffix))
 
 
