@@ -25,8 +25,8 @@ def base(text):
 def test_base_columns_match_brute_force(spark, clashing):
     more = [(20, "a b c a b c x#% \n a b\n a b\n\n\n", "", "", 0), (21, "x y z " * 40, "", "", 0), (22, "w v u\x85t\x1cs é|<>&$*#%", "", "", 0)]
     labels = spark.createDataFrame([(0, 1, 0), (9, 1, 0), (11, 0, 0), (None, 1, 0), (0, 1, 0)], LABELS)
-    rows = quality_rules.judge(clashing.select("doc_id", "text", "key", "words", "score").unionByName(
-        spark.createDataFrame([(d, t) for d, t, *_ in more], "doc_id long, text string"), allowMissingColumns=True), labels).collect()
+    rows = quality_rules.judge(threshold=quality_rules.THRESHOLD, labels=labels, docs=clashing.select("doc_id", "text", "key", "words", "score").unionByName(
+        spark.createDataFrame([(d, t) for d, t, *_ in more], "doc_id long, text string"), allowMissingColumns=True)).collect()
     assert len(rows) == len(awkward_docs()) + 3
     texts = {d: t for d, t, *_ in awkward_docs() + more}
     for r in rows:
