@@ -4,8 +4,7 @@
    64 minima. Documents with equal sets form one class; only its smallest doc_id goes on.
 2. The forest has 16 trees, each a different order of the signature. A region of a tree is a run
    of documents that share its first four minima. Regions of one document are dropped. A region
-   of more than ``REGION_ROWS`` is cut at a greater depth (eight minima), and what is still as
-   large is dealt out to parts, whose documents are all compared with the region's first too.
+   of more than ``REGION_ROWS`` is dealt out to parts.
 3. Inside a region documents are sorted by their signature in the tree's order. First, every
    document's candidate is the neighbour, among those with the longest common prefix, with the
    best estimate, over all trees. Confirmed links give components. Documents of a region
@@ -13,7 +12,9 @@
    round; what is left in several components is compared document by document. Two bounds keep
    that from growing with the square of a region: the sketch, and the exact count of shingles
    that a document shares with anyone at all, which no pair can exceed. Pairs that neither
-   rules out are confirmed on full sets.
+   rules out are confirmed on full sets. In a large region neighbours are looked for among the
+   documents of a part that share eight minima, and the region's first is tried with all; in
+   the steps on components every part meets every other, so that all pairs of the region do.
 
 A pair at similarity 0.85 shares no region in any tree with probability (1 - 0.85^4)^16, 7 in a
 million; the sketch drops a pair at the limit about once in 100,000. Moves: texts once (to the
@@ -182,10 +183,9 @@ def _crossing_batches(batches: Iterator[pa.RecordBatch], percent: int, best_only
             if len(names) == 1:
                 continue
             size, common, largest = sizes_of[rows], common_of[rows], members.argmax()
-            able = 100 * common >= percent * size  # else most of its shingles are nobody else's
-            for i in np.flatnonzero((at != largest) & able).tolist():
+            for i in np.flatnonzero(at != largest).tolist():
                 # each pair once: against the largest component, or against a later row of another small one
-                other = (at != at[i]) & able
+                other = at != at[i]
                 if not best_only:
                     other &= (at == largest) | (np.arange(len(doc)) > i)
                 shared = np.minimum(common, common[i])  # at most
@@ -236,19 +236,19 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     # Regions of two documents or more, by keys alone; then the sketches of their documents.
     crowded = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last")
     parts = F.ceil(F.col("rows") / REGION_ROWS)
-    region = (rows.join(crowded, "key")
-              .withColumn("key", F.when(F.col("rows") <= REGION_ROWS, F.col("key"))
-                          .otherwise(F.xxhash64(F.col("deep")[F.col("tree")], F.pmod(F.xxhash64("doc"), parts))))
-              .select("key", "tree", "doc", "sketch", "rows", "lead"))
+    large = F.col("rows") > REGION_ROWS
+    region = (rows.join(crowded, "key").withColumn("deep", F.when(large, F.col("deep")[F.col("tree")]))
+              .select("key", "tree", "doc", "sketch", "rows", "lead", "deep", F.when(large, F.pmod(F.xxhash64("doc", "key"), parts)).alias("part")))
     region = written(region, "regions")
     members = region.select(F.col("doc").alias("doc_id")).distinct()
     sets = written(texts.join(members, "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, shingles array<long>"), "sets")
 
     pair = ["least(a, b) as a", "greatest(a, b) as b"]
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
-    best = (by_key(region.select("key", "tree", "doc", F.col("doc").alias("comp"), "sketch")).mapInArrow(_neighbour_batches, "a long, b long, equal long")
+    run = F.when(large, F.xxhash64("deep", "part")).otherwise(F.col("key")).alias("key")
+    best = (by_key(region.select(run, "tree", "doc", F.col("doc").alias("comp"), "sketch")).mapInArrow(_neighbour_batches, "a long, b long, equal long")
             .groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b")))
-    leads = region.filter(F.col("rows") > REGION_ROWS).filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
+    leads = region.filter(large).filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
     links = written(confirmed(best.union(leads).selectExpr(*pair).distinct(), sets, percent), "links")
 
     component = written(connected_components(links), "components")
@@ -257,7 +257,14 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
         """Regions of several components, with the components found so far."""
         of = region.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
         mixed = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-        return of.join(mixed, "key", "left_semi").select("key", "tree", "doc", "comp", "sketch")
+        return of.join(mixed, "key", "left_semi").select("key", "tree", "doc", "comp", "sketch", "rows", "part")
+
+    def blocks(of: DataFrame) -> DataFrame:
+        """The rows, those of a large region once for every two parts with theirs, under a key of the two."""
+        others = F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != F.col("part"))
+        mates = F.when(F.col("part").isNull(), F.array(F.lit(None).cast("long"))).otherwise(others)
+        two = F.xxhash64("key", F.least("part", "mate"), F.greatest("part", "mate"))
+        return of.withColumn("mate", F.explode(mates)).withColumn("key", F.when(F.col("part").isNull(), F.col("key")).otherwise(two)).drop("rows", "part", "mate")
 
     # Shingles that no other document of an undecided region has: they bound what a pair can share.
     open_docs = written(undecided().select(F.col("doc").alias("doc_id")).distinct(), "open")
@@ -267,9 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     common = written(open_sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("size")).distinct()
                      .join(alone, "doc", "left").select("doc", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "common")
 
+    able = F.col("common") * 100 >= F.col("size") * percent  # else most of its shingles are nobody else's
     for step in range(BEST_ROUNDS + 1):
         last = step == BEST_ROUNDS
-        rows = by_key(undecided().join(common, "doc"))
+        rows = by_key(blocks(undecided().join(common, "doc").filter(able)))
         pairs = rows.mapInArrow(partial(_crossing_batches, percent=percent, best_only=not last), "a long, b long")
         more = written(confirmed(pairs.selectExpr(*pair).distinct(), sets, percent), "links")
         if more.isEmpty():

@@ -47,6 +47,22 @@ def test_components_of_a_hot_family(spark, family, monkeypatch):
         assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_pairs_far_from_the_first_of_a_large_region(spark, monkeypatch):
+    """A text, its near copy, and before them 12 texts that each differ from it in another tenth: below the limit, but in all its regions."""
+    rows = []
+    for f in range(10):
+        w = prose(7000 + f, 360).split()
+        for k in range(12):
+            rows.append((100 * f + k, " ".join([*w[:30 * k], *prose(8000 + 12 * f + k, 30).split(), *w[30 * k + 30:]])))
+        rows += [(100 * f + 50, " ".join(w)), (100 * f + 51, edited(" ".join(w), 900 + f, 3))]
+    rows = [(d, t, "", "", len(t)) for d, t in rows]
+    want, _ = near(rows)
+    assert want == {d: d - (d % 100 == 51) for d, *_ in rows}
+    monkeypatch.setattr(minhash_forest, "REGION_ROWS", 2)
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_components_of_awkward_documents(spark, clashing, empty):
     rows = minhash_forest.near_duplicates(clashing).collect()
     want, sets = near(awkward_docs())
