@@ -2,8 +2,8 @@
 
 1. Every text becomes its set of distinct 5-word shingles, a 128-bit fingerprint of the set, and
    64 minima. Documents with equal sets form one class; only its smallest doc_id goes on.
-2. The forest has 16 trees, each a different order of the signature. A region of a tree is a run
-   of documents that share its first four minima. Regions of one document are dropped. A region
+2. The forest has 16 trees for a limit of 85 %, each a different order of the signature. A region of
+   a tree is a run of documents that share its first four minima (17 trees and three for 80 %). Regions of one document are dropped. A region
    of more than ``REGION_ROWS`` is dealt out to parts.
 3. Inside a region documents are sorted by their signature in the tree's order. First, every
    document's candidate is the neighbour, among those with the longest common prefix, with the
@@ -13,11 +13,12 @@
    that from growing with the square of a region: the sketch, and the exact count of shingles
    that a document shares with anyone at all, which no pair can exceed. Pairs that neither
    rules out are confirmed on full sets. In a large region neighbours are looked for among the
-   documents of a part that share eight minima, and the region's first is tried with all; in
+   documents of a part that share twice as many minima, and the region's first is tried with all; in
    the steps on components every part meets every other, so that all pairs of the region do.
 
-A pair at similarity 0.85 shares no region in any tree with probability (1 - 0.85^4)^16, 7 in a
-million; the sketch drops a pair at the limit about once in 100,000. Moves: texts once (to the
+Trees, depth and the sketch's bound follow from the limit: a pair at the limit shares no region in
+any tree with probability (1 - 0.85^4)^16, 7 in a million, or less than 1 in 100,000 at other limits;
+the sketch drops it as rarely. Moves: texts once (to the
 documents that share a region), ids and 64-byte sketches otherwise.
 """
 
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from math import ceil, comb, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +39,42 @@ from shotweave.llm.shared import written
 from shotweave.llm.textbatch import ASCII_LOWER, find_words, hash_ngrams, hash_words, mix64, seeds, slices, text_bytes
 
 SHINGLE = 5
-TREES, DEPTH, DEEP = 16, 4, 8
-MINIMA = TREES * DEPTH
+MINIMA = 64
 REGION_ROWS = 20_000
 #: Neighbours looked at on one side of a document in a tree's order.
 NEIGHBOURS = 4
 #: Rounds in which every document that is outside its region's largest component tries its best other component, at
 #: most, before all remaining pairs are tried.
 BEST_ROUNDS = 2
-#: Least share, in percent, of equal shingles of a link; least equal sketch bytes (of 64) of a pair worth confirming.
+#: Least share, in percent, of equal shingles of a link.
 LINK_PERCENT = 85
-SKETCH_EQUAL = 41
+#: Greatest probability that a pair at the limit shares no region, and that its sketches rule it out.
+MISS = 1e-5
+
+
+class Forest(NamedTuple):
+    """Trees, minima of a region's key, and least equal sketch bytes (of 64) of a pair worth confirming."""
+
+    trees: int
+    depth: int
+    equal: int
+
+
+def forest_of(percent: int) -> Forest:
+    """The deepest forest, and the highest bound on sketches, that lose a pair at the limit with ``MISS`` at most."""
+    share = min(percent, 99) / 100
+    need = {d: ceil(log(MISS) / log(1 - share ** d)) for d in range(1, MINIMA + 1) if share ** d > 1e-9}
+    deep = [d for d, trees in need.items() if trees * d <= MINIMA]
+    if not deep:
+        raise ValueError(f"{MINIMA} minima don't find links at {percent} %")
+    byte = share + (1 - share) / 256
+    below, equal = 0.0, 0
+    while (below := below + comb(MINIMA, equal) * byte ** equal * (1 - byte) ** (MINIMA - equal)) <= MISS:
+        equal += 1
+    return Forest(need[max(deep)], max(deep), equal)
+
+
+TREES, DEPTH, SKETCH_EQUAL = forest_of(LINK_PERCENT)
 
 _A, _B = seeds(MINIMA, 21) | np.uint64(1), seeds(MINIMA, 22)
 
@@ -64,7 +92,7 @@ def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(offsets) - 1))])
 
 
-def _signatures(h: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+def _signatures(h: np.ndarray, ends: np.ndarray, forest: Forest) -> dict[str, np.ndarray]:
     """Fingerprints, region keys of two depths and byte sketches of the texts that have a shingle."""
     first = ends[:-1][np.diff(ends) > 0]
     least = np.empty((len(first), MINIMA), dtype=np.uint64)
@@ -72,26 +100,26 @@ def _signatures(h: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         least[:, k] = np.minimum.reduceat((h ^ _B[k]) * _A[k], first)
     least >>= np.uint64(24)
     key = {}
-    for name, depth in (("regions", DEPTH), ("deep", DEEP)):
-        out = np.empty((len(first), TREES), dtype=np.uint64)
-        for t in range(TREES):
+    for name, depth in (("regions", forest.depth), ("deep", 2 * forest.depth)):
+        out = np.empty((len(first), forest.trees), dtype=np.uint64)
+        for t in range(forest.trees):
             part = np.full(len(first), t + 1, dtype=np.uint64)
             for k in range(depth):
-                part = mix64(part * np.uint64(31) + least[:, (t * DEPTH + k) % MINIMA])
+                part = mix64(part * np.uint64(31) + least[:, (t * forest.depth + k) % MINIMA])
             out[:, t] = part
         key[name] = out.view(np.int64)
     return {"f1": np.add.reduceat(mix64(h ^ np.uint64(1)), first).view(np.int64),
             "f2": np.add.reduceat(mix64(h + _A[0]), first).view(np.int64), **key, "sketch": mix64(least).astype(np.uint8)}
 
 
-def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign_batches(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             h, ends = _sets(part.column("text"))
             size = np.diff(ends)
             at = np.where(size > 0, np.cumsum(size > 0) - 1, -1)
             empty = pa.array(at < 0)
-            sig = _signatures(h, ends) if len(h) else None
+            sig = _signatures(h, ends, forest) if len(h) else None
 
             def column(name: str, kind: pa.DataType) -> pa.Array:
                 if sig is None:
@@ -147,12 +175,12 @@ def _each_region(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             yield doc[a:b], comp[a:b], sketch[a:b], int(tree[a]), slice(a, b)
 
 
-def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbour_batches(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
     """For each document of a region its best neighbour in the tree's order, and the region's first document."""
     for table in _regions(batches):
         out = []
         for doc, _, sketch, tree, _ in _each_region(table):
-            turned = np.roll(sketch, -tree * DEPTH, axis=1)
+            turned = np.roll(sketch, -tree * forest.depth, axis=1)
             order = np.lexsort([doc, *turned.T[::-1]]) if len(doc) > 2 else np.arange(len(doc))
             d, s = doc[order], sketch[order]
             n = len(d)
@@ -166,11 +194,11 @@ def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             out.append(np.stack([d, mate, best]))
         if out:
             a, b, est = np.concatenate(out, axis=1)
-            ok = est >= SKETCH_EQUAL
+            ok = est >= forest.equal
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(est[ok])], names=["a", "b", "equal"])
 
 
-def _crossing_batches(batches: Iterator[pa.RecordBatch], percent: int, best_only: bool) -> Iterator[pa.RecordBatch]:
+def _crossing_batches(batches: Iterator[pa.RecordBatch], percent: int, least: int, best_only: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a region's documents in different components that neither sketch nor common shingles rule out.
 
     One of the two is outside the region's largest component. With ``best_only``, each such document gives the pair
@@ -191,7 +219,7 @@ def _crossing_batches(batches: Iterator[pa.RecordBatch], percent: int, best_only
                 shared = np.minimum(common, common[i])  # at most
                 other = np.flatnonzero(other & (100 * shared >= percent * (size + size[i] - shared)))
                 equal = (sketch[other] == sketch[i]).sum(axis=1)
-                hit = other[equal >= SKETCH_EQUAL]
+                hit = other[equal >= least]
                 if best_only and len(hit):
                     hit = other[equal.argmax()][None]
                 if len(hit):
@@ -226,8 +254,9 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     * A row with a null doc_id links with nothing; its component_id and kept are null. Repeated rows of a doc_id are
       each returned, as the same document. Other columns are not read; an empty table gives an empty result.
     """
+    forest = forest_of(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_sign_batches, "doc_id long, n_shingles long, f1 long, f2 long, regions array<long>, deep array<long>, sketch binary"), "signatures")
+    signed = written(texts.mapInArrow(partial(_sign_batches, forest=forest), "doc_id long, n_shingles long, f1 long, f2 long, regions array<long>, deep array<long>, sketch binary"), "signatures")
     known = signed.filter("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "f1", "f2"]
     classes = known.groupBy(*same).agg(F.min("doc_id").alias("first"))
@@ -246,7 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     pair = ["least(a, b) as a", "greatest(a, b) as b"]
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
     run = F.when(large, F.xxhash64("deep", "part")).otherwise(F.col("key")).alias("key")
-    best = (by_key(region.select(run, "tree", "doc", F.col("doc").alias("comp"), "sketch")).mapInArrow(_neighbour_batches, "a long, b long, equal long")
+    best = (by_key(region.select(run, "tree", "doc", F.col("doc").alias("comp"), "sketch")).mapInArrow(partial(_neighbour_batches, forest=forest), "a long, b long, equal long")
             .groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b")))
     leads = region.filter(large).filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
     links = written(confirmed(best.union(leads).selectExpr(*pair).distinct(), sets, percent), "links")
@@ -278,7 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     for step in range(BEST_ROUNDS + 1):
         last = step == BEST_ROUNDS
         rows = by_key(blocks(undecided().join(common, "doc").filter(able)))
-        pairs = rows.mapInArrow(partial(_crossing_batches, percent=percent, best_only=not last), "a long, b long")
+        pairs = rows.mapInArrow(partial(_crossing_batches, percent=percent, least=forest.equal, best_only=not last), "a long, b long")
         more = written(confirmed(pairs.selectExpr(*pair).distinct(), sets, percent), "links")
         if more.isEmpty():
             if last:

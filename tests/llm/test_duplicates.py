@@ -175,3 +175,14 @@ def test_share_of_pairs_that_no_tree_meets():
     assert (1 - 0.85 ** minhash_forest.DEPTH) ** minhash_forest.TREES < 1e-5
     p = sum(math.comb(64, k) * 0.85 ** k * 0.15 ** (64 - k) for k in range(minhash_forest.SKETCH_EQUAL))
     assert p < 1e-4
+
+
+def test_forests_lose_few_pairs_at_any_limit():
+    assert minhash_forest.forest_of(85) == (16, 4, 41)
+    for percent in (20, 50, 70, 80, 85, 90, 99):
+        trees, depth, equal = minhash_forest.forest_of(percent)
+        share = percent / 100
+        assert trees * depth <= minhash_forest.MINIMA and (1 - share ** depth) ** trees <= 1e-5
+        assert sum(math.comb(64, k) * share ** k * (1 - share) ** (64 - k) for k in range(equal)) < 1e-4
+    with pytest.raises(ValueError):
+        minhash_forest.forest_of(5)

@@ -2,7 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
-from helpers import SCHEMA, awkward_docs, prose
+from helpers import SCHEMA, awkward_docs, prose, shingles
 from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -42,6 +42,16 @@ def test_stages_one_by_one(spark, folder):
     assert not seen["near_duplicates"] & set(range(100, 140)) - {100, 101} and seen["decontamination"] == {303}
 
 
+def test_near_copies_at_the_stage_limit_go(spark, folder):
+    """A passage of 45 words of 500 replaced: similarity between 0.80 and 0.85."""
+    w = prose(77, 500, 900).split()
+    v = [f"new{i}" if 240 <= i < 285 else x for i, x in enumerate(w)]
+    a, b = shingles(" ".join(w)), shingles(" ".join(v))
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+    docs = spark.createDataFrame([(1, " ".join(w), "en", "s", 0), (2, " ".join(v), "en", "s", 0), (3, prose(78, 300), "en", "s", 0)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()} == {1, 3}
+
+
 def test_run_gives_the_encoded_corpus(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     ids = {r.doc_id for r in rows}
