@@ -75,3 +75,40 @@ reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.y,
 least_root AS (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least_root USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII string, bit by bit."""
+    step = "list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(acc, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT), lambda acc, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    """Levels of the trees over ``nodes`` (tree, pos, node, total) and the siblings of every node below a top."""
+    return f"""
+{name} AS (SELECT 0 AS level, tree, pos, node, total FROM {nodes}
+    UNION ALL SELECT level + 1, tree, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (total + 2) // 3 FROM {name} WHERE total > 1 GROUP BY level, tree, pos // 3, total),
+{name}_near AS (SELECT a.level, a.tree, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM {name} a JOIN {name} b ON a.level = b.level AND a.tree = b.tree AND a.pos // 3 = b.pos // 3 WHERE a.total > 1 GROUP BY ALL)"""
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT row_number() OVER () AS k, doc_id, source, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS changed FROM documents),
+seats AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM leaves)),
+placed AS (SELECT k, doc_id, leaf, changed, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS total
+    FROM leaves JOIN seats ON leaves.source IS NOT DISTINCT FROM seats.source),{_tree_sql("low", "placed")},
+subroots AS (SELECT tree AS pos, 0 AS tree, node, count(*) OVER () AS total FROM low WHERE total = 1),{_tree_sql("high", "subroots")},
+folded AS (SELECT k, 0 AS level, tree, pos, changed AS node, '' AS proof FROM placed
+    UNION ALL SELECT k, f.level + 1, tree, pos // 3, sha256(l || f.node || r), proof || l || r FROM folded f JOIN low_near USING (level, tree, pos)),
+risen AS (SELECT k, 0 AS level, tree AS pos, node, proof FROM folded WHERE NOT EXISTS (FROM low_near x WHERE x.level = folded.level AND x.tree = folded.tree AND x.pos = folded.pos)
+    UNION ALL SELECT k, f.level + 1, pos // 3, sha256(l || f.node || r), proof || l || r FROM risen f JOIN high_near USING (level, pos)),
+ended AS (SELECT k, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM risen GROUP BY k)
+SELECT doc_id, leaf, s.node AS subroot, h.node AS root, sha256(e.proof) AS proof_sha256, e.node AS folded_root, e.node = h.node AS verified
+FROM placed p JOIN ended e USING (k) JOIN subroots s ON s.pos = p.tree JOIN (SELECT node FROM high WHERE total = 1) h ON true"""

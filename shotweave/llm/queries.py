@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shotweave.llm import (bpe_codec, decontam, language_id, license_scan, line_dedup, minhash_forest, oracles, quality_rules, suffix_dedup,
+from shotweave.llm import (bpe_codec, decontam, language_id, license_scan, line_dedup, merkle_manifest, minhash_forest, oracles, quality_rules, suffix_dedup,
                             token_count, url_filter)
 
 URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"),
@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {
     "op6_minhash_forest": oracles.NEAR_DUPLICATE_SQL,
     "op7_license_scan": oracles.license_sql(),
     "op10_url_filter": oracles.url_sql(URL_RULES),
+    "op13_merkle_manifest": oracles.MANIFEST_SQL,
 }
 
 
@@ -79,3 +80,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return merkle_manifest.manifest(docs, merkle_manifest.newline_loss(docs))

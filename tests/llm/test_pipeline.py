@@ -65,5 +65,5 @@ def test_every_operator_has_a_query():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) <= names and "pipeline" in names
