@@ -112,3 +112,12 @@ risen AS (SELECT k, 0 AS level, tree AS pos, node, proof FROM folded WHERE NOT E
 ended AS (SELECT k, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM risen GROUP BY k)
 SELECT doc_id, leaf, s.node AS subroot, h.node AS root, sha256(e.proof) AS proof_sha256, e.node AS folded_root, e.node = h.node AS verified
 FROM placed p JOIN ended e USING (k) JOIN subroots s ON s.pos = p.tree JOIN (SELECT node FROM high WHERE total = 1) h ON true"""
+
+
+WARC_SQL = """
+WITH held AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+hashed AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h, row_number() OVER w AS k, first_value(page_id) OVER w AS least
+    FROM held WINDOW w AS (PARTITION BY payload ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+    CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN least END AS refers_to FROM hashed"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shotweave.llm import (bpe_codec, decontam, language_id, license_scan, line_dedup, merkle_manifest, minhash_forest, oracles, quality_rules, suffix_dedup,
-                            token_count, url_filter)
+                            token_count, url_filter, warc)
 
 URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"),
              url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow")]
@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {
     "op6_minhash_forest": oracles.NEAR_DUPLICATE_SQL,
     "op7_license_scan": oracles.license_sql(),
     "op10_url_filter": oracles.url_sql(URL_RULES),
+    "op11_warc_segments": oracles.WARC_SQL,
     "op13_merkle_manifest": oracles.MANIFEST_SQL,
 }
 
@@ -82,6 +83,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 @_query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
