@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shotweave.llm import (bpe_codec, decontam, language_id, license_scan, line_dedup, merkle_manifest, minhash_forest, oracles, quality_rules, suffix_dedup,
+from shotweave.llm import (bpe_codec, decontam, language_id, license_scan, line_dedup, merkle_manifest, minhash_forest, oracles, prefix_trie, quality_rules, suffix_dedup,
                             token_count, url_filter, warc)
 
 URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"),
@@ -88,6 +88,11 @@ def op11_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
 @_query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
