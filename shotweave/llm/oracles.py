@@ -121,3 +121,24 @@ hashed AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h,
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
     CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN least END AS refers_to FROM hashed"""
+
+
+TRIE_SQL = f"""
+WITH said AS (SELECT conv_id, turn, coalesce(text, '') AS text, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS dg
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, dg, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(dg, 1, 15), substr(dg, 17, 15)) - 1 AS pos FROM said),
+convs AS (SELECT DISTINCT conv_id, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS base FROM own),
+full_turns AS (SELECT c.conv_id, 0 AS part, pos, dg, words FROM convs c JOIN own o ON o.conv_id = c.base WHERE pos < h
+    UNION ALL SELECT conv_id, 1, pos, dg, words FROM own JOIN convs USING (conv_id) WHERE pos >= h),
+steps AS (SELECT conv_id, words, row_number() OVER w AS d, string_agg(dg, '') OVER w AS key FROM full_turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+ended AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM steps),
+nodes AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+    FROM ended GROUP BY d, key),
+kids AS (SELECT left(key, 64 * (d::INTEGER - 1)) AS key, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+grown AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.key = n.key AND k.d = n.d),
+upward AS (SELECT (n_convs - 1) * words AS save, (n_children = 0)::INTEGER AS leaf, key, unnest(range(0, d + 1)) AS up FROM grown),
+sums AS (SELECT left(key, 64 * up::INTEGER) AS key, sum(leaf)::BIGINT AS n_leaves, sum(save)::BIGINT AS saved_tokens FROM upward GROUP BY ALL)
+SELECT g.conv_id, g.d AS depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, n_leaves, saved_tokens, g.ends_sha256
+FROM grown g JOIN sums s ON s.key = g.key LEFT JOIN nodes p ON g.d > 0 AND p.d = g.d - 1 AND p.key = left(g.key, 64 * (g.d::INTEGER - 1))"""

@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": oracles.license_sql(),
     "op10_url_filter": oracles.url_sql(URL_RULES),
     "op11_warc_segments": oracles.WARC_SQL,
+    "op12_prefix_trie": oracles.TRIE_SQL,
     "op13_merkle_manifest": oracles.MANIFEST_SQL,
 }
 
