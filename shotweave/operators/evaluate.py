@@ -4,13 +4,14 @@ Results are long tables `(task_id, cand_id, row_no, vals ARRAY<STRING>)`: one ro
 per result row of candidate `cand_id` for task `task_id` (values as text, NULL
 kept; `normalise_values` brings numbers to one form). Comparisons run per task as
 grouped counts and keyed joins, so a huge result never meets the driver. Column
-order is taken out by colouring columns, not by trying permutations, so any width
-compares; votes and accuracy group candidates by a fingerprint of their rows.
+order is taken out by colouring columns (`resultmatch`), and only columns that stay
+tied are mapped by search; votes and accuracy group candidates by a fingerprint of their rows.
 """
 
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shotweave.functions.sqltext import read_only_reason
+from shotweave.operators import resultmatch
 
 RESULT_ROWS_KEPT = 50   # rows of a statement's result that are shown, never what is compared
 
@@ -34,9 +36,11 @@ def read_only_guard(df: DataFrame, sql_col: str) -> DataFrame:
 # candidates(task_id, cand_id) beside it, and count those as empty results.
 
 def normalise_values(vals: Column) -> Column:
-    """Numbers in one form: `1`, `1.0` and `1.00` are equal, `1.50` is `1.5`; other text stays."""
+    """Numbers in one form: `1`, `1.0` and `1.00` are equal, `1.50` is `1.5`, `1e5` is `100000`; other text stays."""
     whole = lambda v: F.regexp_replace(v, r"^([+-]?[0-9]+)\.0*$", "$1")
-    return F.transform(vals, lambda v: F.regexp_replace(whole(v), r"^([+-]?[0-9]*\.[0-9]*[1-9])0+$", "$1"))
+    plain = lambda v: F.regexp_replace(whole(v), r"^([+-]?[0-9]*\.[0-9]*[1-9])0+$", "$1")
+    power = lambda v: F.coalesce(v.try_cast("double").try_cast("decimal(38,18)").cast("string"), v)
+    return F.transform(vals, lambda v: plain(F.when(v.rlike(r"^[+-]?[0-9]*\.?[0-9]+[eE][+-]?[0-9]+$"), power(v)).otherwise(v)))
 
 
 def candidate_pairs(candidates: DataFrame) -> DataFrame:
@@ -47,14 +51,17 @@ def candidate_pairs(candidates: DataFrame) -> DataFrame:
             .where(F.col("cand_a") < F.col("cand_b")))
 
 
+def _distinct_rows(results: DataFrame, ordered: bool = False) -> DataFrame:
+    """(task_id, cand_id, place, vals, n): distinct rows, numbers in one form, with counts; with ``ordered`` a row's
+    place among its candidate's counts too (else it is 0)."""
+    place = F.row_number().over(Window.partitionBy("task_id", "cand_id").orderBy("row_no")) if ordered else F.lit(0)
+    rows = results.select("task_id", "cand_id", place.alias("place"), normalise_values(F.col("vals")).alias("vals"))
+    return rows.groupBy("task_id", "cand_id", "place", "vals").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _counts(results: DataFrame, ordered: bool = False) -> DataFrame:
-    """Distinct rows of each candidate with their counts; with ``ordered`` a row's place counts too."""
-    key = F.to_json("vals")
-    if ordered:
-        place = F.row_number().over(Window.partitionBy("task_id", "cand_id").orderBy("row_no"))
-        results = results.withColumn("_place", place)
-        key = F.concat_ws(" ", F.col("_place").cast("string"), key)
-    return results.groupBy("task_id", "cand_id", key.alias("rk")).agg(F.count(F.lit(1)).alias("n"))
+    """Distinct rows of each candidate as text, with their counts."""
+    return _distinct_rows(results, ordered).select("task_id", "cand_id", F.concat_ws(" ", F.col("place").cast("string"), F.to_json("vals")).alias("rk"), "n")
 
 
 def _equal_counts(counts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -81,12 +88,12 @@ def result_multiset_equal(results: DataFrame, pairs: DataFrame | None = None, ca
 def result_quick_reject(results: DataFrame, pairs: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """Necessary test: the sets of rows with values sorted inside each row are equal (two empty results pass)."""
     pairs = candidate_pairs(results if candidates is None else candidates) if pairs is None else pairs
-    s = results.select("task_id", "cand_id", F.to_json(F.array_sort("vals")).alias("rk"), F.lit(1).alias("n")).distinct()
+    s = results.select("task_id", "cand_id", F.to_json(F.array_sort(normalise_values(F.col("vals")))).alias("rk"), F.lit(1).alias("n")).distinct()
     return _equal_counts(s, pairs).withColumnRenamed("equal", "passes")
 
 
 def _cells(results: DataFrame) -> DataFrame:
-    return results.select("task_id", "cand_id", "row_no", F.posexplode("vals").alias("col", "v"))
+    return results.select("task_id", "cand_id", "row_no", F.posexplode(normalise_values(F.col("vals"))).alias("col", "v"))
 
 
 def result_column_candidates(results: DataFrame, pairs: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
@@ -107,47 +114,42 @@ def result_column_candidates(results: DataFrame, pairs: DataFrame | None = None,
             .select("task_id", "cand_a", "cand_b", F.col("col_a").cast("int"), F.col("col_b").cast("int")))
 
 
-def _sum_hash(*cols: str) -> Column:
-    return F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
-
-
-def _free_order(results: DataFrame) -> DataFrame:
-    """``results`` with each row's values in an order that doesn't depend on the order of the columns.
-
-    Columns get a colour from the multiset of their values, and rows one from their values and colours; two rounds of
-    refinement let columns with equal values but different rows around them differ. Values are sorted by colour; columns
-    of one colour (equal columns, as a rule) give their values in sorted order. Any width; nothing is permuted.
-    """
-    col, row = ["task_id", "cand_id", "col"], ["task_id", "cand_id", "row_no"]
-    cells = _cells(results).withColumn("nil", F.col("v").isNull())
-    colour = cells.groupBy(*col).agg(_sum_hash("v", "nil").alias("colour"))
-    for _ in range(2):
-        cells_c = cells.join(colour, col)
-        rows = cells_c.groupBy(*row).agg(_sum_hash("v", "nil", "colour").alias("sig"))
-        colour = cells_c.join(rows, row).groupBy(*col).agg(_sum_hash("v", "nil", "colour", "sig").alias("colour"))
-    return (cells.join(colour, col).groupBy(*row)
-            .agg(F.array_sort(F.collect_list(F.struct("colour", "v"))).alias("sorted"))
-            .select(*row, F.transform("sorted", lambda x: F.to_json(F.struct(x["colour"].cast("string").alias("c"), x["v"].alias("v")))).alias("vals")))
-
-
 def result_equal(results: DataFrame, pairs: DataFrame | None = None, candidates: DataFrame | None = None,
                  ordered: bool = False) -> DataFrame:
     """Equal under some permutation of b's columns, as multisets of rows (with ``ordered``: as lists). Both empty ->
     equal whatever the width; different row counts or widths -> not equal. row_no must tell a candidate's rows apart."""
     pairs = candidate_pairs(results if candidates is None else candidates) if pairs is None else pairs
-    return _equal_counts(_counts(_free_order(results), ordered), pairs)
+    matched = resultmatch.Results(_distinct_rows(results, ordered))
+    coloured = _equal_counts(matched.rows, pairs)
+    if matched.tied.isEmpty():
+        return coloured
+    tied = matched.tied.select("task_id", F.col("cand_id").alias("cand_a"))
+    coloured = coloured.join(tied.withColumn("tied", F.lit(True)), ["task_id", "cand_a"], "left").checkpoint()
+    open_ = F.col("equal") & F.col("tied").isNotNull()  # equal colours are necessary, and enough where nothing is tied
+    found = matched.tied_equal(coloured.where(open_)).withColumn("found", F.lit(True))
+    return (coloured.join(found, ["task_id", "cand_a", "cand_b"], "left")
+            .select("task_id", "cand_a", "cand_b", F.when(open_, F.col("found").isNotNull()).otherwise(F.col("equal")).alias("equal")))
 
 
 def result_fingerprints(results: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(task_id, cand_id, fp): fp is equal for results that `result_equal` finds equal; an empty result has its own.
-    Row count and two 64-bit sums over the rows: one pass, no pairs."""
-    key = F.to_json("vals")
-    fp = (_free_order(results).groupBy("task_id", "cand_id")
-          .agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("h"),
-               F.sum(F.xxhash64(F.lit(1), key).cast("decimal(38,0)")).alias("g")))
-    return (candidates.select("task_id", "cand_id").distinct().join(fp, ["task_id", "cand_id"], "left")
-            .select("task_id", "cand_id", F.concat_ws(",", F.coalesce("n", F.lit(0)).cast("string"), F.col("h").cast("string"),
-                                                      F.col("g").cast("string")).alias("fp")))
+    """(task_id, cand_id, fp): two candidates of a task have one fp if `result_equal` finds them equal; an empty result
+    has its own. Row count and two 64-bit sums over the rows, one pass without pairs; candidates with tied columns and
+    the same sums are compared with the first of them, what is unequal with the first of the rest, and so on."""
+    matched = resultmatch.Results(_distinct_rows(results))
+    total = lambda *cols: F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
+    fp = matched.rows.groupBy("task_id", "cand_id").agg(F.sum("n").alias("r"), total("rk", "n").alias("h"), total(F.lit(1), "rk", "n").alias("g"))
+    fp = fp.select("task_id", "cand_id", F.concat_ws(",", F.col("r").cast("string"), F.col("h").cast("string"), F.col("g").cast("string")).alias("fp"))
+    if not matched.tied.isEmpty():
+        tied = matched.tied.select("task_id", "cand_id")
+        parts, rest = [fp.join(tied, ["task_id", "cand_id"], "left_anti")], fp.join(tied, ["task_id", "cand_id"])
+        while not (rest := rest.checkpoint()).isEmpty():
+            led = rest.join(rest.groupBy("task_id", "fp").agg(F.min("cand_id").alias("cand_a")), ["task_id", "fp"]).withColumnRenamed("cand_id", "cand_b")
+            same = matched.tied_equal(led.where("cand_a <> cand_b")).withColumn("same", F.lit(True))
+            told = led.join(same, ["task_id", "cand_a", "cand_b"], "left").withColumn("same", F.col("same").isNotNull() | (F.col("cand_a") == F.col("cand_b"))).checkpoint()
+            parts.append(told.where("same").select("task_id", F.col("cand_b").alias("cand_id"), F.concat_ws(",", "fp", F.col("cand_a").cast("string")).alias("fp")))
+            rest = told.where("not same").select("task_id", F.col("cand_b").alias("cand_id"), "fp")
+        fp = reduce(DataFrame.unionByName, parts)
+    return candidates.select("task_id", "cand_id").distinct().join(fp, ["task_id", "cand_id"], "left").fillna("0", ["fp"])
 
 
 def vote_by_result(results: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -60,8 +60,8 @@ def test_columns_with_equal_values_are_told_apart(spark):
 
 
 def test_numbers_in_one_form(spark):
-    df = spark.createDataFrame([(["1", "1.0", "1.", "-2.50", "0.500", "10", "1e5", "x1.0", None, "100"],)], "v array<string>")
-    assert df.select(ev.normalise_values(F.col("v")).alias("v")).first().v == ["1", "1", "1", "-2.5", "0.5", "10", "1e5", "x1.0", None, "100"]
+    df = spark.createDataFrame([(["1", "1.0", "1.", "-2.50", "0.500", "10", "100000", "x1.0", None, "100", "-0.00015", "1e99", "abc"],)], "v array<string>")
+    assert df.select(ev.normalise_values(F.col("v")).alias("v")).first().v == ["1", "1", "1", "-2.5", "0.5", "10", "100000", "x1.0", None, "100", "-0.00015", "1e99", "abc"]
 
 
 def test_qualified_names_are_repaired(spark):
