@@ -16,13 +16,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm.shared import new_path, remove, written, written_at
+from shotweave.llm.shared import new_path, remove, written
 
 #: Most bytes of a record's block; pages of more are written in several segments.
 SEGMENT_BYTES = 32 * 1024
@@ -113,17 +114,29 @@ def page_records(row: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[by
     yield record([("WARC-Type", "response"), *about, ("WARC-Segment-Number", number)], parts[0])
     for k, part in enumerate(parts[1:], 2):
         last = len(block) if k == len(parts) else None
-        own = f"<urn:uuid:{hashlib.md5(f'{row['record_id']} {k}'.encode()).hexdigest()}>"
+        own = _urn(f"{row['record_id']} {k}")
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", row["record_id"]),
                       ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", last)], part)
 
 
+def _urn(text: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(text.encode()).hexdigest())}>"
+
+
 def _write_batches(segment_bytes: int, chunk_bytes: int):
+    """Records of the pages of a task, which has all copies of a row that is repeated; the first of these keeps the row's own id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
         for batch in batches:
             out, size = [], 0
             for i in range(batch.num_rows):
-                for r in page_records(batch.slice(i, 1).to_pylist()[0], segment_bytes, chunk_bytes):
+                row = batch.slice(i, 1).to_pylist()[0]
+                mark = row["uid"]
+                if (row["copies"] or 1) > 1:
+                    k = seen[mark] = seen.get(mark, -1) + 1
+                    mark += f" {k}" if k else ""
+                row |= {"record_id": _urn(mark), "first_id": _urn(row["first_uid"] or mark)}
+                for r in page_records(row, segment_bytes, chunk_bytes):
                     out.append(r + b"\r\n\r")  # the writer adds the last line end
                     size += len(r)
                 if size > 1 << 22:
@@ -145,23 +158,24 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk
 
     The payload is the html in UTF-8; a null is empty. Of rows with equal payloads of at least ``min_revisit`` bytes one
     with the smallest page_id is the response (a null page_id comes last; of repeated rows one), and the others revisit it.
-    Payloads are equal if length, SHA-1 and SHA-256 are.
+    Payloads are equal if length, SHA-1 and SHA-256 are. Who revisits whom is found on digests. Payloads stay with
+    the tasks that read them unless the table of what is told of pages is too large to broadcast; then they move once, spread
+    by row and not by payload, so that pages that are all alike don't meet.
     """
-    spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.col("html").cast("binary").alias("payload"))
-    held = new_path(spark, "captures")
     captures = (rows.mapInArrow(_captured, "page_id long, url string, payload binary, digest string")
-                .withColumn("same", F.concat_ws(" ", F.octet_length("payload"), "digest", F.sha2("payload", 256)))
-                .withColumn("record_id", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))))
-    captures = written_at(captures, held)  # record ids are drawn once
-    rank = F.struct(F.col("page_id").isNull(), "page_id", "record_id")
-    firsts = captures.filter(F.octet_length("payload") >= min_revisit).groupBy("same").agg(F.min(rank).alias("least"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1").select("same", F.col("least.record_id").alias("first_id"))  # payloads of one page meet nothing
-    told = captures.select("record_id", "same").join(firsts, "same").select("record_id", "first_id").filter("record_id <> first_id")
-    marked = captures.drop("same").join(told, "record_id", "left").withColumn("first_id", F.coalesce("first_id", "record_id"))
+                .withColumn("same", F.concat_ws(" ", F.octet_length("payload").cast("string"), "digest", F.sha2("payload", 256)))
+                .withColumn("uid", F.sha2(F.to_json(F.struct("page_id", "url", "same")).cast("binary"), 256)))
+    known = written(captures.filter(F.octet_length("payload") >= min_revisit).groupBy("uid", "page_id", "same").agg(F.count("*").alias("copies")), "captures")
+    least = F.min(F.struct(F.col("page_id").isNull(), "page_id", "uid"))
+    firsts = known.groupBy("same").agg(least.alias("least"), F.sum("copies").alias("n")).filter("n > 1")  # the payload of one row meets nothing
+    told = written(known.join(firsts.select("same", F.col("least.uid").alias("first_uid")), "same").select("uid", "first_uid", "copies"), "told")
+    marked = captures.drop("same").join(told, "uid", "left")  # told is a table of known size: broadcast while small
+    if not told.filter("copies > 1").isEmpty():  # copies of a row meet in the task that tells them apart
+        repeated = F.col("copies").isNotNull() & (F.col("copies") > 1)
+        marked = marked.filter(~repeated).unionByName(marked.filter(repeated).repartition("uid"))
     out = marked.mapInArrow(_write_batches(segment_bytes, chunk_bytes), "record binary")
     out.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(path)
-    remove(spark, held)
 
 
 _KEPT_TYPES = {"response", "resource", "revisit", "continuation"}
