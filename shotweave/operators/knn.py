@@ -22,39 +22,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotweave.functions.sqltext import with_skeleton_jaccard
+from shotweave.operators.skeletons import overlapping_skeletons, similar_skeletons
+
 DEFAULT_BLOCK_ROWS = 2048
 
 _OUT_SCHEMA = T.StructType([
     T.StructField("target_id", T.LongType()),
     T.StructField("cand_id", T.LongType()),
     T.StructField("score", T.DoubleType()),
-    T.StructField("jaccard", T.DoubleType()),
     T.StructField("prio", T.IntegerType()),
     T.StructField("sort_key", T.DoubleType()),
 ])
 
 
-def skeleton_jaccard_matrix(a: list[str], b: list[str]) -> np.ndarray:
-    """Multiset Jaccard of space-split tokens between every a[i] and b[j]."""
-    ua, ia = np.unique(np.asarray(a, dtype=object), return_inverse=True)
-    ub, ib = np.unique(np.asarray(b, dtype=object), return_inverse=True)
-    ta = [str(s).strip().split(" ") for s in ua]
-    tb = [str(s).strip().split(" ") for s in ub]
-    vocab = {t: i for i, t in enumerate(sorted({t for ts in ta + tb for t in ts}))}
-    ca = np.zeros((len(ua), len(vocab)), dtype=np.int32)
-    cb = np.zeros((len(ub), len(vocab)), dtype=np.int32)
-    for r, ts in enumerate(ta):
-        for t in ts:
-            ca[r, vocab[t]] += 1
-    for r, ts in enumerate(tb):
-        for t in ts:
-            cb[r, vocab[t]] += 1
-    inter = np.zeros((len(ua), len(ub)), dtype=np.float64)
-    for v in range(len(vocab)):
-        inter += np.minimum.outer(ca[:, v], cb[:, v])
-    total = ca.sum(1)[:, None] + cb.sum(1)[None, :]
-    jac_u = inter / (total - inter)
-    return jac_u[ia][:, ib]
+def _skeleton_scores(tdf: pd.DataFrame, cdf: pd.DataFrame) -> np.ndarray:
+    """Jaccard of each target's skeleton with each candidate's, from the target's list of similar skeletons (ids)."""
+    ids, of = np.unique(cdf["c_skel"].to_numpy(np.int64), return_inverse=True)
+    out, known = np.zeros((len(tdf), len(ids))), {}
+    for r, (skel, similar, jac) in enumerate(zip(tdf["t_skel"], tdf["t_similar"], tdf["t_jaccard"])):
+        if skel not in known:
+            row = np.zeros(len(ids))
+            if similar is not None and len(similar):
+                at = np.minimum(np.searchsorted(ids, similar), len(ids) - 1)
+                hit = ids[at] == similar
+                row[at[hit]] = np.asarray(jac)[hit]
+            known[skel] = row
+        out[r] = known[skel]
+    return out[:, of]
 
 
 def _make_kernel(k, metric, use_domain, exclude_self, use_text, max_distance,
@@ -92,10 +87,9 @@ def _make_kernel(k, metric, use_domain, exclude_self, use_text, max_distance,
             valid &= tt[:, None] != ct[None, :]
         if max_distance is not None:
             valid &= score <= max_distance
-        jac = None
         levels = [np.ones(score.shape, dtype=bool)]
         if skeleton_rule is not None:
-            jac = skeleton_jaccard_matrix(tdf["t_skel"].fillna("").tolist(), cdf["c_skel"].fillna("").tolist())
+            jac = _skeleton_scores(tdf, cdf)
             passing = jac >= skeleton_threshold
             if skeleton_rule == "strict":
                 valid &= passing
@@ -103,7 +97,6 @@ def _make_kernel(k, metric, use_domain, exclude_self, use_text, max_distance,
                 levels = [passing, ~passing]
             elif skeleton_rule == "plus":
                 key = np.round(score - jac, 12)
-            # "score_only": report the Jaccard, rank by score alone
         out = []
         rows = np.arange(score.shape[0])[:, None]
         kk = min(k, score.shape[1])
@@ -118,7 +111,6 @@ def _make_kernel(k, metric, use_domain, exclude_self, use_text, max_distance,
                 "target_id": tid[r_i],
                 "cand_id": cid[cols],
                 "score": score[r_i, cols],
-                "jaccard": jac[r_i, cols] if jac is not None else np.full(len(r_i), np.nan),
                 "prio": np.full(len(r_i), prio, dtype=np.int32),
                 "sort_key": picked[r_i, c_i],
             }))
@@ -146,29 +138,110 @@ def block_knn(targets: DataFrame, corpus: DataFrame, k: int, *, metric: str = "c
     ``skeleton_rule``: None; "backfill" (skeleton Jaccard >= threshold first, then
     the rest, each by score); "strict" (only those passing); "plus" (order by
     distance - jaccard); "score_only" (report the Jaccard, rank by score).
+    Skeletons are compared once per distinct pair, by a join; tiles see only ids.
+
+    With ``max_distance`` (euclid) tiles are cells around pivots, see `_pivot_tiles`.
     """
-    n_t = target_blocks or _blocks(targets, block_rows)
-    n_c = corpus_blocks or _blocks(corpus, block_rows)
-    extra = [c for c, on in (("domain", exclude_same_domain), ("text", exclude_same_text),
-                             ("skel", skeleton_rule is not None)) if on]
+    extra = [c for c, on in (("domain", exclude_same_domain), ("text", exclude_same_text)) if on]
     # distinct names per side: both sides often derive from one DataFrame
-    t_rep = (targets.select("target_id", F.col("vec").alias("t_vec"), *[F.col(c).alias("t_" + c) for c in extra])
-             .withColumn("tb", F.pmod(F.xxhash64("target_id"), F.lit(n_t)))
-             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))))
-    c_rep = (corpus.select("cand_id", F.col("vec").alias("c_vec"), *[F.col(c).alias("c_" + c) for c in extra])
-             .withColumn("cb", F.pmod(F.xxhash64("cand_id"), F.lit(n_c)))
-             .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)))))
+    t_cols = ["target_id", F.col("vec").alias("t_vec"), *[F.col(c).alias("t_" + c) for c in extra]]
+    c_cols = ["cand_id", F.col("vec").alias("c_vec"), *[F.col(c).alias("c_" + c) for c in extra]]
+    ranked_by_skeleton = skeleton_rule in ("backfill", "strict", "plus")
+    t_side, c_side = targets, corpus
+    if ranked_by_skeleton:
+        skel = F.coalesce(F.col("skel"), F.lit(""))
+        t_side = targets.withColumn("skel", skel).join(_similar_lists(targets, corpus, skeleton_rule, skeleton_threshold), "skel", "left")
+        t_cols += [F.xxhash64("skel").alias("t_skel"), "t_similar", "t_jaccard"]
+        c_cols.append(F.xxhash64(skel).alias("c_skel"))
+    if max_distance is not None and metric == "euclid":
+        t_rep, c_rep = _pivot_tiles(t_side.select(*t_cols), c_side.select(*c_cols), max_distance, block_rows)
+    else:
+        t_rep, c_rep = _all_tiles(t_side.select(*t_cols), c_side.select(*c_cols), target_blocks or _blocks(targets, block_rows), corpus_blocks or _blocks(corpus, block_rows))
     kernel = _make_kernel(k, metric, exclude_same_domain, exclude_self, exclude_same_text,
-                          max_distance, skeleton_rule, skeleton_threshold)
+                          max_distance, skeleton_rule if ranked_by_skeleton else None, skeleton_threshold)
     partial = (t_rep.groupBy("tb", "cb").cogroup(c_rep.groupBy("tb", "cb"))
                .applyInPandas(kernel, schema=_OUT_SCHEMA))
     w = Window.partitionBy("target_id").orderBy("prio", "sort_key", "cand_id")
     ranked = (partial.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k))
-    cols = [F.col("target_id"), F.col("cand_id"), F.round("score", 6).alias("score"),
-            F.col("rk").cast("int").alias("rk")]
-    if keep_jaccard:
-        cols.append(F.col("jaccard"))
-    return ranked.select(*cols)
+    out = ranked.select("target_id", "cand_id", F.round("score", 6).alias("score"), F.col("rk").cast("int").alias("rk"))
+    return _with_jaccard(out, targets, corpus) if keep_jaccard else out
+
+
+def _similar_lists(targets: DataFrame, corpus: DataFrame, rule: str, threshold: float) -> DataFrame:
+    """(skel, t_similar, t_jaccard): per distinct target skeleton the ids of the corpus skeletons that count, ascending."""
+    skel = F.coalesce(F.col("skel"), F.lit("")).alias("skel")
+    left, right = targets.select(skel), corpus.select(skel)
+    pairs = overlapping_skeletons(left, right) if rule == "plus" else similar_skeletons(left, right, threshold)
+    lists = pairs.groupBy(F.col("t_skel").alias("skel")).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("c_skel").alias("id"), "jaccard"))).alias("s"))
+    return lists.select("skel", F.col("s.id").alias("t_similar"), F.col("s.jaccard").alias("t_jaccard"))
+
+
+def _with_jaccard(ranked: DataFrame, targets: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``jaccard`` of the skeletons of each ranked pair, computed once per distinct pair of skeletons."""
+    skel = F.coalesce(F.col("skel"), F.lit(""))
+    met = ranked.join(targets.select("target_id", skel.alias("t_skel")), "target_id").join(corpus.select("cand_id", skel.alias("c_skel")), "cand_id")
+    pairs = with_skeleton_jaccard(met.select("t_skel", "c_skel").distinct(), "t_skel", "c_skel")
+    return met.join(pairs, ["t_skel", "c_skel"]).select("target_id", "cand_id", "score", "rk", "jaccard")
+
+
+def _all_tiles(targets: DataFrame, corpus: DataFrame, n_t: int, n_c: int) -> tuple[DataFrame, DataFrame]:
+    t_rep = (targets.withColumn("tb", F.pmod(F.xxhash64("target_id"), F.lit(n_t)))
+             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))))
+    c_rep = (corpus.withColumn("cb", F.pmod(F.xxhash64("cand_id"), F.lit(n_c)))
+             .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)))))
+    return t_rep, c_rep
+
+
+#: Vectors of the corpus that stand for the cells of a range join: 64 rows on the driver, whatever the corpus.
+PIVOTS = 64
+
+
+def _near_pivots(pivots: np.ndarray, vec: str):
+    """Adds ``cell`` (the nearest pivot), ``near`` (its distance) and ``dists`` (all distances)."""
+    def run(batches):
+        for pdf in batches:
+            x = np.stack(pdf[vec].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, pivots.shape[1]))
+            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T), 0.0))
+            yield pdf.assign(cell=d.argmin(1).astype(np.int32) if len(pdf) else np.zeros(0, np.int32), near=d.min(1) if len(pdf) else np.zeros(0), dists=list(d))
+    return run
+
+
+def _pivot_tiles(targets: DataFrame, corpus: DataFrame, radius: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles of a range join: candidates lie in the cell of their nearest pivot, and a target visits a cell only if the
+    triangle inequality lets some candidate in it be within ``radius``.
+
+    Candidate x of pivot p's cell and target t with nearest pivot q: d(t, p) <= d(x, p) + radius, so d(t, p) lies within
+    ``radius`` of the cell's least and greatest distance; and d(x, p) <= d(x, q), so d(t, p) <= d(t, q) + 2 radius. A cell
+    of more than ``block_rows`` candidates is dealt out to several tiles, and so are the targets that visit it.
+    """
+    chosen = corpus.orderBy(F.xxhash64("cand_id"), "cand_id").limit(PIVOTS).select("c_vec").collect()
+    if not chosen:
+        return _all_tiles(targets, corpus, 1, 1)
+    pivots = np.array([r["c_vec"] for r in chosen], dtype=np.float64)
+    slack = 1e-6  # distances are compared as doubles
+    placed = lambda df, vec: df.mapInPandas(_near_pivots(pivots, vec), T.StructType([
+        *df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("near", T.DoubleType()), T.StructField("dists", T.ArrayType(T.DoubleType()))]))
+    c = placed(corpus, "c_vec").drop("dists")
+    cells = c.groupBy("cell").agg(F.min("near").alias("low"), F.max("near").alias("high"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    t = placed(targets, "t_vec").select("*", F.posexplode("dists").alias("to", "far")).drop("dists", "cell")
+    met = t.join(F.broadcast(cells.withColumnRenamed("cell", "to")), "to")  # a row per pivot: 64 at most
+    met = met.where((F.col("far") <= F.col("near") + 2 * radius + slack) & (F.col("far") >= F.col("low") - radius - slack) & (F.col("far") <= F.col("high") + radius + slack))
+    visits = met.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("rounds"))
+    t_rep = (met.join(F.broadcast(visits), "to").withColumn("tb", F.pmod(F.xxhash64("target_id"), F.col("rounds")))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    c_rep = (c.withColumnRenamed("cell", "to").join(F.broadcast(cells.select(F.col("cell").alias("to"), "parts")), "to").join(F.broadcast(visits), "to")
+             .withColumn("part", F.pmod(F.xxhash64("cand_id"), F.col("parts"))).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))))
+    keep = lambda df, names: df.select(*names, F.col("tb").cast("long").alias("tb"), F.concat_ws(":", "to", F.col("part").cast("string")).alias("cb"))
+    return keep(t_rep, targets.columns), keep(c_rep, corpus.columns)
+
+
+def visited_share(targets: DataFrame, corpus: DataFrame, radius: float) -> DataFrame:
+    """(pairs, all_pairs, share): how many pairs meet in the tiles of a range join, of all pairs."""
+    t, c = _pivot_tiles(targets.select("target_id", F.col("vec").alias("t_vec")), corpus.select("cand_id", F.col("vec").alias("c_vec")), radius, DEFAULT_BLOCK_ROWS)
+    per = t.groupBy("tb", "cb").agg(F.count(F.lit(1)).alias("nt")).join(c.groupBy("tb", "cb").agg(F.count(F.lit(1)).alias("nc")), ["tb", "cb"])
+    n = targets.agg(F.count(F.lit(1)).alias("t")).crossJoin(corpus.agg(F.count(F.lit(1)).alias("c")))
+    return per.agg(F.coalesce(F.sum(F.col("nt") * F.col("nc")), F.lit(0)).alias("pairs")).crossJoin(n).select(
+        "pairs", (F.col("t") * F.col("c")).alias("all_pairs"), (F.col("pairs") / (F.col("t") * F.col("c"))).alias("share"))
 
 
 _STATS_SCHEMA = T.StructType([

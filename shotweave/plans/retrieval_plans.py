@@ -63,8 +63,9 @@ def knn_euclid_threshold(spark, sf):
 from shotweave.functions import sqltext as st  # noqa: E402
 from shotweave.operators import pools as pl  # noqa: E402
 from shotweave.operators.bm25 import bm25_index, bm25_scores, bm25_topk  # noqa: E402
+from shotweave.operators.sparse import sparse_topk  # noqa: E402
 from shotweave.plans.oracle_sql import (CATALOG, DB_NAMES, EXEMPLAR_VECTORS, EXEMPLARS, RESPONSES,  # noqa: E402
-                                        bm25_ctes, normalize_ctes, skeleton_ctes)
+                                        bm25_ctes, normalize_ctes, skeleton_ctes, sparse_cosine_sql)
 from shotweave.sources.derived import exemplar_names, responses  # noqa: E402
 from shotweave.sources.tables import exemplars, read_table  # noqa: E402
 
@@ -138,21 +139,24 @@ def _ev_skel(tsk: str, csk: str) -> str:
     return _EV_SKEL.replace("__TSK__", tsk).replace("__CSK__", csk)
 
 
-@register("filter_cross_domain", oracle=_ev_skel("gold_skel", "gold_skel") + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(cos, 12) DESC, cand_id) AS rk FROM pjj)
-SELECT target_id, cand_id, round(cos, 6) AS score, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 5""")
+def _question_topk(spark, sf, exclude_same_text):
+    """A search by the words of the questions: the exemplars whose id is divisible by 20 against all exemplars."""
+    ex = exemplars(spark, sf).select("ex_id", F.col("db_id").alias("domain"), F.col("question").alias("text"), F.col("question").alias("body"))
+    return sparse_topk(ex.where("ex_id % 20 = 0").withColumnRenamed("ex_id", "target_id"), ex.withColumnRenamed("ex_id", "cand_id"), 5,
+                       metric="cosine", exclude_same_text=exclude_same_text)
+
+
+_QUESTIONS = f"WITH {EXEMPLARS}, qx AS (SELECT ex_id, db_id, question, question AS txt FROM exemplars),"
+
+
+@register("filter_cross_domain", oracle=_QUESTIONS + sparse_cosine_sql("qx", other_text=False))
 def q_filter_cross_domain(spark, sf):
-    t, c = _ev_sides(spark, sf)
-    return block_knn(t, c, 5, metric="cosine")
+    return _question_topk(spark, sf, exclude_same_text=False)
 
 
-@register("filter_same_question", oracle=_ev_skel("gold_skel", "gold_skel") + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(cos, 12) DESC, cand_id) AS rk
-      FROM pjj WHERE NOT same_q)
-SELECT target_id, cand_id, round(cos, 6) AS score, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 5""")
+@register("filter_same_question", oracle=_QUESTIONS + sparse_cosine_sql("qx", other_text=True))
 def q_filter_same_question(spark, sf):
-    t, c = _ev_sides(spark, sf)
-    return block_knn(t, c, 5, metric="cosine", exclude_same_text=True)
+    return _question_topk(spark, sf, exclude_same_text=True)
 
 
 @register("knn_preskeleton_backfill", oracle=_ev_skel("pre_skel", "gold_skel") + """,
