@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotweave.operators.knn import block_knn, block_rank_stats
+from shotweave.operators.ranks import with_position
 
 RIDGE = 1e-5          # added to the covariance diagonal
 PERCENTILE = 0.85     # calibration rank
@@ -164,11 +165,9 @@ def clutter_stats_no_domain(sample: DataFrame, vecs: DataFrame) -> DataFrame:
 
 def calibrate_threshold(t_scores: DataFrame) -> DataFrame:
     """eta = T at 0-based rank int(0.85 n) (capped n - 1); if above 13, mean + 1.5 sd
-    (population) clamped into [9, 13]. The rank is taken in one sorted partition of
-    one number per calibrated vector."""
+    (population) clamped into [9, 13]. Ranks come from sorted range partitions."""
     t = t_scores.where(F.col("t_score").isNotNull()).select("t_score")
-    w = Window.orderBy("t_score")
-    ranked = t.withColumn("r", F.row_number().over(w) - 1)
+    ranked = with_position(t, ["t_score"], "r")
     agg = ranked.agg(F.count(F.lit(1)).alias("n"), F.avg("t_score").alias("mean_t"),
                      F.stddev_pop("t_score").alias("sd_t"))
     pick = ranked.join(agg, how="inner", on=F.col("r") == F.least(

@@ -178,15 +178,25 @@ def q_knn_preskeleton_plus(spark, sf):
         "jaccard", F.round("jaccard", 6))
 
 
-@register("retrieve_random", oracle=f"""
-WITH {EXEMPLARS},
-keyed AS (SELECT ex_id AS cand_id, db_id AS c_domain, md5('0:' || CAST(ex_id AS VARCHAR)) AS key FROM exemplars),
-head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_domain ORDER BY key, cand_id) AS r FROM keyed) WHERE r <= 5),
-doms AS (SELECT DISTINCT db_id AS t_domain FROM exemplars),
-per AS (SELECT t_domain, cand_id, row_number() OVER (PARTITION BY t_domain ORDER BY key, cand_id) AS rk
-        FROM doms JOIN head ON t_domain <> c_domain)
-SELECT e.ex_id AS target_id, p.cand_id, CAST(p.rk AS INTEGER) AS rk FROM exemplars e JOIN per p ON e.db_id = p.t_domain
-WHERE p.rk <= 5""")
+def _random_sql(k: int = 5, most: int = 400) -> str:
+    """Each exemplar walks its own order of all positions; ``most`` steps are many times what any of them needs."""
+    key = lambda j: f"('0x' || substr(md5('0:' || CAST(ex_id AS VARCHAR) || ':{j}'), 1, 7))::BIGINT"
+    rounds, l, r = "", "step // half", "step % half"
+    for j in range(4):
+        rounds += f""",
+u{j} AS (SELECT target_id, db_id, half, step, {l} AS l, {r} AS r, (({r}) * 40503 + k{j}) % 2147483648 AS u, k0, k1, k2, k3 FROM {'walk' if j == 0 else f'f{j - 1}'}),
+f{j} AS (SELECT target_id, db_id, half, step, r AS l, xor(l, ((((u % 65536) * 30269 + (u // 65536) * 27449 + k{j}) % 2147483648) // 1024) % half) AS r, k0, k1, k2, k3 FROM u{j})"""
+        l, r = "l", "r"
+    return f"""WITH {EXEMPLARS},
+n AS (SELECT CAST(2 ** ceil(log2(count(*)) / 2) AS BIGINT) AS half FROM exemplars),
+placed AS (SELECT ex_id AS cand_id, db_id AS c_domain, row_number() OVER (ORDER BY ex_id) - 1 AS pos FROM exemplars),
+keyed AS (SELECT ex_id AS target_id, db_id, {", ".join(f"{key(j)} AS k{j}" for j in range(4))} FROM exemplars),
+walk AS (SELECT *, unnest(range(least({most}, half * half))) AS step FROM keyed, n){rounds},
+met AS (SELECT target_id, cand_id, row_number() OVER (PARTITION BY target_id ORDER BY step) AS rk FROM f3 JOIN placed ON pos = l * half + r WHERE db_id <> c_domain)
+SELECT target_id, cand_id, CAST(rk AS INTEGER) AS rk FROM met WHERE rk <= {k}"""
+
+
+@register("retrieve_random", oracle=_random_sql())
 def q_retrieve_random(spark, sf):
     ex = exemplars(spark, sf)
     return pl.retrieve_random(ex.select(F.col("ex_id").alias("target_id"), F.col("db_id").alias("domain")),
