@@ -85,7 +85,7 @@ sp3 AS (SELECT s.*, EXISTS (SELECT 1 FROM cc JOIN ce ON ce.table_name_orig = cc.
 cel AS (SELECT q_id, CAST(unnest(range(st, en + 1)) AS INTEGER) AS tok_pos, 'cell' AS kind, CAST(col_id AS INTEGER) AS obj_id,
           CASE WHEN is_exact THEN 'EXACTMATCH' ELSE 'PARTIALMATCH' END AS flag FROM sp3),
 links AS (SELECT * FROM sl UNION ALL SELECT * FROM nl UNION ALL SELECT * FROM cel)"""
-_BASE = f"WITH {EXEMPLARS}, {CATALOG}," + LINK_BODY
+_BASE = LINKS_SQL = f"WITH {EXEMPLARS}, {CATALOG}," + LINK_BODY
 
 
 def _questions(spark, sf):
@@ -129,7 +129,7 @@ def q_link_cells_exact(spark, sf):
     return lk.link_cells_exact(qs, lk.link_cells_partial(qs, cols, words), cols, exact)
 
 
-def _links(spark, sf):
+def question_links(spark, sf):
     return lk.all_links(_questions(spark, sf), driver_columns(spark, sf), cells(spark, sf))
 
 
@@ -149,17 +149,17 @@ FROM qt LEFT JOIN mk ON mk.q_id = qt.q_id"""
 
 @register("mask_question", oracle=_mask_sql("<mask>", "<unk>", "masked"))
 def q_mask_question(spark, sf):
-    return lk.mask_question(_questions(spark, sf), _links(spark, sf)).select("q_id", "masked")
+    return lk.mask_question(_questions(spark, sf), question_links(spark, sf)).select("q_id", "masked")
 
 
 @register("question_pattern", oracle=_mask_sql("_", "_", "pattern"))
 def q_question_pattern(spark, sf):
-    return lk.question_pattern(_questions(spark, sf), _links(spark, sf)).select("q_id", "pattern")
+    return lk.question_pattern(_questions(spark, sf), question_links(spark, sf)).select("q_id", "pattern")
 
 
 @register("shift_links")
 def q_shift_links(spark, sf):
-    return lk.shift_links(_links(spark, sf))
+    return lk.shift_links(question_links(spark, sf))
 
 
 _LT = _BASE + """,
@@ -175,7 +175,7 @@ lt AS (SELECT * FROM got UNION ALL
 
 @register("linked_tables", oracle=_LT + "\nSELECT q_id, CAST(table_id AS INTEGER) AS table_id FROM lt")
 def q_linked_tables(spark, sf):
-    t = lk.linked_tables(_questions(spark, sf), _links(spark, sf), driver_columns(spark, sf))
+    t = lk.linked_tables(_questions(spark, sf), question_links(spark, sf), driver_columns(spark, sf))
     return t.select("q_id", F.col("table_id").cast("int"))
 
 
@@ -190,4 +190,4 @@ SELECT (SELECT count(*) FROM bad) AS n_bad, (SELECT count(*) FROM qt) AS n_total
 def q_linked_table_recall(spark, sf):
     qs = _questions(spark, sf)
     cols = driver_columns(spark, sf)
-    return lk.linked_table_recall(qs, lk.linked_tables(qs, _links(spark, sf), cols), cols)
+    return lk.linked_table_recall(qs, lk.linked_tables(qs, question_links(spark, sf), cols), cols)
