@@ -2,8 +2,8 @@
 
 Two multinomials over hashed word 1- and 2-grams are learned: one from trusted documents, one
 from the whole corpus. A document's score is the mean, over its n-grams, of
-log(p_trusted / p_corpus); it is kept if the base rules hold and the score reaches a fixed
-threshold. Both passes read the documents in place without moving texts: counts are summed per
+log(p_trusted / p_corpus); it is kept if the base rules hold and the score reaches a threshold
+that all labelled documents that weren't learned from set. Both passes read the documents in place without moving texts: counts are summed per
 task over a fixed number of buckets and only then shuffled, so what reaches the driver is one
 number per bucket and side, whatever the corpus.
 """
@@ -18,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotweave.llm.shared import written
 from shotweave.llm.textbatch import find_words, hash_ngrams, hash_words, mix64, slices, text_bytes
 
 #: Buckets of the hashed n-grams: two counts of 8 bytes each reach the driver, one float of 4 bytes is broadcast.
 BUCKET_BITS = 16
-#: Labelled documents of either quality that are used, at most (those with the smallest hash of their id).
+#: Documents of quality 1 that are learned from, at most (those with the smallest hash of their id).
 MAX_TRUSTED = 50_000
-#: Least mean log ratio per n-gram (natural logarithm) of a kept document where labels can't set it.
-THRESHOLD = -0.09
 #: Width of the bins in which labelled scores are counted.
 BIN = 0.005
 #: Added to every bucket's count, as a share of the mean count.
@@ -93,7 +92,7 @@ def _base_columns(data: np.ndarray, offsets: np.ndarray, words, hashes: np.ndarr
             "n_dup_lines": dup_lines, "n_repeat_words": run[words.first[1:]] - run[words.first[:-1]]}
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             data, offsets = text_bytes(part.column("text"))
@@ -104,15 +103,14 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared, threshold: float)
             n = np.bincount(of, minlength=part.num_rows)
             score = np.bincount(of, weights=shared.value[bucket], minlength=part.num_rows) / np.maximum(n, 1)
             failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-            out |= {"base_failed": failed, "score": score, "kept": ~failed & (score >= threshold)}
+            out |= {"base_failed": failed, "score": score}
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, out.values())], names=["doc_id", *out])
 
 
-def _sample(labels: DataFrame, quality: int, most: int) -> DataFrame:
-    """At most ``most`` ids labelled so (smallest hash first), and whether each is for learning or for calibration."""
-    one = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
-    return (one.filter(F.col("quality") == quality).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-            .select("label_id", (F.pmod(F.xxhash64("label_id"), F.lit(2)) == 0).alias("learn")))
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(label_id, quality, learn): one row per labelled document (its least quality); half of them, by hash, may teach."""
+    return (labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
+            .withColumn("learn", F.pmod(F.xxhash64("label_id"), F.lit(2)) == 0))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -123,10 +121,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTE
     """log(p_trusted / p_corpus) of each bucket. Trusted: half (by hash of the id) of the documents that ``labels``
     (doc_id, quality) gives quality 1, the other half calibrates the threshold.
 
-    At most ``max_trusted`` labelled documents are used; the corpus side counts every document. Without trusted
+    At most ``max_trusted`` of them are used; the corpus side counts every document. Without trusted
     documents all ratios are 0.
     """
-    ids = _sample(labels, 1, max_trusted).filter("learn").select("label_id")
+    ids = _labelled(labels).filter("quality = 1 and learn").orderBy(F.xxhash64("label_id"), "label_id").limit(max_trusted).select("label_id")
     flagged = (_texts(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"), "left")  # max_trusted ids of 8 bytes
                .select("text", F.col("label_id").isNotNull().alias("trusted")))
     rows = (flagged.mapInArrow(_count_batches, "bucket int, in_corpus long, in_trusted long")
@@ -140,21 +138,19 @@ def log_ratios(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTE
     return (np.log(p[1]) - np.log(p[0])).astype(np.float32)
 
 
-def calibrated_threshold(docs: DataFrame, labels: DataFrame, shared, max_trusted: int = MAX_TRUSTED) -> float:
-    """The score that best parts labelled documents of quality 0 from those of quality 1 that weren't learned from:
-    the middle of the scores with the greatest sum of kept good and dropped bad shares. ``THRESHOLD`` if one kind is missing.
+def calibrated_threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """The score that best parts labelled documents of quality 0 from those of quality 1 that don't teach: the middle of
+    the scores with the greatest sum of kept good and dropped bad shares. ``scored`` has doc_id, base_failed and score.
 
-    What an unlabelled clean document scores depends on how much of its wording the trusted half has, so on the size of
-    the corpus; held-out labelled documents score alike. Scores are counted in bins of ``BIN``: a bounded table.
+    With good ones alone all of them are kept, with bad ones alone all of those go, without either nothing goes. Scores of
+    all labelled documents are joined by id and counted in bins of ``BIN``: a bounded table.
     """
-    kinds = (_sample(labels, 1, max_trusted).filter("not learn").select("label_id", F.lit(1).alias("good"))
-             .union(_sample(labels, 0, max_trusted).select("label_id", F.lit(0).alias("good"))))
-    held = _texts(docs).join(F.broadcast(kinds), F.col("doc_id") == F.col("label_id")).select((F.col("doc_id") * 2 + F.col("good")).alias("doc_id"), "text")
-    scored = held.mapInArrow(partial(_score_batches, shared=shared, threshold=0.0), _SCHEMA).filter("not base_failed")
-    rows = scored.groupBy((F.col("doc_id") % 2).alias("good"), F.floor(F.col("score") / BIN).alias("bin")).count().collect()
-    good, bad = ({r["bin"]: r["count"] for r in rows if r["good"] == k} for k in (1, 0))
+    kinds = _labelled(labels).filter("quality = 0 or (quality = 1 and not learn)")
+    held = scored.filter("not base_failed").join(kinds, F.col("doc_id") == F.col("label_id"))
+    rows = held.groupBy("quality", F.floor(F.col("score") / BIN).alias("bin")).count().collect()
+    good, bad = ({r["bin"]: r["count"] for r in rows if r["quality"] == k} for k in (1, 0))
     if not good or not bad:
-        return THRESHOLD
+        return min(good) * BIN if good else (max(bad) + 1) * BIN if bad else -np.inf
     edges = np.arange(min([*good, *bad]), max([*good, *bad]) + 2)
     below = lambda of: np.array([sum(n for b, n in of.items() if b < e) for e in edges]) / sum(of.values())
     gain = below(bad) - below(good)
@@ -164,22 +160,25 @@ def calibrated_threshold(docs: DataFrame, labels: DataFrame, shared, max_trusted
 
 
 _SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-           "base_failed boolean, score double, kept boolean")
+           "base_failed boolean, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): the base counts, base_failed, score and kept.
+    """One row per row of ``docs`` (doc_id, text): the base counts, base_failed, kept and score.
 
     * n_words, word_chars (code points in words), n_symbols (``#*$%&|<>``), n_dup_lines (lines with a word equal to
       an earlier line), n_repeat_words (words inside 3-word windows that occur twice or more in the text).
     * base_failed: fewer than 50 words, or over half of the words repeated. kept: not base_failed and score >= threshold.
     * A null or empty text has no words: all counts 0, base_failed, not kept. A null doc_id is passed on and is never
       trusted; repeated rows give repeated rows; other columns are not read; empty tables give an empty result
-      (without trusted labels every score is 0).
+      (without trusted labels every score is 0). Null labels count as none.
     * Without a given threshold, labelled documents that were not learned from set it (``calibrated_threshold``).
-    * Learning the two multinomials and the threshold run as jobs of their own when this is called.
+    * Learning the two multinomials, scoring and the threshold run as jobs of their own when this is called; the scored
+      rows, without texts, are written once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, max_trusted))
+    scored = written(_texts(docs).mapInArrow(partial(_score_batches, shared=shared), _SCHEMA), "scored")
     if threshold is None:
-        threshold = calibrated_threshold(docs, labels, shared, max_trusted)
-    return _texts(docs).mapInArrow(partial(_score_batches, shared=shared, threshold=threshold), _SCHEMA)
+        threshold = calibrated_threshold(scored, labels)
+    kept = ~F.col("base_failed") & (F.col("score") >= F.lit(float(threshold)))
+    return scored.select(*[c for c in scored.columns if c != "score"], kept.alias("kept"), "score")
