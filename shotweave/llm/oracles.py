@@ -50,8 +50,10 @@ numbered AS (SELECT *, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:
 outcome AS (SELECT doc_id AS doc, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
     WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 hosts AS (SELECT host, coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n FROM numbered LEFT JOIN outcome USING (doc) GROUP BY host),
-suffixed AS (SELECT *, coalesce(nullif(regexp_extract(host, '((?:^|\\.)((?:{second})\\.[a-z]{{2}}))$', 2), ''), split_part(host, '.', -1)) AS suffix FROM hosts),
-placed AS (SELECT *, CASE WHEN host = suffix THEN host ELSE split_part(left(host, length(host) - length(suffix) - 1), '.', -1) || '.' || suffix END AS domain FROM suffixed),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM hosts),
+suffixed AS (SELECT *, CASE WHEN regexp_matches(name, '^([0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}|\\[.*\\])$') THEN name
+    ELSE coalesce(nullif(regexp_extract(name, '((?:^|\\.)((?:{second})\\.[a-z]{{2}}))$', 2), ''), split_part(name, '.', -1)) END AS suffix FROM named),
+placed AS (SELECT *, CASE WHEN name = suffix THEN name ELSE split_part(left(name, length(name) - length(suffix) - 1), '.', -1) || '.' || suffix END AS domain FROM suffixed),
 domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM placed GROUP BY ALL),
 suffixes AS (SELECT suffix, '' AS root, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY ALL),
 root AS (SELECT '' AS root, (coalesce(sum(bad), 0) + {url_filter.ROOT_MEAN * url_filter.ROOT_STRENGTH}) / (coalesce(sum(n), 0) + {url_filter.ROOT_STRENGTH}) AS mean FROM suffixes),

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotweave.llm.shared import written
+
 #: Second labels that form a public suffix together with a two-letter top-level domain (fixed values).
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: A page is blocked if the lower bound of its host's posterior share of bad outcomes is above this.
@@ -47,10 +49,12 @@ class Rule:
         return self.text[len(self.host):]
 
 
+def _after_scheme(url: Column) -> Column:
+    return F.substr(url, F.instr(url, "://") + 3)
+
+
 def host_of(url: Column) -> Column:
-    rest = F.substring_index(F.regexp_replace(url, r"(?s)^.*?://", "\u0001"), "\u0001", -1)
-    host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, ascii_lower(host)).otherwise("")
+    return F.when(F.instr(url, "://") > 0, ascii_lower(F.regexp_extract(_after_scheme(url), r"^([^/?#]*)", 1))).otherwise("")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -58,13 +62,19 @@ def ascii_lower(text: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)).otherwise("")
+    return F.when(F.instr(url, "://") > 0, F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)).otherwise("")
+
+
+def name_of(host: Column) -> Column:
+    """The host without user and port, by which it is placed among domains."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
 
 
 def suffix_of(host: Column) -> Column:
-    """Public suffix: the last label, or the last two where those are like ``co.uk``."""
+    """Public suffix: the last label, or the last two where those are like ``co.uk``. An address is its own suffix."""
+    address = host.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$")
     two = F.regexp_extract(host, rf"((?:^|\.)((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}))$", 2)
-    return F.when(two != "", two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(address, host).when(two != "", two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -101,14 +111,15 @@ def _level(nodes: DataFrame, parents: DataFrame, key: str, parent: str) -> DataF
 
 def reputation(hosts: DataFrame) -> DataFrame:
     """(host, mean, weight): posterior of every host of ``hosts`` (host, bad, n; one row each)."""
-    placed = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    name = name_of(F.col("host"))
+    placed = written(hosts.withColumn("suffix", suffix_of(name)).withColumn("domain", domain_of(name, F.col("suffix"))), "hosts")
     counts = [F.sum("bad").alias("bad"), F.sum("n").alias("n")]
     domains = placed.groupBy("domain", "suffix").agg(*counts)
     suffixes = domains.groupBy("suffix").agg(*counts)
     root = (suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
             .select(F.lit("").alias("root"), ((F.col("bad") + ROOT_MEAN * ROOT_STRENGTH) / (F.col("n") + ROOT_STRENGTH)).alias("mean")))
-    by_suffix = _level(suffixes.withColumn("root", F.lit("")), root, "suffix", "root")
-    by_domain = _level(domains, by_suffix, "domain", "suffix")
+    by_suffix = written(_level(suffixes.withColumn("root", F.lit("")), root, "suffix", "root"), "by-suffix")
+    by_domain = written(_level(domains, by_suffix, "domain", "suffix"), "by-domain")
     return _level(placed.select("host", "domain", "bad", "n"), by_domain, "host", "domain")
 
 

@@ -94,6 +94,8 @@ def test_urls(spark):
     assert got[5] == ("sub.example.com", "/de/3", "example.com/de/", "block") and got[6][2:] == ("org/fr/", "allow")
     assert got[7][2] == "org/fr/" and got[8][2] is None and got[9] == ("c.net", "", None, got[9][3]) and got[10][:2] == ("u@d.co.uk:80", "/a")
     assert got[11][:2] == ("", "") and got[14][:2] == ("f.com", "/a")
+    odd = spark.createDataFrame([(1, "http://a.com/x\u0001y/en/1"), (2, "http://a.com/\n://b.net/")], "page_id long, url string")
+    assert {r.page_id: (r.host, r.path) for r in url_filter.judge(odd, labels, URL_RULES).collect()} == {1: ("a.com", "/x\u0001y/en/1"), 2: ("a.com", "/\n://b.net/")}
     none = pages.limit(0)
     assert url_filter.judge(none, labels, URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, labels.limit(0), []).collect()} == {"allow"}
@@ -105,6 +107,15 @@ def test_reputation_shrinks_to_the_parents(spark):
     assert mean["new.bad.com"] > 0.7 and mean["new.good.com"] < 0.15 and mean["one.good.com"] < 0.6 and mean["h1.bad.com"] > 0.8
 
 
+def test_ports_users_and_addresses(spark):
+    from pyspark.sql import functions as F
+
+    hosts = ["a.com:80", "u:p@b.com", "10.0.0.1", "10.0.0.1:8080", "[::1]", "[::1]:443"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").withColumn("n", url_filter.name_of(F.col("h"))).withColumn("s", url_filter.suffix_of(F.col("n")))
+    got = {r.h: (r.s, r.d) for r in df.withColumn("d", url_filter.domain_of(F.col("n"), F.col("s"))).collect()}
+    assert got == {"a.com:80": ("com", "a.com"), "u:p@b.com": ("com", "b.com"), "10.0.0.1": ("10.0.0.1",) * 2, "10.0.0.1:8080": ("10.0.0.1",) * 2, "[::1]": ("[::1]",) * 2, "[::1]:443": ("[::1]",) * 2}
+
+
 def test_parts_of_hosts(spark):
     rows = spark.createDataFrame([("a.b.example.co.uk",), ("example.com",), ("com",), ("",), ("x.org",)], "h string").collect()
     from pyspark.sql import functions as F
