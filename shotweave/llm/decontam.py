@@ -22,6 +22,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotweave.llm.shared import free_name
+
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
@@ -145,5 +147,6 @@ def _windows() -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """``docs`` without the documents that ``contaminated`` finds, in all its columns; null ids and texts stay."""
-    found = contaminated(docs, benchmark, min_similarity).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_found"), "left_anti")
+    name = free_name(docs, "_found")
+    found = contaminated(docs, benchmark, min_similarity).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(name), "left_anti")

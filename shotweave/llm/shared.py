@@ -38,6 +38,14 @@ def written_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written_at``, through Spark's own file system layer."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
