@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions.sqltext import normalize_identifier
-from shotweave.operators.joins import sized_broadcast
 
 # SQL type written into DDL text per catalog column kind.
 DDL_TYPES = {"text": "TEXT", "number": "NUMERIC", "time": "TIMESTAMP", "boolean": "BOOLEAN", "others": "BLOB"}
@@ -183,13 +182,19 @@ def normalized_names(columns: DataFrame) -> DataFrame:
 def prune_tables_by_name(questions: DataFrame, columns: DataFrame) -> DataFrame:
     """Tables whose lower-case name, or that name without trailing `s`, occurs in
     the lower-case question; a question naming none keeps every table.
-    questions: (q_id, db_id, question). Returns (q_id, table_name)."""
-    tables = sized_broadcast(catalog_tables(columns).select(
-        "db_id", "table_name", F.lower("table_name").alias("t_low")))
-    q = questions.select("q_id", "db_id", F.lower("question").alias("q_low"))
-    pairs = q.join(tables, "db_id")
-    hit = (F.instr("q_low", F.col("t_low")) > 0) | (F.instr("q_low", F.expr("TRIM(TRAILING 's' FROM t_low)")) > 0)
-    flagged = pairs.withColumn("hit", hit)
-    any_hit = F.max(F.col("hit").cast("int")).over(Window.partitionBy("q_id"))
-    return flagged.withColumn("any_hit", any_hit).where(F.col("hit") | (F.col("any_hit") == 0)).select(
-        "q_id", "table_name")
+    questions: (q_id, db_id, question). Returns (q_id, table_name).
+
+    A name without its trailing `s` occurs wherever the name does, so only that stem counts. The substrings of a
+    question that are as long as some stem of its database meet the stems by an equi join, once per distinct question;
+    no question is held against every table."""
+    tables = catalog_tables(columns).select("db_id", "table_name", F.expr("TRIM(TRAILING 's' FROM lower(table_name))").alias("stem"))
+    lengths = tables.groupBy("db_id").agg(F.collect_set(F.length("stem")).alias("lengths"))
+    asked = questions.select("q_id", "db_id", F.lower("question").alias("q_low"))
+    texts = asked.select("db_id", "q_low").distinct().join(lengths, "db_id")
+    cut = texts.select("db_id", "q_low", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("q_low"))
+    cut = cut.select("db_id", "q_low", "n", F.explode(F.sequence(F.lit(1), F.length("q_low") - F.col("n") + 1)).alias("at"))
+    stems = cut.select("db_id", "q_low", F.substring("q_low", F.col("at"), F.col("n")).alias("stem")).distinct()
+    hits = stems.join(tables, ["db_id", "stem"]).select("db_id", "q_low", "table_name").distinct()
+    named = asked.join(hits, ["db_id", "q_low"]).select("q_id", "table_name")
+    rest = asked.join(hits.select("db_id", "q_low").distinct(), ["db_id", "q_low"], "left_anti")
+    return named.unionByName(rest.join(tables.select("db_id", "table_name"), "db_id").select("q_id", "table_name"))

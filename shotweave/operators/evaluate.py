@@ -16,6 +16,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.utils import AnalysisException
 
 from shotweave.functions.sqltext import read_only_reason
@@ -213,9 +214,33 @@ def run_workload(spark: SparkSession, queries: DataFrame, max_rows: int = RESULT
                                       "rows_json array<string>, error_class string, error string")
 
 
-def _ratio_pick(bad: str, names: list[str], cutoff: float = 0.5):
-    m = difflib.get_close_matches(bad, names, n=1, cutoff=cutoff)
-    return m[0] if m else None
+MIN_RATIO = 0.5   # of the closest name that may stand for an unknown one
+
+
+def _characters(df: DataFrame, name: str, out: str) -> DataFrame:
+    """(db_id, name, out) with one row per character; its second occurrence in a name is another one."""
+    chars = df.select("db_id", name, F.posexplode(F.split(name, "")).alias("at", "ch")).where(F.col("ch") != "")
+    again = F.row_number().over(Window.partitionBy("db_id", name, "ch").orderBy("at"))
+    return chars.select("db_id", name, F.concat(F.col("ch"), again.cast("string")).alias(out))
+
+
+@F.pandas_udf(DoubleType())
+def _block_ratio(name: pd.Series, bad: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, n, b).ratio() for n, b in zip(name, bad)], dtype=float)
+
+
+def closest_names(bad: DataFrame, names: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """(db_id, bad, name): per distinct (db_id, bad) the name of its database with the greatest matching-block ratio,
+    if it is at least ``min_ratio``; of equal ones the last by name.
+
+    The characters that two names share, as multisets, bound the ratio from above. They are counted by a join on
+    characters; only pairs whose bound reaches ``min_ratio`` are compared in full, each once."""
+    bad, names = bad.select("db_id", "bad").distinct(), names.select("db_id", "name").distinct()
+    shared = (_characters(bad, "bad", "ch").join(_characters(names, "name", "ch"), ["db_id", "ch"])
+              .groupBy("db_id", "bad", "name").agg(F.count(F.lit(1)).alias("m")))
+    can = shared.where(2 * F.col("m") >= min_ratio * (F.length("bad") + F.length("name")))
+    ratio = can.withColumn("ratio", _block_ratio("name", "bad")).where(F.col("ratio") >= min_ratio)
+    return ratio.groupBy("db_id", "bad").agg(F.max(F.struct("ratio", "name")).alias("b")).select("db_id", "bad", F.col("b.name").alias("name"))
 
 
 def repair_identifier(failures: DataFrame, names: DataFrame, kind: str) -> DataFrame:
@@ -224,26 +249,18 @@ def repair_identifier(failures: DataFrame, names: DataFrame, kind: str) -> DataF
 
     column: first name equal to, containing, or contained in the bad one (case-
     insensitive); table: equal, or equal to the bad one without trailing `s`.
-    Otherwise the closest name with difflib ratio >= 0.5 (a vectorised pandas
-    UDF over the failures that the first rule leaves open)."""
+    Otherwise the closest name with a matching-block ratio >= 0.5 (`closest_names`).
+    Both are looked up once per distinct (database, bad name) and joined back."""
+    distinct = failures.select("db_id", "bad").distinct()
     bad_l, name_l = F.lower("bad"), F.lower("name")
     if kind == "column":
         rule = (name_l == bad_l) | (F.instr(bad_l, name_l) > 0) | (F.instr(name_l, bad_l) > 0)
     else:
         rule = (name_l == bad_l) | (name_l == F.expr("TRIM(TRAILING 's' FROM lower(bad))"))
-    pairs = failures.join(names, "db_id")
-    first = (pairs.where(rule).withColumn("r", F.row_number().over(Window.partitionBy("fid").orderBy("ord")))
-             .where("r = 1").select("fid", F.col("name").alias("by_rule")))
-    open_ = failures.join(first, "fid", "left_anti")
-    name_lists = names.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("nl"))
-    cand = open_.join(name_lists, "db_id").select("fid", "bad", F.transform("nl", lambda s: s["name"]).alias("nl"))
-
-    @F.pandas_udf("string")
-    def closest(bad: pd.Series, nl: pd.Series) -> pd.Series:
-        return pd.Series([_ratio_pick(b, list(n)) for b, n in zip(bad, nl)])
-
-    fuzzy = cand.select("fid", closest("bad", "nl").alias("by_ratio"))
-    return (failures.join(first, "fid", "left").join(fuzzy, "fid", "left")
+    first = distinct.join(names, "db_id").where(rule).groupBy("db_id", "bad").agg(F.min(F.struct("ord", "name")).alias("f"))
+    first = first.select("db_id", "bad", F.col("f.name").alias("by_rule"))
+    fuzzy = closest_names(distinct.join(first, ["db_id", "bad"], "left_anti"), names).withColumnRenamed("name", "by_ratio")
+    return (failures.join(first, ["db_id", "bad"], "left").join(fuzzy, ["db_id", "bad"], "left")
             .select("fid", "db_id", "bad", F.coalesce("by_rule", "by_ratio").alias("replacement"),
                     F.when(F.col("by_rule").isNotNull(), "rule").when(F.col("by_ratio").isNotNull(), "ratio")
                     .alias("method")))

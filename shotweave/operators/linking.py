@@ -16,7 +16,6 @@ import string
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotweave.operators.joins import sized_broadcast
 
 # ---------------------------------------------------------------------------
 # English stop words (the common 179-word list) and punctuation.
@@ -78,7 +77,7 @@ def _cover(df: DataFrame) -> DataFrame:
 
 def link_exact(ngrams: DataFrame, columns: DataFrame) -> DataFrame:
     """(q_id, tok_pos, kind, obj_id, flag): gram equals a column / table name -> CEM / TEM."""
-    names = sized_broadcast(schema_names(columns))
+    names = schema_names(columns)
     m = ngrams.join(names, (ngrams.db_id == names.db_id) & (ngrams.gram == names.name)).select(
         "q_id", "pos", "n", "kind", "obj_id", F.lit(0).alias("prio"))
     return _flagged(_cover(m).distinct())
@@ -91,13 +90,11 @@ def link_partial(ngrams: DataFrame, columns: DataFrame) -> DataFrame:
     words = F.split("name", " ")
     prefixes = names.select("db_id", "kind", "obj_id", F.explode(F.sequence(F.lit(1), F.size(words))).alias("j"),
                             words.alias("w"))
-    prefixes = sized_broadcast(prefixes.select("db_id", "kind", "obj_id",
-                                               F.array_join(F.slice("w", 1, F.col("j")), " ").alias("prefix")).distinct())
+    prefixes = prefixes.select("db_id", "kind", "obj_id", F.array_join(F.slice("w", 1, F.col("j")), " ").alias("prefix")).distinct()
     grams = ngrams.where(~F.array_contains(_skip(), F.col("gram")))
     part = grams.join(prefixes, (grams.db_id == prefixes.db_id) & (grams.gram == prefixes.prefix)).select(
         "q_id", "pos", "n", "kind", "obj_id", F.lit(1).alias("prio"))
-    full = sized_broadcast(names)
-    exact = ngrams.join(full, (ngrams.db_id == full.db_id) & (ngrams.gram == full.name)).select(
+    exact = ngrams.join(names, (ngrams.db_id == names.db_id) & (ngrams.gram == names.name)).select(
         "q_id", "pos", "n", "kind", "obj_id", F.lit(0).alias("prio"))
     both = _cover(part).unionByName(_cover(exact))
     best = both.groupBy("q_id", "tok_pos", "kind", "obj_id").agg(F.min("prio").alias("prio"))
@@ -124,8 +121,7 @@ def _tokens(questions: DataFrame) -> DataFrame:
 def link_numbers(questions: DataFrame, columns: DataFrame) -> DataFrame:
     """Numeric token x column of type number / time -> NUMBER / TIME."""
     t = _tokens(questions).where(F.col("tok").try_cast("double").isNotNull())
-    c = sized_broadcast(columns.where((F.col("col_id") > 0) & F.col("col_type").isin("number", "time"))
-                        .select("db_id", "col_id", "col_type"))
+    c = columns.where((F.col("col_id") > 0) & F.col("col_type").isin("number", "time")).select("db_id", "col_id", "col_type")
     return t.join(c, "db_id").select("q_id", F.col("tok_pos").cast("int"), F.lit("num").alias("kind"),
                                      F.col("col_id").cast("int").alias("obj_id"), F.upper("col_type").alias("flag"))
 

@@ -202,6 +202,67 @@ def q_repair_column(spark, sf):
     return ev.repair_identifier(fail, cols, "column").select("fid", "bad", "replacement", "method")
 
 
+@register("repair_column_ratio")
+def q_repair_column_ratio(spark, sf):
+    """A column name with two letters exchanged for every exemplar: only the ratio finds the column again."""
+    cols = driver_columns(spark, sf).where("table_id >= 0").select("db_id", F.col("col_name_orig").alias("name"), F.col("col_id").alias("ord"))
+    n = cols.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"))
+    picked = exemplars(spark, sf).join(n, "db_id").select(F.col("ex_id").alias("fid"), "db_id", (F.col("ex_id") % F.col("n") + 1).alias("ord"))
+    at = F.length("name") - 2 - F.col("fid") % 3
+    bad = F.concat(F.substring("name", F.lit(1), at - 1), F.substring("name", at + 1, F.lit(1)), F.substring("name", at, F.lit(1)), F.substr("name", at + 2))
+    fail = picked.join(cols, ["db_id", "ord"]).select("fid", "db_id", bad.alias("bad"))
+    return ev.repair_identifier(fail, cols, "column").select("fid", "bad", "replacement", "method")
+
+
+# Results whose columns no value tells apart: each row joins two of six columns, in a cycle or in two triangles,
+# with the columns turned by the priority's digit.
+_CYCLE = [(i, (i + 1) % 6) for i in range(6)]
+_TRIANGLES = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)]
+
+
+def _tied(spark, sf):
+    o = read_table(spark, sf, "orders").select((F.col("o_custkey") % 100).cast("long").alias("task_id"), F.col("o_orderpriority").alias("cand_id"),
+                                               (F.col("o_orderkey") % 6).cast("long").alias("row_no")).distinct()
+    turn = F.substring("cand_id", 1, 1).cast("int")
+    ends = lambda edges, i: F.array(*[F.lit(e[i]) for e in edges])[F.col("row_no").cast("int")]
+    cycle = (turn % 2 == 1) | (F.col("task_id") % 3 == 0)
+    o = o.withColumns({f"e{i}": (F.when(cycle, ends(_CYCLE, i)).otherwise(ends(_TRIANGLES, i)) + turn) % 6 for i in (0, 1)})
+    cell = lambda c: F.when((F.col("e0") == c) | (F.col("e1") == c), F.when(turn == 2, "1.0").otherwise("1")).otherwise("0")
+    return o.select("task_id", "cand_id", "row_no", F.array(*[cell(c) for c in range(6)]).alias("vals"))
+
+
+def _edge_sql(edges, i):
+    return "[" + ", ".join(str(e[i]) for e in edges) + "][k + 1]"
+
+
+# every order of six columns is tried
+_TIED = f"""t0 AS (SELECT DISTINCT CAST(o_custkey % 100 AS BIGINT) AS task_id, o_orderpriority AS cand_id, o_orderkey % 6 AS k, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS turn FROM orders),
+t1 AS (SELECT *, turn % 2 = 1 OR task_id % 3 = 0 AS cyc FROM t0),
+t2 AS (SELECT task_id, cand_id, (CASE WHEN cyc THEN {_edge_sql(_CYCLE, 0)} ELSE {_edge_sql(_TRIANGLES, 0)} END + turn) % 6 AS e0,
+         (CASE WHEN cyc THEN {_edge_sql(_CYCLE, 1)} ELSE {_edge_sql(_TRIANGLES, 1)} END + turn) % 6 AS e1 FROM t1),
+tr AS (SELECT task_id, cand_id, list([least(e0, e1), greatest(e0, e1)] ORDER BY least(e0, e1), greatest(e0, e1)) AS rws FROM t2 GROUP BY ALL),
+six AS (SELECT unnest(range(6)) AS x),
+perms AS (SELECT [a.x, b.x, c.x, d.x, e.x, f.x] AS p FROM six a, six b, six c, six d, six e, six f WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x, f.x])) = 6),
+turned AS (SELECT DISTINCT rws, list_sort(list_transform(rws, lambda r: [least(p[r[1] + 1], p[r[2] + 1]), greatest(p[r[1] + 1], p[r[2] + 1])])) AS other FROM (SELECT DISTINCT rws FROM tr), perms),
+tp AS (SELECT a.task_id, a.cand_id AS cand_a, b.cand_id AS cand_b, EXISTS (SELECT 1 FROM turned t WHERE t.rws = b.rws AND t.other = a.rws) AS equal
+       FROM tr a JOIN tr b ON a.task_id = b.task_id AND a.cand_id < b.cand_id)"""
+
+
+@register("result_equal_tied", oracle=f"WITH {_TIED}\nSELECT task_id, cand_a, cand_b, equal FROM tp")
+def q_result_equal_tied(spark, sf):
+    return ev.result_equal(_tied(spark, sf))
+
+
+@register("vote_by_result_tied", oracle=f"""WITH {_TIED},
+led AS (SELECT r.task_id, r.cand_id, least(r.cand_id, coalesce(min(cand_a), r.cand_id)) AS ld FROM tr r LEFT JOIN tp ON tp.task_id = r.task_id AND cand_b = r.cand_id AND equal GROUP BY r.task_id, r.cand_id),
+grp AS (SELECT task_id, ld, count(*) AS size FROM led GROUP BY ALL)
+SELECT task_id, ld AS chosen, size AS group_size FROM grp QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY size DESC, ld) = 1""")
+def q_vote_by_result_tied(spark, sf):
+    rows = _tied(spark, sf)
+    listed = rows.select("task_id", "cand_id").distinct()
+    return ev.vote_by_result(rows, listed.withColumn("cand_no", F.substring("cand_id", 1, 1).cast("int")).withColumn("runnable", F.lit(True)))
+
+
 @register("repair_table", oracle=f"""WITH {EXEMPLARS}, {CATALOG},
 f AS (SELECT ex_id AS fid, db_id, regexp_extract(query, '(?i)from ([a-z_]+)', 1) AS t FROM exemplars),
 ff AS (SELECT fid, db_id, CASE WHEN t LIKE '%s' THEN upper(t) ELSE t || 's' END AS bad FROM f WHERE t <> ''),

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.operators.joins import sized_broadcast
 from shotweave.plans.oracle_sql import RESPONSES_SELECT
 from shotweave.sources.catalog import driver_columns
 from shotweave.sources.tables import exemplars
@@ -30,4 +29,4 @@ def db_name_arrays(columns: DataFrame) -> DataFrame:
 def exemplar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exemplars with their database's name arrays (small side: one row per db)."""
     names = db_name_arrays(driver_columns(spark, sf_dir))
-    return exemplars(spark, sf_dir).join(sized_broadcast(names), "db_id")
+    return exemplars(spark, sf_dir).join(names, "db_id")

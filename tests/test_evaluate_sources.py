@@ -95,6 +95,35 @@ def test_run_workload_and_repair(spark):
     assert res.ok and res.n_rows == 3
 
 
+def test_closest_names_against_difflib(spark):
+    import difflib
+    import random
+
+    rnd = random.Random(6)
+    letters = "abcde_"
+    names = [("d", "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9)))) for _ in range(60)] + [("e", "Abc"), ("e", "abC")]
+    bad = [(d, "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9)))) for d in "de" for _ in range(60)] + [("e", "abc"), ("e", "zz")]
+    got = {(r.db_id, r.bad): r.name for r in ev.closest_names(spark.createDataFrame(bad, "db_id string, bad string"), spark.createDataFrame(names, "db_id string, name string")).collect()}
+    want = {}
+    for d, b in set(bad):
+        close = difflib.get_close_matches(b, sorted({n for x, n in names if x == d}), n=1, cutoff=0.5)
+        if close:
+            want[d, b] = close[0]
+    assert got == want and ("e", "zz") not in got and len(got) > 30
+
+
+def test_tables_named_in_questions(spark):
+    from shotweave.operators.catalog import prune_tables_by_name
+
+    cols = [("d", 0, "Orders", 1), ("d", 1, "ss", 2), ("d", 2, "customers", 3), ("e", 0, "boss", 1), ("e", 1, "ref", 2)]
+    cols = spark.createDataFrame([(d, t, n, c, "x", "text") for d, t, n, c in cols], "db_id string, table_id int, table_name_orig string, col_id int, col_name_orig string, col_type string")
+    asked = [(1, "e", "The BO of it"), (2, "e", "nothing"), (3, "d", ""), (4, "d", "an order"), (5, "e", "refs and bosses"), (6, "e", None)]
+    got = {}
+    for r in prune_tables_by_name(spark.createDataFrame(asked, "q_id long, db_id string, question string"), cols).collect():
+        got.setdefault(r.q_id, set()).add(r.table_name)
+    assert got == {1: {"boss"}, 2: {"boss", "ref"}, 3: {"ss"}, 4: {"Orders", "ss"}, 5: {"boss", "ref"}, 6: {"boss", "ref"}}
+
+
 def test_loaders_round_trip(spark, tmp_path):
     items = [{"question": "q0", "query": "select 1", "db_id": "d", "question_toks": ["q0"]},
              {"question": "q1", "query": "select 2", "db_id": "e", "question_toks": ["q1"]}]
