@@ -167,3 +167,43 @@ mp AS (SELECT t.txt, t.db_id, t.question, c.ex_id AS cand_id, coalesce(d, 0) / (
 rr AS (SELECT *, row_number() OVER (PARTITION BY txt, db_id, question ORDER BY round(s, 12) DESC, cand_id) AS rk FROM mp)
 SELECT e.ex_id AS target_id, cand_id, round(s, 6) AS score, CAST(rk AS INTEGER) AS rk
 FROM {rows} e JOIN rr USING (txt, db_id, question) WHERE e.ex_id % 20 = 0 AND rk <= {k}"""
+
+
+def exemplar_white_ctes() -> str:
+    """`ev` as in EXEMPLAR_VECTORS with the whitened vector `wv` besides."""
+    return white_ctes() + """,
+ev AS (SELECT e.ex_id, e.db_id, e.question, e.query, CAST(m.embedding AS DOUBLE[]) AS v, w.v AS wv
+       FROM exemplars e JOIN embeddings m ON e.ex_id = m.vec_id JOIN white w ON w.vec_id = m.vec_id)"""
+
+
+def pred_skeleton_ctes() -> str:
+    """`psk(ex_id, skel)`: skeleton of every exemplar's cleaned response."""
+    return f"""{RESPONSES}, {CATALOG}, {DB_NAMES},
+evr AS (SELECT e.*, r.response, regexp_replace(r.response, '^\\s+|\\s+$', '', 'g') AS rr FROM exemplars e JOIN responses r ON e.ex_id = r.ex_id),
+evp AS (SELECT *, CASE WHEN contains(rr, '```sql') THEN regexp_replace(split_part(split_part(rr, '```sql', 2), '```', 1), '^\\s+|\\s+$', '', 'g')
+     WHEN contains(rr, '```') THEN regexp_replace(split_part(split_part(rr, '```', 2), '```', 1), '^\\s+|\\s+$', '', 'g')
+     ELSE rr END AS pred FROM evr),
+{normalize_ctes('evp', 'ex_id, db_id', 'pred', 'pn')},
+{skeleton_ctes('pn', 'ex_id', 'psk')}"""
+
+
+def white_ctes(rounds: int = 14) -> str:
+    """`wmat(i, j, w)`, the inverse square root of the covariance of `embeddings`, and `white(vec_id, v)`, its vectors
+    centred and multiplied by it. The root comes from coupled Newton-Schulz steps on matrices of (i, j, x) rows."""
+    mul = lambda a, b: f"(SELECT a.i, b.j, sum(a.x * b.x) AS x FROM {a} a JOIN {b} b ON a.j = b.i GROUP BY a.i, b.j)"
+    steps = ""
+    for k in range(rounds):
+        steps += f""",
+wt{k} AS MATERIALIZED (SELECT i, j, (CASE WHEN i = j THEN 1.5 ELSE 0 END) - 0.5 * x AS x FROM {mul(f'wz{k}', f'wy{k}')}),
+wy{k + 1} AS MATERIALIZED {mul(f'wy{k}', f'wt{k}')},
+wz{k + 1} AS MATERIALIZED {mul(f'wt{k}', f'wz{k}')}"""
+    return f"""
+wx AS MATERIALIZED (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+wmu AS MATERIALIZED (SELECT i, avg(x) AS mu FROM wx GROUP BY i),
+wcov AS MATERIALIZED (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) + CASE WHEN a.i = b.i THEN 1e-5 ELSE 0 END AS x FROM wx a JOIN wx b USING (vec_id) GROUP BY a.i, b.i),
+wsize AS MATERIALIZED (SELECT sqrt(sum(x * x)) AS f FROM wcov),
+wy0 AS MATERIALIZED (SELECT i, j, x / f AS x FROM wcov, wsize),
+wz0 AS MATERIALIZED (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS x FROM wcov){steps},
+wmat AS MATERIALIZED (SELECT i, j, x / sqrt(f) AS w FROM wz{rounds}, wsize),
+wout AS MATERIALIZED (SELECT vec_id, j, sum((x - mu) * w) AS y FROM wx JOIN wmu USING (i) JOIN wmat USING (i) GROUP BY vec_id, j),
+white AS MATERIALIZED (SELECT vec_id, list(y ORDER BY j) AS v FROM wout GROUP BY vec_id)"""

@@ -64,8 +64,10 @@ from shotweave.functions import sqltext as st  # noqa: E402
 from shotweave.operators import pools as pl  # noqa: E402
 from shotweave.operators.bm25 import bm25_index, bm25_scores, bm25_topk  # noqa: E402
 from shotweave.operators.sparse import sparse_topk  # noqa: E402
+from shotweave.operators.whitening import whiten  # noqa: E402
+from shotweave.session import checkpoint_dir  # noqa: E402
 from shotweave.plans.oracle_sql import (CATALOG, DB_NAMES, EXEMPLAR_VECTORS, EXEMPLARS, RESPONSES,  # noqa: E402
-                                        bm25_ctes, normalize_ctes, skeleton_ctes, sparse_cosine_sql)
+                                        bm25_ctes, exemplar_white_ctes, normalize_ctes, skeleton_ctes, sparse_cosine_sql)
 from shotweave.sources.derived import exemplar_names, responses  # noqa: E402
 from shotweave.sources.tables import exemplars, read_table  # noqa: E402
 
@@ -209,12 +211,12 @@ KPRIME = pl.candidate_k(K_SHOTS)
 
 
 def _pool_stages(spark, sf):
-    """Main pool (BM25 and cosine lists interleaved) and the pool with sub-question
+    """Main pool (BM25 and whitened cosine lists interleaved) and the pool with sub-question
     stages (each sub-question's BM25 top 10), over exemplars with vectors."""
+    checkpoint_dir(spark)
     ex = exemplars(spark, sf)
-    emb = read_table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("ex_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    ev = ex.join(emb, "ex_id")
+    emb = whiten(vectors(spark, sf).select("vec_id", "vec")).withColumnRenamed("vec_id", "ex_id")
+    ev = ex.join(emb, "ex_id").checkpoint()
     t_dom = ev.select(F.col("ex_id").alias("target_id"), F.col("db_id").alias("t_domain"))
     c_dom = ev.select(F.col("ex_id").alias("cand_id"), F.col("db_id").alias("c_domain"))
     tq = ev.select(F.col("ex_id").alias("target_id"), F.col("question").alias("text"))
@@ -233,12 +235,12 @@ def _pool_stages(spark, sf):
     return main, pool
 
 
-_POOL_SQL = f"""WITH {EXEMPLARS}, {EXEMPLAR_VECTORS},
+_POOL_SQL = f"""WITH {EXEMPLARS}, {exemplar_white_ctes()},
 tq AS (SELECT ex_id AS target_id, question AS text FROM ev),
 cd AS (SELECT ex_id AS cand_id, question AS text FROM ev),
 {bm25_ctes('tq', 'cd', 'bm')},
 allp AS (SELECT t.ex_id AS target_id, c.ex_id AS cand_id, coalesce(b.score, 0) AS score, t.db_id AS t_dom, c.db_id AS c_dom,
-           list_dot_product(t.v, c.v) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(c.v, c.v))) AS cos
+           list_dot_product(t.wv, c.wv) / (sqrt(list_dot_product(t.wv, t.wv)) * sqrt(list_dot_product(c.wv, c.wv))) AS cos
          FROM ev t CROSS JOIN ev c LEFT JOIN bm b ON b.target_id = t.ex_id AND b.cand_id = c.ex_id),
 ra AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(score, 12) DESC, cand_id) AS rk_a,
                  row_number() OVER (PARTITION BY target_id ORDER BY round(cos, 12) DESC, cand_id) AS rk_b FROM allp),
