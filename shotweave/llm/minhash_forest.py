@@ -7,14 +7,14 @@
    of more than ``REGION_ROWS`` is dealt out to parts.
 3. Inside a region documents are sorted by their signature in the tree's order. First, every
    document's candidate is the neighbour, among those with the longest common prefix, with the
-   best estimate, over all trees. Confirmed links give components. Documents of a region
-   outside its largest component then try the best document of another component, round by
-   round; what is left in several components is compared document by document. Two bounds keep
-   that from growing with the square of a region: the sketch, and the exact count of shingles
-   that a document shares with anyone at all, which no pair can exceed. Pairs that neither
-   rules out are confirmed on full sets. In a large region neighbours are looked for among the
-   documents of a part that share twice as many minima, and the region's first is tried with all; in
-   the steps on components every part meets every other, so that all pairs of the region do.
+   best estimate, over all trees. Confirmed links give components. In regions of several
+   components all pairs of different ones are then looked at inside the region's tasks, to which
+   each document's set is brought once: two bounds rule most out (the sketch, and the exact count
+   of shingles that a document shares with anyone at all, which no pair can exceed), the others
+   are confirmed on full sets, and a link joins its components at once. Only these links, fewer
+   than components, leave the task. In a large region neighbours are looked for among the
+   documents of a part that share twice as many minima, and the region's first is tried with all;
+   on components every two parts of a region meet.
 
 Trees, depth and the sketch's bound follow from the limit: a pair at the limit shares no region in
 any tree with probability (1 - 0.85^4)^16, 7 in a million, or less than 1 in 100,000 at other limits;
@@ -31,7 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.llm.components import connected_components
@@ -43,9 +43,8 @@ MINIMA = 64
 REGION_ROWS = 20_000
 #: Neighbours looked at on one side of a document in a tree's order.
 NEIGHBOURS = 4
-#: Rounds in which every document that is outside its region's largest component tries its best other component, at
-#: most, before all remaining pairs are tried.
-BEST_ROUNDS = 2
+#: Shingles that a task holds of one part of a region, while it looks for links between components: 32 MB.
+REGION_SHINGLES = 4_000_000
 #: Least share, in percent, of equal shingles of a link.
 LINK_PERCENT = 85
 #: Greatest probability that a pair at the limit shares no region, and that its sketches rule it out.
@@ -198,41 +197,60 @@ def _neighbour_batches(batches: Iterator[pa.RecordBatch], forest: Forest) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(est[ok])], names=["a", "b", "equal"])
 
 
-def _crossing_batches(batches: Iterator[pa.RecordBatch], percent: int, least: int, best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a region's documents in different components that neither sketch nor common shingles rule out.
+def _near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _joining_links(doc, comp, sketch, tree, keys, part, across, size, common, sets, percent: int, least: int) -> list[tuple[int, int]]:
+    """Links that join the components of one region, each confirmed on full sets; at most one less than there are.
+
+    All pairs in different components are looked at, each in the first tree in which the two share a region, and with
+    ``across`` only those of different parts. A link that is found joins two components at once, so that none of their
+    other pairs is compared."""
+    label = np.unique(comp, return_inverse=True)[1]
+    links = []
+    for i in range(len(doc) - 1):
+        later = slice(i + 1, None)
+        shared = np.minimum(common[later], common[i])  # at most
+        can = (label[later] != label[i]) & (100 * shared >= percent * (size[later] + size[i] - shared))
+        if across:
+            can &= part[later] != part[i]
+        at = np.flatnonzero(can) + i + 1
+        if tree and len(at):
+            at = at[~(keys[at, :tree] == keys[i, :tree]).any(axis=1)]
+        if not len(at):
+            continue
+        equal = (sketch[at] == sketch[i]).sum(axis=1)
+        at, equal = at[equal >= least], equal[equal >= least]
+        for j in at[np.argsort(-equal, kind="stable")].tolist():
+            if label[j] != label[i] and _near(sets[i], sets[j], percent):
+                links.append((int(doc[i]), int(doc[j])))
+                label[label == label[j]] = label[i]
+    return links
 
-    One of the two is outside the region's largest component. With ``best_only``, each such document gives the pair
-    with the best estimate alone.
-    """
+
+def _joining_batches(batches: Iterator[pa.RecordBatch], percent: int, least: int) -> Iterator[pa.RecordBatch]:
     for table in _regions(batches):
-        sizes_of, common_of = (table.column(c).to_numpy() for c in ("size", "common"))
-        for doc, comp, sketch, _, rows in _each_region(table):
-            names, at, members = np.unique(comp, return_inverse=True, return_counts=True)
-            if len(names) == 1:
+        column = {c: table.column(c).to_numpy() for c in ("size", "common", "part", "across")}
+        shingles, keys = (table.column(c).combine_chunks() for c in ("shingles", "regions"))
+        for doc, comp, sketch, tree, rows in _each_region(table):
+            if (comp == comp[0]).all():
                 continue
-            size, common, largest = sizes_of[rows], common_of[rows], members.argmax()
-            for i in np.flatnonzero(at != largest).tolist():
-                # each pair once: against the largest component, or against a later row of another small one
-                other = at != at[i]
-                if not best_only:
-                    other &= (at == largest) | (np.arange(len(doc)) > i)
-                shared = np.minimum(common, common[i])  # at most
-                other = np.flatnonzero(other & (100 * shared >= percent * (size + size[i] - shared)))
-                equal = (sketch[other] == sketch[i]).sum(axis=1)
-                hit = other[equal >= least]
-                if best_only and len(hit):
-                    hit = other[equal.argmax()][None]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), doc[i])), pa.array(doc[hit])], names=["a", "b"])
+            sets = [shingles[k].values.to_numpy() for k in range(rows.start, rows.stop)]
+            key = np.stack([keys[k].values.to_numpy() for k in range(rows.start, rows.stop)])
+            own = {c: v[rows] for c, v in column.items()}
+            found = _joining_links(doc, comp, sketch, tree, key, own["part"], bool(own["across"][0]), own["size"], own["common"], sets, percent, least)
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
         for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            ok.append(_near(x.values.to_numpy(), y.values.to_numpy(), percent))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -270,7 +288,8 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
               .select("key", "tree", "doc", "sketch", "rows", "lead", "deep", F.when(large, F.pmod(F.xxhash64("doc", "key"), parts)).alias("part")))
     region = written(region, "regions")
     members = region.select(F.col("doc").alias("doc_id")).distinct()
-    sets = written(texts.join(members, "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, shingles array<long>"), "sets")
+    # Shuffled at every size, as the members grow with the documents.
+    sets = written(texts.join(members.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, shingles array<long>"), "sets")
 
     pair = ["least(a, b) as a", "greatest(a, b) as b"]
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
@@ -282,42 +301,36 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
 
     component = written(connected_components(links), "components")
 
-    def undecided() -> DataFrame:
-        """Regions of several components, with the components found so far."""
-        of = region.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-        mixed = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-        return of.join(mixed, "key", "left_semi").select("key", "tree", "doc", "comp", "sketch", "rows", "part")
-
-    def blocks(of: DataFrame) -> DataFrame:
-        """The rows, those of a large region once for every two parts with theirs, under a key of the two."""
-        others = F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != F.col("part"))
-        mates = F.when(F.col("part").isNull(), F.array(F.lit(None).cast("long"))).otherwise(others)
-        two = F.xxhash64("key", F.least("part", "mate"), F.greatest("part", "mate"))
-        return of.withColumn("mate", F.explode(mates)).withColumn("key", F.when(F.col("part").isNull(), F.col("key")).otherwise(two)).drop("rows", "part", "mate")
-
-    # Shingles that no other document of an undecided region has: they bound what a pair can share.
-    open_docs = written(undecided().select(F.col("doc").alias("doc_id")).distinct(), "open")
-    open_sets = sets.join(open_docs, "doc_id", "left_semi")
-    alone = (open_sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc"))
+    # Regions of several components: all their pairs in different ones that the bounds admit, inside the region's tasks.
+    of = region.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+    mixed = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+    undecided = written(of.join(mixed, "key", "left_semi").select("key", "tree", "doc", "comp", "sketch"), "undecided")
+
+    # Shingles that no other document of such a region has: they bound what a pair can share.
+    open_sets = sets.withColumnRenamed("doc_id", "doc").join(undecided.select("doc").distinct(), "doc", "left_semi")
+    alone = (open_sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
              .filter("n = 1").groupBy("doc").agg(F.count("*").alias("alone")))
-    common = written(open_sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("size")).distinct()
-                     .join(alone, "doc", "left").select("doc", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "common")
-
-    able = F.col("common") * 100 >= F.col("size") * percent  # else most of its shingles are nobody else's
-    for step in range(BEST_ROUNDS + 1):
-        last = step == BEST_ROUNDS
-        rows = by_key(blocks(undecided().join(common, "doc").filter(able)))
-        pairs = rows.mapInArrow(partial(_crossing_batches, percent=percent, least=forest.equal, best_only=not last), "a long, b long")
-        more = written(confirmed(pairs.selectExpr(*pair).distinct(), sets, percent), "links")
-        if more.isEmpty():
-            if last:
-                break
-            continue
+    size = F.size("shingles").cast("long")
+    held = open_sets.join(alone, "doc", "left").select("doc", "shingles", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common"))
+    held = held.filter(F.col("common") * 100 >= F.col("size") * percent)  # else most of its shingles are nobody else's
+    held = written(held.join(firsts.select(F.col("doc_id").alias("doc"), "regions"), "doc"), "open")
+
+    # A region whose sets are more than a task should hold is dealt out to parts, and every two parts meet.
+    rows = undecided.join(held.select("doc", "size"), "doc")
+    weight = rows.groupBy("key").agg(F.ceil(F.sum("size") / REGION_SHINGLES).alias("parts"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    rows = rows.drop("size").join(weight.filter("x < y").select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("doc", "key"), F.col("parts")))
+    rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    two = F.xxhash64("key", F.least("part", "mate"), F.greatest("part", "mate"))
+    rows = rows.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(two).alias("key"), "tree", "doc", "comp", "sketch", "part", (F.col("part") != F.col("mate")).alias("apart"))
+    across = F.max("apart").over(Window.partitionBy("key"))
+    met = by_key(rows.join(held, "doc")).withColumn("across", across).drop("apart")
+    more = written(met.mapInArrow(partial(_joining_batches, percent=percent, least=forest.equal), "a long, b long"), "links")
+    if not more.isEmpty():
         # Components are joined by the new links between them; documents without a link so far are their own.
         old = component.union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                               .join(component, "node", "left_anti").select("node", F.col("node").alias("component")))
-        of = lambda c: old.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
-        merged = connected_components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
+        named = lambda c: old.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+        merged = connected_components(more.join(named("a"), "a").join(named("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
         new = old.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
         component = written(new.select("node", F.coalesce("now", "component").alias("component")), "components")
     of_class = classes.join(component.withColumnRenamed("node", "first"), "first", "left").select(*same, F.coalesce("component", "first").alias("component"))

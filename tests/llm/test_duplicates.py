@@ -42,6 +42,7 @@ def test_components_of_a_hot_family(spark, family, monkeypatch):
     docs = spark.createDataFrame(family, SCHEMA)
     for rows in (minhash_forest.REGION_ROWS, 8):  # 8: regions are cut deeper and dealt out
         monkeypatch.setattr(minhash_forest, "REGION_ROWS", rows)
+        monkeypatch.setattr(minhash_forest, "REGION_SHINGLES", 250 * rows)
         got = minhash_forest.near_duplicates(docs).collect()
         assert {r.doc_id: r.component_id for r in got} == want
         assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
@@ -59,6 +60,7 @@ def test_pairs_far_from_the_first_of_a_large_region(spark, monkeypatch):
     want, _ = near(rows)
     assert want == {d: d - (d % 100 == 51) for d, *_ in rows}
     monkeypatch.setattr(minhash_forest, "REGION_ROWS", 2)
+    monkeypatch.setattr(minhash_forest, "REGION_SHINGLES", 1000)
     got = minhash_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
