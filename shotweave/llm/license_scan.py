@@ -1,12 +1,14 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
-A document's units are its lines, its paragraphs (between blank lines) and its whole text.
+A document's units are its lines, its paragraphs (between blank lines) and its whole text; besides,
+every stretch of the text that is as long as a template is held against it (``window_matches``), so
+that a notice among other words, over comment lines or in the middle of a line is found.
 Bigrams count as often as they occur. A unit of a bigrams can reach Dice coefficient t with a template of b bigrams only if
 a * t / (2 - t) <= b <= a * (2 - t) / t. These bounds are a small table from the number of
 bigrams to the templates within reach, so a unit meets its few candidates by an equality join
 with a broadcast table whose size depends on the templates alone; most units meet none and
-their bigrams are never built. Only DataFrame functions are used, and rows stay in place until
-the final sum per document.
+their bigrams are never built. Only DataFrame functions are used. Texts stay in place; of the
+stretches only bigrams that a template has are gathered, per text and template.
 """
 
 from __future__ import annotations
@@ -67,7 +69,8 @@ def words_of(text: Column) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def unit_words(docs: DataFrame) -> DataFrame:
@@ -106,13 +109,36 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, min_dice:
             .select("doc_id", "license", shared.alias("shared"), "unit_bigrams", "template_bigrams").filter(F.col("shared") * 2 >= need))
 
 
+def window_matches(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
+    """(doc_id, license, dice): every stretch of a text, as long as the template, that reaches ``min_dice`` with it, from
+    wherever a bigram of the template stands. Words run on over line ends and comment marks.
+
+    Text bigrams meet the template's by a broadcast join, and only those that meet one go on, per row and template. At
+    least ceil(min_dice * b) of a template's b bigrams must stand within b places; only such stretches are counted."""
+    grams = template_bigrams(TEMPLATES if templates is None else templates)
+    table = docs.sparkSession.createDataFrame([(g, name, n, own.total(), math.ceil(min_dice * own.total() - 1e-9)) for name, own in grams.items() for g, n in own.items()],
+                                              "gram string, license string, n int, b int, need int")
+    words = F.filter(words_of(F.coalesce(F.col("text"), F.lit(""))), lambda w: w != "")
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(bigrams(words)).alias("at", "gram"))
+    hits = (rows.join(F.broadcast(table), "gram").groupBy("row", "doc_id", "license", "b", "need")
+            .agg(F.sort_array(F.collect_list(F.struct("at", "gram", "n"))).alias("h")).filter(F.size("h") >= F.col("need")))
+    near = F.transform("h", lambda x, i: F.when(F.get("h", i + F.col("need") - 1)["at"] < x["at"] + F.col("b"), F.slice("h", i + 1, F.col("b"))))
+    spans = hits.select("doc_id", "license", "b", F.explode(F.filter(near, lambda s: s.isNotNull())).alias("s"))
+    spans = spans.select("doc_id", "license", "b", F.filter("s", lambda x: x["at"] < F.get("s", F.lit(0))["at"] + F.col("b")).alias("s"))
+    own = F.array_distinct(F.transform("s", lambda x: F.struct(x["gram"].alias("gram"), x["n"].alias("n"))))
+    shared = F.aggregate(own, F.lit(0), lambda n, g: n + F.least(g["n"], F.size(F.filter("s", lambda x: x["gram"] == g["gram"]))))
+    return spans.select("doc_id", "license", (shared / F.col("b")).alias("dice")).filter(F.col("dice") >= min_dice)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
-    """One row per document and licence found in it: doc_id, license, n_units, dice (the best, rounded to 6 places).
+    """One row per document and licence found in it: doc_id, license, n_units (lines, paragraphs and texts that match as
+    a whole; 0 if the licence only stands among other words), dice (the best of units and stretches, rounded to 6 places).
 
     Null and empty texts, and texts without two words in a row, match nothing. Repeated rows of a doc_id are scanned
     each and add up; rows with a null doc_id are summed as one document. Other columns are not read; an empty table
     gives an empty result. ``min_dice`` must be over 0.
     """
-    dice = F.round(F.max(2 * F.col("shared") / (F.col("unit_bigrams") + F.col("template_bigrams"))), 6)
-    return (matches(docs, templates, min_dice).groupBy("doc_id", "license")
-            .agg(F.count("*").alias("n_units"), dice.alias("dice")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole = matches(docs, templates, min_dice).select("doc_id", "license", F.lit(1).alias("unit"), (2 * F.col("shared") / (F.col("unit_bigrams") + F.col("template_bigrams"))).alias("dice"))
+    inside = window_matches(docs, templates, min_dice).select("doc_id", "license", F.lit(0).alias("unit"), "dice")
+    return whole.unionByName(inside).groupBy("doc_id", "license").agg(F.sum("unit").alias("n_units"), F.round(F.max("dice"), 6).alias("dice"))

@@ -16,15 +16,22 @@ WITH units AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
     UNION ALL SELECT doc_id, p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS p FROM documents) WHERE contains(p, chr(10))
     UNION ALL SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\\n[ \\t]*\\n')),
-words AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM units WHERE length(unit) <= 4000),
+words AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM units),
 grams AS (SELECT u, doc_id, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
 counted AS (SELECT u, doc_id, n, g, count(*) AS c FROM grams GROUP BY ALL),
 template AS (SELECT license, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {_words_sql(license_scan.TEMPLATES)}),
 tgrams AS (SELECT license, len(w) - 1 AS m, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM template),
 tcounted AS (SELECT license, m, g, count(*) AS c FROM tgrams GROUP BY ALL),
-met AS (SELECT u, doc_id, license, n, m, sum(least(a.c, b.c)) AS shared FROM counted a JOIN tcounted b USING (g) GROUP BY ALL)
-SELECT doc_id, license, count(*) AS n_units, round(max(2 * shared / (n + m)::DOUBLE), 6) AS dice
-FROM met WHERE 2 * shared >= {min_dice} * (n + m) GROUP BY doc_id, license"""
+met AS (SELECT u, doc_id, license, n, m, sum(least(a.c, b.c)) AS shared FROM counted a JOIN tcounted b USING (g) GROUP BY ALL),
+whole AS (SELECT row_number() OVER () AS t, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+placed AS (SELECT t, doc_id, unnest(range(1, len(w))) AS place, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM whole WHERE len(w) > 1),
+hits AS (SELECT t, doc_id, license, m, c, place, g FROM placed JOIN tcounted USING (g)),
+spans AS (SELECT s.t, s.doc_id, s.license, s.m, s.place AS start, x.g, least(x.c, count(*)) AS shared FROM hits s JOIN hits x ON x.t = s.t AND x.license = s.license AND x.place >= s.place AND x.place < s.place + s.m
+    GROUP BY s.t, s.doc_id, s.license, s.m, s.place, x.g, x.c),
+stretches AS (SELECT doc_id, license, sum(shared) / m::DOUBLE AS dice FROM spans GROUP BY t, doc_id, license, m, start)
+SELECT doc_id, license, sum(unit)::BIGINT AS n_units, round(max(dice), 6) AS dice FROM (
+    SELECT doc_id, license, 1 AS unit, 2 * shared / (n + m)::DOUBLE AS dice FROM met WHERE 2 * shared >= {min_dice} * (n + m)
+    UNION ALL SELECT doc_id, license, 0, dice FROM stretches WHERE dice >= {min_dice}) GROUP BY doc_id, license"""
 
 
 def url_sql(rules: list[url_filter.Rule]) -> str:

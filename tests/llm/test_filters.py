@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -72,6 +73,30 @@ def test_licences(spark, clashing, empty):
     assert license_scan.scan(clashing).count() == 0 and license_scan.scan(empty).count() == 0
 
 
+def test_notices_among_other_words(spark):
+    """In a prose line, over comment lines, after CRLF, twice in a row, with a word exchanged, in a very long text."""
+    mit, gpl = license_scan.TEMPLATES["MIT-text"], license_scan.TEMPLATES["GPL-3.0-header"]
+    w = gpl.split()
+    wrapped = "#!/bin/sh\n" + "\n".join(" * " + " ".join(w[i:i + 7]) for i in range(0, len(w), 7)) + "\nint main() {}"
+    rows = [(1, "Copyright 2020 Foo. Released under the MIT License. More words follow it here."), (2, "a\r\n\r\n" + mit.replace(". ", ".\r\n") + "\r\n\r\nint x;"), (3, wrapped),
+            (4, prose(1, 30_000) + " " + license_scan.TEMPLATES["CC0-1.0"].replace("waived", "kept") + " " + prose(2, 9000)), (5, "released under the the MIT license"), (6, "Licensed under CC BY " * 300),
+            (7, "released under some other license"), (8, "MIT License. Released under the")]
+    got = {(r.doc_id, r.license): (r.n_units, r.dice) for r in license_scan.scan(spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], SCHEMA)).collect()}
+    cut = lambda t: re.findall("[a-z0-9]+", t.lower())
+    want = {}
+    for d, t in rows:
+        g = list(zip(cut(t), cut(t)[1:]))
+        for name, text in license_scan.TEMPLATES.items():
+            own = Counter(zip(cut(text), cut(text)[1:]))
+            b = own.total()
+            best = max((sum((Counter(g[i:i + b]) & own).values()) / b for i in range(len(g)) if g[i] in own), default=0)
+            if best >= 0.8 - 1e-9:
+                want[d, name] = best
+    assert want.keys() <= got.keys() and {(1, "MIT"), (2, "MIT-text"), (3, "GPL-3.0-header"), (4, "CC0-1.0")} <= want.keys()
+    assert all(got[k][1] >= v - 1e-6 for k, v in want.items()) and all(n or k in want for k, (n, _) in got.items())
+    assert got[1, "MIT"] == (0, 1.0) and not {k for k in got if k[0] in (7, 8)}
+
+
 def test_licence_size_bounds_lose_nothing():
     for n in range(1, 60):
         low, high = license_scan.size_bounds(n, 0.8)
