@@ -43,11 +43,15 @@ def _shifted(values: Column, by: int) -> tuple[Column, Column]:
     return F.slice(values, 1, n), F.slice(values, 1 + by, n)
 
 
+def _word_hashes(text: Column) -> Column:
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def with_shingles(df: DataFrame) -> DataFrame:
     """Adds n_words and ``grams``, the hashes of the 5-word shingles in order (a shorter text's words as one)."""
     pair = lambda a, b: F.xxhash64(a, b)
-    words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    df = bound(df, "w1", F.transform(words, lambda w: F.xxhash64(w))).drop("text")
+    df = bound(df, "w1", _word_hashes(F.col("text"))).drop("text")
     df = bound(df, "w2", F.zip_with(*_shifted(F.col("w1"), 1), pair))
     df = bound(df, "w4", F.zip_with(*_shifted(F.col("w2"), 2), pair))
     n = F.size("w1")
@@ -89,8 +93,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_similarity: float =
 
     similarity is the best window's, rounded to 6 places; n_windows counts the windows that reach ``min_similarity``.
 
-    * An item of fewer than 5 words, or a document, counts as one shingle of all its words: such an item meets only
-      documents that are those words alone. A document shorter than an item is one window.
+    * An item of fewer than 5 words is one shingle of all its words: windows of as many words either are the same or
+      have similarity 0, so they are met by that shingle alone. A document shorter than an item is one window.
     * Null and empty texts, and rows with null ids, match nothing. Repeated rows of an id are judged as one (a window
       counts once). Other columns are not read; empty tables give an empty result.
     """
@@ -102,6 +106,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_similarity: float =
     sent = F.broadcast if small else (lambda df: df)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
+    few = [r["item_words"] for r in items.filter(F.col("item_words") < SHINGLE).select("item_words").distinct().collect()]  # 1 to 4
+    short, items = items.filter(F.col("item_words") < SHINGLE), items.filter(F.col("item_words") >= SHINGLE)
     sizes_of = items.select("item_words", F.explode("grams").alias("gram")).distinct()
     hits = (with_shingles(texts).select("doc_id", F.posexplode("grams").alias("at", "gram"))
             .join(sent(sizes_of), "gram").groupBy("doc_id").agg(F.collect_set(F.struct("item_words", "at")).alias("hits")))
@@ -121,8 +127,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_similarity: float =
     met = met.filter(F.col("block") == first)
     verified = (met.join(sent(items.select("item_id", "grams")), "item_id")
                 .withColumn("similarity", weighted_jaccard(F.col("own"), F.col("grams"))).filter(F.col("similarity") >= min_similarity))
-    return (verified.groupBy("doc_id", "item_id")
+    found = (verified.groupBy("doc_id", "item_id")
             .agg(F.count_distinct("start").alias("n_windows"), F.round(F.max("similarity"), 6).alias("similarity")))
+    if not few:
+        return found
+    n = F.explode(F.array(*[F.lit(x) for x in few])).alias("item_words")
+    cut = bound(texts, "w1", _word_hashes(F.col("text"))).select("doc_id", "w1", n).filter(F.size("w1") >= F.col("item_words"))
+    starts = F.sequence(F.lit(1), F.size("w1") - F.col("item_words") + 1)
+    whole = (cut.select("doc_id", "item_words", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("w1", i, F.col("item_words"))))).alias("start", "gram"))
+             .join(sent(short.select("item_id", "item_words", F.col("grams")[0].alias("gram"))), ["item_words", "gram"]).select("doc_id", "item_id", "start").distinct())
+    return found.unionByName(whole.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.lit(1.0).alias("similarity")))
 
 
 def _masks():

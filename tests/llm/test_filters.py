@@ -19,6 +19,11 @@ def leak_pairs(docs, items):
         for i, it in items:
             if None in (d, t, i, it):
                 continue
+            if 0 < len(cut(it)) < 5:
+                k = len(cut(it))
+                if any(cut(t)[s:s + k] == cut(it) for s in range(len(cut(t)) - k + 1)):
+                    out[d, i] = 1.0
+                continue
             own, n = Counter(grams(cut(it))), max(len(cut(it)) - 4, 1)
             g = grams(cut(t))
             if not own or not g:
@@ -40,11 +45,12 @@ def test_leaks_match_brute_force(spark, empty):
         w = items[i % 12][1].split()
         w[len(w) // 2:len(w) // 2 + 1] = ["x"] * (i % 3)
         docs.append((i, prose(i, 50) + " " + " ".join(w[i % 4:]) + " " + prose(90 + i, 50)))
-    docs += [(70, "Tiny, item!"), (71, "a tiny item in a text"), (72, "of the same " * 30), (73, items[5][1]), (74, items[11][1][:-9]), (75, prose(1, 20) + items[-1][1]), (75, prose(1, 20) + items[-1][1])]
+    docs += [(70, "Tiny, item!"), (71, "a tiny item in a text"), (76, "a tiny item"), (77, "tiny"), (78, "x tiny, ITEM " * 40), (72, "of the same " * 30), (73, items[5][1]), (74, items[11][1][:-9]), (75, prose(1, 20) + items[-1][1]), (75, prose(1, 20) + items[-1][1])]
     rows = [(d, t, "", "", 0) for d, t in docs] + awkward_docs()
     got = decontam.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = leak_pairs([r[:2] for r in rows], items)
-    assert len(want) > 20
+    assert len(want) > 20 and {(70, 21), (71, 21), (76, 21), (78, 21)} <= want.keys()
+    assert {r.n_windows for r in got if (r.doc_id, r.item_id) == (78, 21)} == {40}
     assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want, abs=1e-6)
 
 
