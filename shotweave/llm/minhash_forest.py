@@ -31,7 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.llm.components import connected_components
@@ -321,9 +321,9 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     rows = rows.drop("size").join(weight.filter("x < y").select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("doc", "key"), F.col("parts")))
     rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     two = F.xxhash64("key", F.least("part", "mate"), F.greatest("part", "mate"))
-    rows = rows.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(two).alias("key"), "tree", "doc", "comp", "sketch", "part", (F.col("part") != F.col("mate")).alias("apart"))
-    across = F.max("apart").over(Window.partitionBy("key"))
-    met = by_key(rows.join(held, "doc")).withColumn("across", across).drop("apart")
+    # Under the key of two different parts all rows are ``across``, under that of one part none is.
+    rows = rows.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(two).alias("key"), "tree", "doc", "comp", "sketch", "part", (F.col("part") != F.col("mate")).alias("across"))
+    met = by_key(rows.join(held, "doc"))
     more = written(met.mapInArrow(partial(_joining_batches, percent=percent, least=forest.equal), "a long, b long"), "links")
     if not more.isEmpty():
         # Components are joined by the new links between them; documents without a link so far are their own.
