@@ -115,13 +115,9 @@ def skeleton_ctes(norm: str, id_cols: str, out: str) -> str:
          WHEN regexp_matches(t, '^-?[0-9]+(\\.[0-9]+)?$') THEN '_'
          ELSE trim(t) END), ' ') AS k0
   FROM {norm} n JOIN dbnames d ON n.db_id = d.db_id),
-{out}_r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(
-    replace(replace(replace(replace(replace(replace(
-      regexp_replace(regexp_replace(
-        replace(replace(replace(k0, 'on _ = _ and _ = _', 'on _ = _'), 'on _ = _ or _ = _', 'on _ = _'), ' on _ = _', ''),
-        '_ (?:join _ ?)+', '_ ', 'g'), '_( , _)+', '_', 'g'),
-      '_ = _', '_'), '_ != _', '_'), '_ > _', '_'), '_ >= _', '_'), '_ < _', '_'), '_ <= _', '_'),
-    'where _( (?:and|or) _)+', 'where _', 'g'), ' +', ' ', 'g'), '^$', '', 'g') AS k1 FROM {out}_m),
+{out}_j AS (SELECT *, regexp_replace(regexp_replace(k0, ' on _ = _( and _ = _)?( or _ = _)?', '', 'g'), '_( join _)+( |$)', '_ ', 'g') AS kj FROM {out}_m),
+{out}_r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(kj, '_( , _)+', '_', 'g'), '_ (=|!=|[<>]=?) _', '_', 'g'),
+    'where _( (and|or) _)+', 'where _', 'g'), ' +', ' ', 'g') AS k1 FROM {out}_j),
 {out}_p AS (SELECT *, string_split(k1, ' ') AS parts FROM {out}_r),
 {out} AS (SELECT {id_cols}, CASE WHEN starts_with(raw_text, 'SELECT') THEN
     array_to_string(list_transform(parts, lambda t, i: CASE WHEN i >= 3 AND parts[i - 2] = 'order'

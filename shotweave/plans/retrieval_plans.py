@@ -103,9 +103,10 @@ def _ev(spark, sf):
         F.col("vec_id").alias("ex_id"), F.col("embedding").cast("array<double>").alias("vec"))
     pred = responses(spark, sf).select("ex_id", st.clean_fences(F.col("response")).alias("pred"))
     ev = ex.join(emb, "ex_id").join(pred, "ex_id")
-    ev = st.with_sql_skeleton(ev, "query", "tl", "cl", "torig", out="gold_skel")
-    ev = st.with_sql_skeleton(ev, "pred", "tl", "cl", "torig", out="pre_skel")
-    return ev
+    ev = st.with_sql_skeleton_once(ev, "query", "db_id", "tl", "cl", "torig", out="gold_skel")
+    ev = st.with_sql_skeleton_once(ev, "pred", "db_id", "tl", "cl", "torig", out="pre_skel")
+    checkpoint_dir(spark)
+    return ev.checkpoint()  # targets, corpus and joins of skeletons read it
 
 
 def _ev_sides(spark, sf, t_skel=None, c_skel=None):
