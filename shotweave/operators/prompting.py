@@ -74,6 +74,10 @@ EXAMPLE_STYLES = {
            "qa": "/* Answer the following: {q} */\n{s}"},
     "QAWRULE": {"prefix": "/* Some SQL examples are provided based on similar problems: */\n",
                 "qa": "/* Answer the following with no explanation: {q} */\n{s}"},
+    "COMPLETE": {"prefix": "", "qa": "{t}\n{s}"},  # {t}: the example's question as a target shows it
+    "NUMBERSIGNQA": {"prefix": "### Some example pairs of question and corresponding SQL query are provided based on similar problems:\n\n",
+                     "qa": "### {q}\n{s}"},
+    "BASELINEQA": {"prefix": "", "qa": "Example Q: {q}\nExample A: {s}"},
 }
 SEP_EXAMPLE = "\n\n"
 MAX_SEQ_LEN = 4096
@@ -132,13 +136,15 @@ def render_target(questions: DataFrame, schemas: DataFrame, style: str) -> DataF
 
 
 def render_example(shots: DataFrame, style: str) -> DataFrame:
-    """shots(..., question, query) -> + example_text."""
+    """shots(..., question, query) -> + example_text. COMPLETE needs `question_text`, the example's question in its
+    database's schema text as `render_target` gives it."""
     s = EXAMPLE_STYLES[style]
     if s["qa"] is None:
         text = F.col("query")
     else:
-        fmt = s["qa"].replace("{q}", "%1$s").replace("{s}", "%2$s")
-        text = F.format_string(fmt, F.col("question"), F.col("query"))
+        fmt = s["qa"].replace("{q}", "%1$s").replace("{s}", "%2$s").replace("{t}", "%3$s")
+        shown = F.col("question_text") if "{t}" in s["qa"] else F.lit("")
+        text = F.format_string(fmt, F.col("question"), F.col("query"), shown)
     return shots.withColumn("example_text", text)
 
 

@@ -114,10 +114,23 @@ def q_render_target(spark, sf):
         "target_id", "target_text")
 
 
-@register("render_example", oracle=f"""WITH {EXEMPLARS}
-SELECT ex_id, '/* Answer the following: ' || question || ' */' || chr(10) || query AS example_text FROM exemplars""")
+@register("render_example", oracle=f"""WITH {EXEMPLARS}, {_TABLES_SQL}, {_schema_sql('NUMBERSIGN')},
+x AS (SELECT e.*, s.schema_text || chr(10) || '### ' || question AS shown FROM exemplars e JOIN sch s USING (db_id))
+SELECT ex_id, 'ONLYSQL' AS style, query AS example_text FROM x
+UNION ALL SELECT ex_id, 'QA', '/* Answer the following: ' || question || ' */' || chr(10) || query FROM x
+UNION ALL SELECT ex_id, 'QAWRULE', '/* Answer the following with no explanation: ' || question || ' */' || chr(10) || query FROM x
+UNION ALL SELECT ex_id, 'COMPLETE', shown || chr(10) || query FROM x
+UNION ALL SELECT ex_id, 'NUMBERSIGNQA', '### ' || question || chr(10) || query FROM x
+UNION ALL SELECT ex_id, 'BASELINEQA', 'Example Q: ' || question || chr(10) || 'Example A: ' || query FROM x""")
 def q_render_example(spark, sf):
-    return pr.render_example(exemplars(spark, sf), "QA").select("ex_id", "example_text")
+    ex = exemplars(spark, sf)
+    asked = pr.render_target(ex.select(F.col("ex_id").alias("target_id"), "db_id", "question"), pr.render_schema(_parts(spark, sf), "NUMBERSIGN"), "NUMBERSIGN")
+    shots = ex.join(asked.select(F.col("target_id").alias("ex_id"), "question_text"), "ex_id")
+    out = None
+    for style in pr.EXAMPLE_STYLES:
+        one = pr.render_example(shots, style).select("ex_id", F.lit(style).alias("style"), "example_text")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _packed(spark, sf):
