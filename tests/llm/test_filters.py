@@ -20,8 +20,8 @@ def leak_pairs(docs, items):
             if None in (d, t, i, it):
                 continue
             if 0 < len(cut(it)) < 5:
-                k = len(cut(it))
-                if any(cut(t)[s:s + k] == cut(it) for s in range(len(cut(t)) - k + 1)):
+                w, item = cut(t), cut(it)
+                if any(w[s:s + len(item)] == item for s in range(len(w) - len(item) + 1)):
                     out[d, i] = 1.0
                 continue
             own, n = Counter(grams(cut(it))), max(len(cut(it)) - 4, 1)
