@@ -56,7 +56,7 @@ def _make_kernel(k, metric, use_domain, exclude_self, use_text, max_distance,
                  skeleton_rule, skeleton_threshold):
     def kernel(tdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if len(tdf) == 0 or len(cdf) == 0:
-            return pd.DataFrame({f.name: [] for f in _OUT_SCHEMA.fields})
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in _OUT_SCHEMA.fields})
         cdf = cdf.sort_values("cand_id", kind="stable").reset_index(drop=True)
         tv = np.stack(tdf["t_vec"].to_numpy()).astype(np.float64)
         cv = np.stack(cdf["c_vec"].to_numpy()).astype(np.float64)
@@ -200,9 +200,11 @@ def _near_pivots(pivots: np.ndarray, vec: str):
     """Adds ``cell`` (the nearest pivot), ``near`` (its distance) and ``dists`` (all distances)."""
     def run(batches):
         for pdf in batches:
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, pivots.shape[1]))
+            if not len(pdf):
+                continue
+            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
             d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T), 0.0))
-            yield pdf.assign(cell=d.argmin(1).astype(np.int32) if len(pdf) else np.zeros(0, np.int32), near=d.min(1) if len(pdf) else np.zeros(0), dists=list(d))
+            yield pdf.assign(cell=d.argmin(1).astype(np.int32), near=d.min(1), dists=list(d))
     return run
 
 
@@ -256,7 +258,7 @@ _STATS_SCHEMA = T.StructType([
 def _make_stats_kernel(top_r, metric, use_domain, exclude_self):
     def kernel(tdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if len(tdf) == 0 or len(cdf) == 0:
-            return pd.DataFrame({f.name: [] for f in _STATS_SCHEMA.fields})
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in _STATS_SCHEMA.fields})
         tv = np.stack(tdf["t_vec"].to_numpy()).astype(np.float64)
         cv = np.stack(cdf["c_vec"].to_numpy()).astype(np.float64)
         if metric == "cosine":
