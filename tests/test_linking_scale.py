@@ -41,6 +41,9 @@ def test_no_side_with_rows_per_question_is_broadcast(spark):
                lk.linked_table_recall(q.withColumn("query", F.lit("select year from concert")), tables, cols)):
         joins = _question_joins(df)
         assert joins and not [x for x in joins if "Broadcast" in x], joins
+        assert "BuildLeft" not in df._jdf.queryExecution().executedPlan().toString()  # questions are on the left of catalog rows
+    tokens = lk.link_cells_partial(q, cols, lk.cell_index(cells)[0])
+    assert "SortMergeJoin [db_id#" in tokens._jdf.queryExecution().executedPlan().toString()
 
 
 def test_links_are_shifted_and_listed_from_one_pass(spark):
