@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from shotweave.operators import sparse
 from shotweave.operators.skeletons import overlapping_skeletons, similar_skeletons
 from shotweave.operators.sparse import sparse_topk
 
@@ -55,6 +56,14 @@ def test_equals_all_pairs(spark, rows, metric, same_text, rule):
     assert sorted((r.target_id, r.cand_id, r.score, r.rk) for r in got.collect()) == brute(rows, 4, metric, same_text, rule)
 
 
+@pytest.mark.parametrize("metric,same_text,rule", [("euclid", False, None), ("cosine", True, None), ("cosine", False, None), ("euclid", False, "backfill"), ("euclid", False, "strict")])
+def test_classes_of_common_words_equal_all_pairs(spark, rows, metric, same_text, rule, monkeypatch):
+    monkeypatch.setattr(sparse, "RARE", 6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sparse_topk(df.withColumnRenamed("id", "target_id"), df.withColumnRenamed("id", "cand_id"), 3, metric=metric, exclude_same_text=same_text, skeleton_rule=rule)
+    assert sorted((r.target_id, r.cand_id, r.score, r.rk) for r in got.collect()) == brute(rows, 3, metric, same_text, rule)
+
+
 def test_similar_skeletons_against_all_pairs(spark):
     rnd = random.Random(2)
     skels = sorted({" ".join(rnd.choice(["select", "_", ",", "from", "where", "=", "and"]) for _ in range(rnd.randrange(1, 25))) for _ in range(120)} | {" select _ "})
