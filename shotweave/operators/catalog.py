@@ -184,17 +184,13 @@ def prune_tables_by_name(questions: DataFrame, columns: DataFrame) -> DataFrame:
     the lower-case question; a question naming none keeps every table.
     questions: (q_id, db_id, question). Returns (q_id, table_name).
 
-    A name without its trailing `s` occurs wherever the name does, so only that stem counts. The substrings of a
-    question that are as long as some stem of its database meet the stems by an equi join, once per distinct question;
-    no question is held against every table."""
-    tables = catalog_tables(columns).select("db_id", "table_name", F.expr("TRIM(TRAILING 's' FROM lower(table_name))").alias("stem"))
-    lengths = tables.groupBy("db_id").agg(F.collect_set(F.length("stem")).alias("lengths"))
-    asked = questions.select("q_id", "db_id", F.lower("question").alias("q_low"))
-    texts = asked.select("db_id", "q_low").distinct().join(lengths, "db_id")
-    cut = texts.select("db_id", "q_low", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("q_low"))
-    cut = cut.select("db_id", "q_low", "n", F.explode(F.sequence(F.lit(1), F.length("q_low") - F.col("n") + 1)).alias("at"))
-    stems = cut.select("db_id", "q_low", F.substring("q_low", F.col("at"), F.col("n")).alias("stem")).distinct()
-    hits = stems.join(tables, ["db_id", "stem"]).select("db_id", "q_low", "table_name").distinct()
-    named = asked.join(hits, ["db_id", "q_low"]).select("q_id", "table_name")
-    rest = asked.join(hits.select("db_id", "q_low").distinct(), ["db_id", "q_low"], "left_anti")
-    return named.unionByName(rest.join(tables.select("db_id", "table_name"), "db_id").select("q_id", "table_name"))
+    A name without its trailing `s` occurs wherever the name does, so only that stem counts. A database's tables are
+    one row of the catalog, which is broadcast: a question is searched for each stem of its own database, and nothing
+    of it is cut out or shuffled."""
+    stem = F.expr("TRIM(TRAILING 's' FROM lower(table_name))").alias("stem")
+    tables = catalog_tables(columns).groupBy("db_id").agg(F.collect_list(F.struct("table_name", stem)).alias("tables"))
+    asked = questions.select("q_id", "db_id", F.lower("question").alias("q_low")).join(F.broadcast(tables), "db_id")
+    names = lambda found: F.transform(found, lambda t: t["table_name"])
+    named = F.array_distinct(names(F.filter("tables", lambda t: F.contains(F.col("q_low"), t["stem"]))))
+    asked = asked.select("q_id", "tables", named.alias("named"))
+    return asked.select("q_id", F.explode(F.when(F.size("named") > 0, F.col("named")).otherwise(names("tables"))).alias("table_name"))

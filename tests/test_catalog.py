@@ -23,3 +23,16 @@ def test_tables_json_round_trip(spark, tmp_path):
     first = [(r.table_name, r.pk_col) for r in cat.catalog_primary_keys(load_schema_catalog(raw),
                                                                         first_only=True).orderBy("table_name").collect()]
     assert first == [("concert", "concert_ID"), ("stadium", "Stadium_ID")]
+
+
+def test_prune_tables_searches_questions_and_cuts_none(spark):
+    """Stems, an empty stem, repeated and null questions; the plan explodes nothing of a question and shuffles none."""
+    names = [("a", 0, "orders"), ("a", 1, "Part"), ("a", 2, "lineitem"), ("b", 0, "s"), ("b", 1, "nation")]
+    cols = spark.createDataFrame([(d, t, n) for d, t, n in names], "db_id string, table_id int, table_name_orig string")
+    asked = [(1, "a", "Which ORDER has a part?"), (1, "a", "orders"), (2, "a", "none"), (3, "a", None), (4, "b", ""), (5, None, "part"), (6, "c", "part")]
+    pruned = cat.prune_tables_by_name(spark.createDataFrame(asked, "q_id long, db_id string, question string"), cols)
+    every = ["Part", "lineitem", "orders"]
+    want = [(1, "Part"), (1, "orders"), (1, "orders"), *((2, n) for n in every), *((3, n) for n in every), (4, "s")]
+    assert sorted((r.q_id, r.table_name) for r in pruned.collect()) == want
+    plan = pruned._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "LeftAnti" not in plan
