@@ -74,3 +74,20 @@ def test_similar_skeletons_against_all_pairs(spark):
         assert got == {(a, b): round(jaccard(a, b), 9) for a in set(skels) for b in set(skels) if jaccard(a, b) >= threshold}
     every = {(r.t_skel, r.c_skel): round(r.jaccard, 9) for r in overlapping_skeletons(df.where(F.col("skel").isNotNull()), df.where(F.col("skel").isNotNull())).collect()}
     assert every == {(a, b): round(jaccard(a, b), 9) for a in set(skels) for b in set(skels) if jaccard(a, b) > 0}
+
+
+def test_classes_do_not_multiply_by_skeletons(spark, monkeypatch):
+    """Texts of equal common words are one class, however many skeletons they have."""
+    monkeypatch.setattr(sparse, "RARE", 6)
+    seen, lists = [], sparse._class_lists
+
+    def counted(class_dots, *rest):
+        seen.append(class_dots.count())
+        return lists(class_dots, *rest)
+
+    monkeypatch.setattr(sparse, "_class_lists", counted)
+    rows = [(i, f"d{i % 2}", "how many rows", "", f"a{i} b{i} c{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sparse_topk(df.withColumnRenamed("id", "target_id"), df.withColumnRenamed("id", "cand_id"), 3, skeleton_rule="backfill")
+    assert sorted((r.target_id, r.cand_id, r.score, r.rk) for r in got.collect()) == brute(rows, 3, "euclid", False, "backfill")
+    assert set(seen) == {1}
