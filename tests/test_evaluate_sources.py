@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from shotweave.operators import evaluate as ev
+from shotweave.plans.linking_plans import link_questions
 from shotweave.sources import corpus as cp
 
 
@@ -139,3 +140,16 @@ def test_loaders_round_trip(spark, tmp_path):
                               "cv_link": {"num_date_match": {}, "cell_match": {"2,4": "EXACTMATCH"}}}) + "\n\n")
     links = {(r.kind, r.tok_pos, r.obj_id, r.flag) for r in cp.load_linking(spark, str(lk)).collect()}
     assert links == {("col", 0, 3, "CEM"), ("cell", 2, 4, "EXACTMATCH")}
+
+
+def test_links_are_parsed_in_one_pass(spark, tmp_path):
+    lines = [{"sc_link": {"q_col_match": {"0,3": "CEM", "1,4": None}, "q_tab_match": {"2,0": "TPM"}}, "cv_link": None}, {"cv_link": {"num_date_match": {"5,6": "NUMBER"}}}]
+    (tmp_path / "links.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    links = cp.load_linking(spark, str(tmp_path / "links.jsonl"))
+    assert {tuple(r) for r in links.collect()} == {(0, "col", 0, 3, "CEM"), (0, "col", 1, 4, None), (0, "tab", 2, 0, "TPM"), (1, "num", 5, 6, "NUMBER")}
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(links") == 1
+
+
+def test_questions_to_link_are_dealt_out(spark):
+    questions = link_questions(spark, "/root/testdata/sf0.001")
+    assert questions.rdd.getNumPartitions() >= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
